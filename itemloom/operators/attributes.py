@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ from itemloom.operators.cuts import (
     merge_cut_points,
     running_counts_table,
 )
-from itemloom.runtime import materialize, number_rows
+from itemloom.runtime import materialize, number_rows, union_all
+from itemloom.sources.narrow import cell
 
 BIN_SCHEMA = "attribute int, bin int, `from` double, `to` double, frequency long"
 BORDER_SCHEMA = (
@@ -40,30 +42,46 @@ BORDER_SCHEMA = (
 
 @dataclass(frozen=True)
 class DataSource:
-    """A profiled narrow table; ``size`` counts all instances, also empty ones."""
+    """A profiled narrow table.
+
+    ``wide`` is the table it was made from, if it has one row per instance; its
+    columns are named like the fields.
+    """
 
     fields: tuple[Field, ...]
     instances: DataFrame
     values: DataFrame
-    size: int
+    wide: DataFrame | None = None
+    locale: str = "en"
 
     def field(self, number: int) -> Field | None:
         return next((f for f in self.fields if f.field == number), None)
 
+    @cached_property
+    def size(self) -> int:
+        """Number of instances, those without any value included."""
+        if self.wide is not None:
+            return self.wide.count()
+        return self.instances.select("id").distinct().count()
+
 
 @dataclass(frozen=True)
 class Dataset:
     """Recoded data: the item dictionary and the items of each instance.
 
-    ``single_valued`` states that an instance has at most one item per attribute
-    and none twice, which saves the miner a shuffle.
+    ``rows`` recodes a wide source row by row; with it an instance has at most one
+    item per attribute, and transactions need no shuffle.
     """
 
     attributes: tuple[AttributeSpec, ...]
     item_values: DataFrame
     item_instances: DataFrame
-    size: int
-    single_valued: bool = False
+    source: DataSource
+    rows: tuple["RowRecoder", ...] | None = None
+
+    @property
+    def size(self) -> int:
+        return self.source.size
 
     def names(self) -> DataFrame:
         rows = [(a.attribute, a.name) for a in self.attributes]
@@ -104,25 +122,25 @@ def _interval_name(spec: Intervals, value: Column) -> Column:
     return segment(value, borders, [F.lit(n).cast("string") for n in names])
 
 
-def _shown(field: Field) -> Column:
-    """Numeric fields show only the cells that are numbers."""
-    text = F.col("value_nominal")
-    return text if field.type == FieldType.NOMINAL else F.when(F.col("value_numeric").isNotNull(), text)
+def _label(spec: AttributeSpec, field: Field, text: Column, number: Column) -> Column:
+    """The recoded text of a cell before enumerations; numeric fields show only numbers."""
+    shown = text if field.type == FieldType.NOMINAL else F.when(number.isNotNull(), text)
+    if isinstance(spec, Intervals):
+        return F.when(number.isNotNull(), F.coalesce(_interval_name(spec, number), shown))
+    return shown
+
+
+def _renaming(spark, specs: Sequence[AttributeSpec]) -> DataFrame | None:
+    """``attribute, value, _name`` of the enumerations; as small as the specification."""
+    rows = [(s.attribute, text, name) for s in specs if isinstance(s, Enumeration) for text, name in s.mapping().items()]
+    return spark.createDataFrame(rows, "attribute int, value string, _name string") if rows else None
 
 
 def labelled(cells: DataFrame, source: DataSource, specs: Sequence[AttributeSpec]) -> DataFrame:
     """Cells with ``attribute`` and the recoded ``value``, all attributes in one pass."""
     by_field: dict[int, list[Column]] = {}
-    mappings: list[tuple[int, str, str]] = []
     for spec in specs:
-        text = _shown(source.field(spec.field))
-        if isinstance(spec, Intervals):
-            name = _interval_name(spec, F.col("value_numeric"))
-            value = F.when(text.isNotNull(), F.coalesce(name, text))
-        else:
-            value = text
-        if isinstance(spec, Enumeration):
-            mappings += [(spec.attribute, text_, name) for text_, name in spec.mapping().items()]
+        value = _label(spec, source.field(spec.field), F.col("value_nominal"), F.col("value_numeric"))
         by_field.setdefault(spec.field, []).append(
             F.struct(F.lit(spec.attribute).alias("attribute"), value.alias("value"))
         )
@@ -134,9 +152,8 @@ def labelled(cells: DataFrame, source: DataSource, specs: Sequence[AttributeSpec
     rows = cells.where(F.col("field").isin(list(by_field))).select(
         *others, F.inline(choice)
     ).where(F.col("value").isNotNull())
-    if mappings:
-        # the size of this table is the size of the specification
-        renamed = cells.sparkSession.createDataFrame(mappings, "attribute int, value string, _name string")
+    renamed = _renaming(cells.sparkSession, specs)
+    if renamed is not None:
         rows = rows.join(renamed, ["attribute", "value"], "left").select(
             *others, "attribute", F.coalesce("_name", "value").alias("value")
         )
@@ -171,12 +188,22 @@ def labelled_instances(source: DataSource, specs: Sequence[AttributeSpec], items
 
 @dataclass(frozen=True)
 class BinnedAttribute:
-    """``index`` maps ``value_numeric`` to a bin number of ``bins``."""
+    """``index`` maps a number to the number of its bin in ``bins``."""
 
     spec: AttributeSpec
     bins: DataFrame
     count: int
-    index: Column
+    index: Callable[[Column], Column]
+
+
+def _equal_width_index(lo: float, width: float, count: int) -> Callable[[Column], Column]:
+    if count == 1:
+        return lambda number: F.lit(0)
+    return lambda number: F.least(F.floor((number - F.lit(lo)) / F.lit(width)), F.lit(count - 1)).cast("int")
+
+
+def _between_cuts(cuts: list[tuple[float, int]]) -> Callable[[Column], Column]:
+    return lambda number: segment(number, cuts, [F.lit(i) for i in range(len(cuts) + 1)])
 
 
 def equidistant(source: DataSource, specs: Sequence[Equidistant]) -> list[BinnedAttribute]:
@@ -196,11 +223,7 @@ def equidistant(source: DataSource, specs: Sequence[Equidistant]) -> list[Binned
         lo, hi = ranges[spec.field]
         count = spec.bins if hi > lo else 1
         width = (hi - lo) / count
-        if count == 1:
-            index = F.lit(0)
-        else:
-            step = F.floor((F.col("value_numeric") - F.lit(lo)) / F.lit(width))
-            index = F.least(step, F.lit(count - 1)).cast("int")
+        index = _equal_width_index(lo, width, count)
         frame = spark.createDataFrame(
             [
                 (
@@ -217,7 +240,7 @@ def equidistant(source: DataSource, specs: Sequence[Equidistant]) -> list[Binned
         )
         counted = (
             numbers.where(F.col("field") == spec.field)
-            .groupBy(index.alias("bin"))
+            .groupBy(index(F.col("value_numeric")).alias("bin"))
             .agg(F.sum("frequency").alias("frequency"))
         )
         bins = frame.join(counted, "bin", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
@@ -242,8 +265,7 @@ def balanced(source: DataSource, specs: Sequence[Equifrequent | Equisized]) -> l
         rows = [(spec.attribute, i, a, b, f) for i, (a, b, f) in enumerate(closed)]
         bins = merge_cut_points(spark.createDataFrame(rows, BIN_SCHEMA))
         cuts = [((left[1] + right[0]) / 2.0, 0) for left, right in zip(closed, closed[1:])]
-        index = segment(F.col("value_numeric"), cuts, [F.lit(i) for i in range(len(closed))])
-        made.append(BinnedAttribute(spec, bins, len(closed), index))
+        made.append(BinnedAttribute(spec, bins, len(closed), _between_cuts(cuts)))
     return made
 
 
@@ -262,17 +284,14 @@ def binned_items(binned: Sequence[BinnedAttribute], start: int = 0) -> DataFrame
             )
         )
         start += entry.count
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    return union_all(frames)
 
 
 def binned_instances(source: DataSource, binned: Sequence[BinnedAttribute], start: int = 0) -> DataFrame:
     """Items of computed bins straight from the number; neither join nor shuffle."""
     by_field: dict[int, list[Column]] = {}
     for entry in binned:
-        item = (F.lit(start + 1) + entry.index).cast("long")
+        item = (F.lit(start + 1) + entry.index(F.col("value_numeric"))).cast("long")
         by_field.setdefault(entry.spec.field, []).append(
             F.struct(F.lit(entry.spec.attribute).alias("attribute"), item.alias("item"))
         )
@@ -287,22 +306,110 @@ def binned_instances(source: DataSource, binned: Sequence[BinnedAttribute], star
 
 
 # --------------------------------------------------------------------------
+# Row-wise recoding of a wide table
 
+Keep = Callable[[Column, Column], Column]
 
-def build_attributes(
-    source: DataSource,
-    specs: Sequence[AttributeSpec],
-    start: int = 0,
-    single_valued: bool = False,
-) -> Dataset:
-    """All attributes at once: one pass over the values and one over the instances per kind.
 
-    ``single_valued`` is the caller's statement that an instance has at most one
-    cell per field, as every row of a wide table does.
+@dataclass(frozen=True)
+class RowRecoder:
+    """Turns rows of a wide table into items, row by row.
+
+    Labels find their item by a join per attribute with that attribute's part of
+    the dictionary; computed bins need no join.
     """
+
+    source: DataSource
+    specs: tuple[AttributeSpec, ...] = ()
+    items: DataFrame | None = None
+    binned: tuple[BinnedAttribute, ...] = ()
+    start: int = 0
+
+    def _cells(self, spec: AttributeSpec) -> tuple[Column, Column]:
+        return cell(self.source.wide, self.source.field(spec.field), self.source.locale)
+
+    def present(self) -> Column:
+        """Whether a row has any item at all."""
+        found = F.lit(False)
+        for spec in self.specs:
+            text, number = self._cells(spec)
+            found = found | _label(spec, self.source.field(spec.field), text, number).isNotNull()
+        for entry in self.binned:
+            found = found | self._cells(entry.spec)[1].isNotNull()
+        return found
+
+    def recode(
+        self, rows: DataFrame, keep: Keep | None = None, frequent: DataFrame | None = None
+    ) -> tuple[DataFrame, list[tuple[int, str]]]:
+        """``rows`` with one nullable item column per attribute, and those columns.
+
+        ``keep`` selects items by attribute and id, ``frequent`` by a table of ids,
+        which also bounds the joined dictionaries.
+        """
+        renamed, columns = _renaming(rows.sparkSession, self.specs), []
+        for spec in self.specs:
+            text, number = self._cells(spec)
+            value = _label(spec, self.source.field(spec.field), text, number)
+            column, label = f"_item_{spec.attribute}", f"_label_{spec.attribute}"
+            rows = rows.withColumn(label, value)
+            if isinstance(spec, Enumeration):
+                mapping = renamed.where(F.col("attribute") == spec.attribute)
+                rows = rows.join(mapping.select(F.col("value").alias(label), "_name"), label, "left")
+                rows = rows.withColumn(label, F.coalesce("_name", label)).drop("_name")
+            known = self.items.where(F.col("attribute") == spec.attribute)
+            if keep is not None:
+                known = known.where(keep(F.col("attribute"), F.col("item")))
+            if frequent is not None:
+                known = known.join(frequent.select("item"), "item", "left_semi")
+            known = known.select(F.col("value").alias(label), F.col("item").alias(column))
+            rows = rows.join(known, label, "left").drop(label)
+            columns.append((spec.attribute, column))
+        start = self.start
+        for entry in self.binned:
+            number = self._cells(entry.spec)[1]
+            item = F.when(number.isNotNull(), F.lit(start + 1) + entry.index(number)).cast("long")
+            chosen = F.lit(True) if keep is None else keep(F.lit(entry.spec.attribute), item)
+            if frequent is not None:
+                own = frequent.where((F.col("item") > start) & (F.col("item") <= start + entry.count))
+                # at most a thousand bins per attribute
+                chosen = chosen & item.isin([row["item"] for row in own.select("item").collect()])
+            column = f"_item_{entry.spec.attribute}"
+            rows = rows.withColumn(column, F.when(chosen, item))
+            columns.append((entry.spec.attribute, column))
+            start += entry.count
+        return rows, columns
+
+
+def item_columns(
+    recoders: Sequence[RowRecoder], keep: Keep | None = None, frequent: DataFrame | None = None
+) -> tuple[DataFrame, list[tuple[int, str]]]:
+    """Every instance with an item column per attribute, without a shuffle; and those columns."""
+    rows, columns = recoders[0].source.wide, []
+    for recoder in recoders:
+        rows, added = recoder.recode(rows, keep, frequent)
+        columns += added
+    return rows.select(*[name for _, name in columns]), columns
+
+
+def rows_with_items(recoders: Sequence[RowRecoder], keep: Keep | None = None) -> DataFrame:
+    """The instances that have at least one item."""
+    if keep is None:
+        present = F.lit(False)
+        for recoder in recoders:
+            present = present | recoder.present()
+        return recoders[0].source.wide.where(present)
+    rows, columns = item_columns(recoders, keep)
+    return rows.where(F.coalesce(*[F.col(name) for _, name in columns]).isNotNull())
+
+
+# --------------------------------------------------------------------------
+
+
+def build_attributes(source: DataSource, specs: Sequence[AttributeSpec], start: int = 0) -> Dataset:
+    """All attributes at once: one pass over the values and one over the instances per kind."""
     specs = usable_specs(source, specs)
     with_labels = [s for s in specs if not isinstance(s, (Equidistant, Equifrequent, Equisized))]
-    values, instances, built = [], [], []
+    values, instances, built, items = [], [], [], None
     if with_labels:
         items = materialize(labelled_items(source, with_labels, start), "items")
         start += items.count()
@@ -316,23 +423,21 @@ def build_attributes(
         values.append(binned_items(binned, start))
         instances.append(binned_instances(source, binned, start))
         built += [entry.spec for entry in binned]
-    all_values, all_instances = values[0], instances[0]
-    for frame in values[1:]:
-        all_values = all_values.unionByName(frame)
-    for frame in instances[1:]:
-        all_instances = all_instances.unionByName(frame)
-    return Dataset(tuple(built), all_values, all_instances, source.size, single_valued)
+    recoder = RowRecoder(source, tuple(with_labels), items, tuple(binned), start)
+    rows = (recoder,) if source.wide is not None else None
+    return Dataset(tuple(built), union_all(values), union_all(instances), source, rows)
 
 
-def extend(dataset: Dataset, source: DataSource, specs: Sequence[AttributeSpec]) -> Dataset:
+def extend(dataset: Dataset, specs: Sequence[AttributeSpec]) -> Dataset:
     """Add attributes to a dataset; new ids continue above the largest existing one."""
     top = dataset.item_values.agg(F.max("item").alias("top")).first()["top"] or 0
-    added = build_attributes(source, specs, top, dataset.single_valued)
-    return replace(
-        dataset,
-        attributes=dataset.attributes + added.attributes,
-        item_values=dataset.item_values.unionByName(added.item_values),
-        item_instances=dataset.item_instances.unionByName(added.item_instances),
+    added = build_attributes(dataset.source, specs, top)
+    return Dataset(
+        dataset.attributes + added.attributes,
+        dataset.item_values.unionByName(added.item_values),
+        dataset.item_instances.unionByName(added.item_instances),
+        dataset.source,
+        None if dataset.rows is None else dataset.rows + added.rows,
     )
 
 

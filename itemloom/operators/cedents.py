@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.model import AllOf, And, Cedent, Is, Not, Or
 
 
-def item_predicate(cedent: Cedent | None) -> Column:
-    """A condition on ``attribute`` and ``item``.
+def item_predicate(
+    cedent: Cedent | None, attribute: Column | None = None, item: Column | None = None
+) -> Column:
+    """A condition on an item, by default on the columns ``attribute`` and ``item``.
 
     A cedent names a set of items, so a conjunction names the union of its parts
     just as a disjunction does: an item belongs to one attribute only.
     """
+    attribute = F.col("attribute") if attribute is None else attribute
+    item = F.col("item") if item is None else item
     match cedent:
         case And(left, right) | Or(left, right):
-            return item_predicate(left) | item_predicate(right)
+            return item_predicate(left, attribute, item) | item_predicate(right, attribute, item)
         case Not(operand):
-            return ~item_predicate(operand)
-        case AllOf(attribute):
-            return F.col("attribute") == attribute
-        case Is(attribute, item):
-            return (F.col("attribute") == attribute) & (F.col("item") == item)
+            return ~item_predicate(operand, attribute, item)
+        case AllOf(number):
+            return attribute == number
+        case Is(number, value):
+            return (attribute == number) & (item == value)
         case _:
             return F.lit(False)
 
@@ -59,8 +65,18 @@ def appearance(item_values: DataFrame, antecedent: Cedent | None, consequent: Ce
     )
 
 
-def filter_item_instances(items: DataFrame, antecedent: Cedent | None, consequent: Cedent | None) -> DataFrame:
-    """With both sides given only their items stay, otherwise all do."""
+def item_filter(
+    antecedent: Cedent | None, consequent: Cedent | None
+) -> Callable[[Column, Column], Column] | None:
+    """With both sides given only their items take part, otherwise all do (``None``)."""
     if antecedent is None or consequent is None:
-        return items
-    return items.where(item_predicate(antecedent) | item_predicate(consequent))
+        return None
+    return lambda attribute, item: item_predicate(antecedent, attribute, item) | item_predicate(
+        consequent, attribute, item
+    )
+
+
+def filter_item_instances(items: DataFrame, antecedent: Cedent | None, consequent: Cedent | None) -> DataFrame:
+    """The rows of items that take part, see :func:`item_filter`."""
+    keep = item_filter(antecedent, consequent)
+    return items if keep is None else items.where(keep(F.col("attribute"), F.col("item")))

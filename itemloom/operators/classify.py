@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from itemloom.operators.itemsets import ROOT
+from itemloom.operators.itemsets import ROOT, only_items
 from itemloom.operators.rules import rule_order
 from itemloom.runtime import materialize, number_rows
 
@@ -32,6 +32,13 @@ def labelled_baskets(item_instances: DataFrame, class_attribute: int) -> DataFra
     return grouped.groupBy("items", "labels").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def keyed_baskets(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Baskets reduced to the items that occur on left sides, counted again, with a key."""
+    used = ranked.select(F.explode("antecedent").alias("item")).distinct()
+    grouped = only_items(baskets, used).groupBy("items", "labels").agg(F.sum("weight").alias("weight"))
+    return materialize(grouped.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
 def rank_rules(rules: DataFrame) -> DataFrame:
     """Rules with ``rank`` 1, 2, …: confidence, support, brevity, then items."""
     return materialize(number_rows(rules, rule_order(), "rank"), "ranked")
@@ -65,7 +72,7 @@ def signatures(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
     ``cover`` lists (rank, correct) of the rules that cover the basket, best first;
     baskets that agree in it are counted together.  Uncovered ones have an empty list.
     """
-    keyed = materialize(baskets.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    keyed = keyed_baskets(baskets, ranked)
     covers = (
         covering(keyed.select("key", "items", "labels"), ranked)
         .groupBy("key")
@@ -231,7 +238,7 @@ def score_thresholds(baskets: DataFrame, ranked: DataFrame, grid: Sequence[Thres
     )
     member = ranked.select("rank", F.explode(F.array_compact(F.array(*allowed))).alias("cell"))
     counts = member.groupBy("cell").agg(F.count(F.lit(1)).alias("rules"))
-    keyed = materialize(baskets.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    keyed = keyed_baskets(baskets, ranked)
     first = (
         covering(keyed, ranked.select("rank", "antecedent", "consequent"))
         .select("key", "labels", "weight", "rank", "correct")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.model import min_count
-from itemloom.runtime import materialize
+from itemloom.runtime import materialize, union_all
 
 # Up to this many frequent items the pruning of transactions is a hash-set test.
 PRUNE_LITERALS = 20_000
@@ -28,15 +28,13 @@ WIDE_TRANSACTION = 256
 ROOT = -1  # id of the empty itemset
 
 
-def transactions(item_instances: DataFrame, single_valued: bool = False) -> DataFrame:
+def transactions(item_instances: DataFrame) -> DataFrame:
     """The set of items of each id, sorted; ids without items do not occur.
 
     Duplicates are removed before rows of an id meet, so an id that owns a large
     share of all rows arrives with no more rows than it has different items.
     """
-    pairs = item_instances.select("id", "item")
-    if not single_valued:
-        pairs = pairs.distinct()
+    pairs = item_instances.select("id", "item").distinct()
     return pairs.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 
@@ -49,24 +47,39 @@ def weighted(tx: DataFrame) -> DataFrame:
     return tx.groupBy("items").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _spread(baskets: DataFrame) -> DataFrame:
+def weighted_columns(
+    rows: DataFrame, columns: list[tuple[int, str]], class_attribute: int | None = None
+) -> DataFrame:
+    """The same from rows with an item column per attribute.
+
+    Rows are counted by those columns, before any array is made.  With a
+    ``class_attribute`` its item is also given as ``labels``.
+    """
+    counted = rows.groupBy(*[name for _, name in columns]).agg(F.count(F.lit(1)).alias("weight"))
+
+    def present(names: list[str]) -> Column:
+        return F.sort_array(F.array_compact(F.array(*names)))
+
+    chosen = [present([name for _, name in columns]).alias("items")]
+    if class_attribute is not None:
+        chosen.append(present([name for a, name in columns if a == class_attribute]).alias("labels"))
+    return counted.select(*chosen, "weight")
+
+
+def spread(baskets: DataFrame, longest: int) -> DataFrame:
     """Add ``first``/``last``: the positions of first items a row is responsible for.
 
-    Wide rows are repeated per slice and redistributed, so one wide transaction is
-    counted by many tasks.
+    If there are wide transactions, they are repeated per slice and redistributed,
+    so that one wide transaction is counted by many tasks.
     """
-    size = F.size("items")
-    narrow = baskets.where(size <= WIDE_TRANSACTION).select(
-        "items", "weight", F.lit(0).alias("first"), size.alias("last")
-    )
-    slices = F.sequence(F.lit(0), size - 1, F.lit(WIDE_TRANSACTION))
-    wide = (
-        baskets.where(size > WIDE_TRANSACTION)
-        .select("items", "weight", F.explode(slices).alias("first"))
+    if longest <= WIDE_TRANSACTION:
+        return baskets.select("items", "weight", F.lit(0).alias("first"), F.size("items").alias("last"))
+    slices = F.sequence(F.lit(0), F.size("items") - 1, F.lit(WIDE_TRANSACTION))
+    return (
+        baskets.select("items", "weight", F.explode(slices).alias("first"))
         .withColumn("last", F.least(F.col("first") + WIDE_TRANSACTION, F.size("items")))
         .repartition(F.xxhash64("items"), "first")
     )
-    return narrow.unionByName(wide)
 
 
 @dataclass(frozen=True)
@@ -88,19 +101,22 @@ class Itemsets:
         return Itemsets(self.n, self.least, self.baskets, self.levels + (level,))
 
 
-def frequent_items(tx: DataFrame, least: int, sides: DataFrame | None) -> DataFrame:
-    """Level 1.  ``sides`` restricts items to sides of a rule (``item, can_lhs, can_rhs``)."""
-    counted = (
+def item_counts(tx: DataFrame) -> DataFrame:
+    return (
         tx.select(F.explode("items").alias("item"))
         .groupBy("item")
         .agg(F.count(F.lit(1)).alias("count"))
-        .where(F.col("count") >= least)
     )
+
+
+def first_level(counts: DataFrame, least: int, sides: DataFrame | None) -> DataFrame:
+    """Frequent single items.  ``sides`` gives ``item, can_lhs, can_rhs``; without it all sides are open."""
+    frequent = counts.where(F.col("count") >= least)
     if sides is None:
-        counted = counted.withColumns({"can_lhs": F.lit(True), "can_rhs": F.lit(True)})
+        frequent = frequent.withColumns({"can_lhs": F.lit(True), "can_rhs": F.lit(True)})
     else:
-        counted = counted.join(sides, "item")
-    return counted.select(
+        frequent = frequent.join(sides, "item")
+    return frequent.select(
         F.col("item").alias("set_id"),
         F.lit(ROOT).cast("long").alias("prefix"),
         F.lit(ROOT).cast("long").alias("tail"),
@@ -112,23 +128,36 @@ def frequent_items(tx: DataFrame, least: int, sides: DataFrame | None) -> DataFr
     )
 
 
+def only_items(tx: DataFrame, items: DataFrame) -> DataFrame:
+    """Drop all other items from each transaction, if few enough are wanted to list them.
+
+    An IN list of literals becomes a hash set.  With more items nothing is dropped,
+    which later lookups allow for.
+    """
+    listed = [row["item"] for row in items.select("item").limit(PRUNE_LITERALS + 1).collect()]
+    if len(listed) > PRUNE_LITERALS:
+        return tx
+    wanted = ",".join(str(i) for i in listed) or "NULL"
+    return tx.withColumn("items", F.expr(f"filter(items, i -> i IN ({wanted}))"))
+
+
+def begin(n: int, least: int, level: DataFrame, baskets: DataFrame, longest: int) -> Itemsets:
+    """A search from its first level and its weighted transactions."""
+    held = baskets.where(F.size("items") > 0)
+    return Itemsets(n, least, materialize(spread(held, longest), "baskets"), (level,))
+
+
 def start_search(tx: DataFrame, min_support: float, sides: DataFrame | None = None) -> Itemsets:
-    """Count transactions and single items, then prune and weigh the transactions.
+    """Begin from transactions alone: they are written once, then counted.
 
     The number of frequent items is at most (mean transaction length / support), so
     their ids are few however large the data is.
     """
     tx = materialize(tx.select("items"), "transactions")
-    n = tx.count()
-    least = min_count(min_support, n)
-    level = materialize(frequent_items(tx, least, sides), "level-1")
-    kept = level.count()
-    if kept <= PRUNE_LITERALS:
-        # an IN list of literals becomes a hash set
-        ids = ",".join(str(row["item"]) for row in level.select("item").collect())
-        tx = tx.select(F.expr(f"filter(items, i -> i IN ({ids}))").alias("items")) if ids else tx.limit(0)
-    baskets = materialize(_spread(weighted(tx.where(F.size("items") > 0))), "baskets")
-    return Itemsets(n, least, baskets, (level,))
+    whole = tx.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("items")).alias("longest")).first()
+    least = min_count(min_support, whole["n"])
+    level = materialize(first_level(item_counts(tx), least, sides), "level-1")
+    return begin(whole["n"], least, level, weighted(only_items(tx, level)), whole["longest"] or 0)
 
 
 def _reached(search: Itemsets, size: int) -> DataFrame:
@@ -229,10 +258,6 @@ def frequent_itemsets(tx: DataFrame, min_support: float, max_length: int) -> Dat
 
 
 def itemset_table(search: Itemsets) -> DataFrame:
-    frames = [level.select("items", "count") for level in search.levels]
-    table = frames[0]
-    for frame in frames[1:]:
-        table = table.unionByName(frame)
-    return table.select(
+    return union_all([level.select("items", "count") for level in search.levels]).select(
         "items", F.size("items").alias("size"), "count", (F.col("count") / search.n).alias("support")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions import measures
 from itemloom.operators.itemsets import Itemsets
+from itemloom.runtime import union_all
 
 def rule_order() -> list:
     """Best rules first; shorter and then smaller item ids settle ties."""
@@ -56,10 +57,7 @@ def association_rules(
     frames = [_rules_of_level(search, size) for size in range(min_length, top + 1)]
     if not frames:
         frames = [_rules_of_level(search, 1).limit(0)]
-    rules = frames[0]
-    for frame in frames[1:]:
-        rules = rules.unionByName(frame)
-    return rule_measures(rules.withColumn("n", F.lit(search.n).cast("long"))).where(
+    return rule_measures(union_all(frames).withColumn("n", F.lit(search.n).cast("long"))).where(
         F.col("confidence") >= min_confidence
     )
 
@@ -91,10 +89,8 @@ def limit_rules(rules: DataFrame, limit: int) -> DataFrame:
 
 
 def merge_results(parts: Sequence[DataFrame]) -> DataFrame:
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    """All rules of several results."""
+    return union_all(parts)
 
 
 def four_fold(rules: DataFrame) -> DataFrame:

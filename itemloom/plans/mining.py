@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from itemloom.model import MIN_MEASURE, AllOf, MiningTask, StageNote
-from itemloom.operators.attributes import Dataset
-from itemloom.operators.cedents import appearance, filter_item_instances
+from itemloom.model import MIN_MEASURE, AllOf, MiningTask, StageNote, min_count
+from itemloom.operators.attributes import Dataset, item_columns, rows_with_items
+from itemloom.operators.cedents import appearance, filter_item_instances, item_filter
 from itemloom.operators.classify import (
     Thresholds,
     best_thresholds,
@@ -18,7 +19,15 @@ from itemloom.operators.classify import (
     rank_rules,
     score_thresholds,
 )
-from itemloom.operators.itemsets import Itemsets, grow, start_search, transactions
+from itemloom.operators.itemsets import (
+    Itemsets,
+    begin,
+    first_level,
+    grow,
+    start_search,
+    transactions,
+    weighted_columns,
+)
 from itemloom.operators.rules import association_rules, filter_lift, limit_rules, merge_results
 from itemloom.runtime import materialize
 
@@ -60,10 +69,23 @@ def selected_instances(dataset: Dataset, task: MiningTask) -> DataFrame:
 
 
 def open_search(dataset: Dataset, task: MiningTask, min_support: float) -> Itemsets:
+    """Count transactions and items and get the transactions ready.
+
+    A dataset made from a wide table needs neither a shuffle of its instances nor a
+    pass to count items: its dictionary has the frequencies.
+    """
     free = task.antecedent is None and task.consequent is None
     sides = None if free else appearance(dataset.item_values, task.antecedent, task.consequent).drop("attribute")
-    tx = transactions(selected_instances(dataset, task), dataset.single_valued)
-    return start_search(tx, min_support, sides)
+    if dataset.rows is None:
+        return start_search(transactions(selected_instances(dataset, task)), min_support, sides)
+    keep = item_filter(task.antecedent, task.consequent)
+    n = rows_with_items(dataset.rows, keep).count()
+    least = min_count(min_support, n)
+    counts = filter_item_instances(dataset.item_values, task.antecedent, task.consequent)
+    counts = counts.select("item", F.col("frequency").alias("count"))
+    level = materialize(first_level(counts, least, sides), "level-1")
+    rows, columns = item_columns(dataset.rows, keep, level)
+    return begin(n, least, level, weighted_columns(rows, columns), len(columns))
 
 
 def _stages(
@@ -121,11 +143,15 @@ def mine_together(dataset: Dataset, task: MiningTask) -> MiningResult:
 
 
 def class_baskets(dataset: Dataset, task: MiningTask) -> DataFrame:
+    """Distinct transactions with their class labels; as wide rows they are recoded in place."""
     (attribute,) = task.consequent.attributes()
-    instances = dataset.item_instances
-    if task.antecedent is not None:
-        instances = selected_instances(dataset, task)
-    return materialize(labelled_baskets(instances, attribute), "labelled")
+    if dataset.rows is None:
+        grouped = labelled_baskets(selected_instances(dataset, task), attribute)
+    else:
+        keep = item_filter(task.antecedent, task.consequent)
+        rows, columns = item_columns(dataset.rows, keep)
+        grouped = weighted_columns(rows, columns, attribute).where(F.size("items") > 0)
+    return materialize(grouped, "labelled")
 
 
 def mine_auto(dataset: Dataset, task: MiningTask) -> tuple[MiningResult, Thresholds | None]:

@@ -60,6 +60,14 @@ ORDER_KEYS = f"""
            CASE field WHEN 1 THEN 'status' WHEN 2 THEN 'priority' ELSE 'segment' END
              || '(' || value_nominal || ')' AS t
     FROM ({ORDER_ITEMS})"""
+AMOUNT_KEYS = f"""
+    SELECT id, attribute, k, t FROM ({ORDER_KEYS})
+    UNION ALL
+    SELECT id, 4, '4:' || v, 'price(' || v || ')' FROM (SELECT id, CASE WHEN totalprice < 150000 THEN 'cheap'
+        WHEN totalprice < 300000 THEN 'mid' ELSE 'dear' END AS v FROM ({ORDERS}))
+    UNION ALL
+    SELECT id, 5, '5:' || v, 'balance(' || v || ')' FROM (
+        SELECT id, CASE WHEN acctbal < 0 THEN 'debt' ELSE 'credit' END AS v FROM ({ORDERS}))"""
 BASKET_KEYS = """
     SELECT l_orderkey AS id, 1 AS attribute, '1:' || p_type AS k, 'type(' || p_type || ')' AS t
     FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -385,10 +393,7 @@ ORACLES: dict[str, str] = {
                 SELECT *, (SELECT count(*) FROM documents) AS size FROM ({rules_sql(
                     DOC_LABEL_KEYS, 3, "*", left="{k} LIKE '2:%'", right="{k} LIKE '3:%'")}))))""",
     "staged_mining": rules_sql(
-        BASKET_KEYS,
-        4,
-        f"{SHOWN}, CAST(CASE WHEN length <= 3 THEN 1 ELSE 2 END AS INTEGER) AS stage",
-        right=STATUS_RIGHT,
+        AMOUNT_KEYS, 4, f"{SHOWN}, CAST(CASE WHEN length <= 3 THEN 1 ELSE 2 END AS INTEGER) AS stage"
     ),
     "rule_limit": rules_sql(ORDER_KEYS, tail=f"{ORDERED} LIMIT 100"),
     "mining_task": rules_sql(
@@ -408,6 +413,6 @@ ORACLES: dict[str, str] = {
         SELECT t1 AS text, CASE a1 WHEN 1 THEN 'status' WHEN 2 THEN 'priority' ELSE 'segment' END AS name,
                substr(k1, 3) AS value FROM f1 JOIN used ON used.k = f1.k1""",
     "rule_cedents": f"""{levels(BASKET_KEYS, 3)}, {rule_rows(3)}
-        SELECT DISTINCT array_to_string(list_transform(left_keys, x -> substr(x, 3)), ',') AS texts
+        SELECT DISTINCT array_to_string([substr(x, 3) FOR x IN left_keys], ',') AS texts
         FROM rules WHERE len(left_keys) >= 2""",
 }

@@ -33,7 +33,7 @@ from itemloom.model import (
 from itemloom.operators import attributes as attr
 from itemloom.operators import cedents, classify, cuts, itemsets, profile, rules, views, wording
 from itemloom.plans import mining
-from itemloom.runtime import scratch_path
+from itemloom.runtime import materialize, scratch_path
 from itemloom.sources import delimited, export, narrow, tables, triples
 from itemloom.streaming.support import final_support
 
@@ -78,21 +78,20 @@ ORDER_SPECS = (
 def orders_dataset(spark, sf_dir) -> attr.Dataset:
     """Status, priority and segment of every order; only these columns are profiled."""
     wide = tables.orders_wide(spark, sf_dir).select("id", "status", "priority", "segment")
-    source = tables.data_source(wide, tables.ORDER_FIELDS[:3])
-    return attr.build_attributes(source, ORDER_SPECS, single_valued=True)
+    source = tables.data_source(wide, tables.ORDER_FIELDS[:3], write_values=False)
+    return attr.build_attributes(source, ORDER_SPECS)
 
 
 def basket_dataset(spark, sf_dir) -> attr.Dataset:
     instances = tables.baskets(spark, sf_dir)
     values = profile.value_frequencies(instances)
-    size = instances.select("id").distinct().count()
-    source = attr.DataSource(tables.BASKET_FIELDS, instances, values, size)
+    source = attr.DataSource(tables.BASKET_FIELDS, instances, values)
     return attr.build_attributes(source, [Simple(1, "type", 1), Simple(2, "brand", 2)])
 
 
 def docs_dataset(spark, sf_dir) -> attr.Dataset:
     specs = [Simple(1, "lang", 1), Simple(2, "quality", 4), Simple(3, "toxic", 5)]
-    return attr.build_attributes(docs_source(spark, sf_dir), specs, single_valued=True)
+    return attr.build_attributes(docs_source(spark, sf_dir), specs)
 
 
 def item_of(dataset: attr.Dataset, attribute: int, value: str) -> int:
@@ -109,7 +108,7 @@ def all_rules(dataset: attr.Dataset, max_length: int = LENGTH, task: MiningTask
     search = mining.open_search(dataset, task or order_task(), SUPPORT)
     for search in itemsets.grow(search, max_length):
         pass
-    return rules.association_rules(search, CONFIDENCE, 1, max_length)
+    return materialize(rules.association_rules(search, CONFIDENCE, 1, max_length), "rules")
 
 
 def shown_rules(found: DataFrame, dataset: attr.Dataset) -> DataFrame:
@@ -560,7 +559,7 @@ def many_attributes(spark, sf_dir):
         Intervals(3, "size_group", 3, bins=SIZE_GROUPS.bins),
         Equidistant(4, "size_band", 3, bins=7),
     ]
-    dataset = attr.build_attributes(source, specs, single_valued=True)
+    dataset = attr.build_attributes(source, specs)
     per_item = dataset.item_instances.groupBy("attribute", "item").agg(F.count(F.lit(1)).alias("rows"))
     return dataset.item_values.join(per_item, ["attribute", "item"]).select(
         "attribute", "value", "frequency", "rows"
@@ -743,11 +742,34 @@ def four_fold_from_measures(spark, sf_dir):
     return _with_table(rules.four_fold_from_measures(found, dataset.size), dataset)
 
 
+AMOUNT_GROUPS = (
+    Intervals(
+        4,
+        "price",
+        4,
+        bins=(
+            ("cheap", (Interval(Border(float("-inf"), False), Border(150000.0, False)),)),
+            ("dear", (Interval(Border(300000.0), Border(float("inf"), False)),)),
+            ("mid", (Interval(Border(150000.0), Border(300000.0, False)),)),
+        ),
+    ),
+    Intervals(
+        5,
+        "balance",
+        5,
+        bins=(
+            ("debt", (Interval(Border(float("-inf"), False), Border(0.0, False)),)),
+            ("credit", (Interval(Border(0.0), Border(float("inf"), False)),)),
+        ),
+    ),
+)
+
+
 @query
 def staged_mining(spark, sf_dir):
-    """Baskets up to four items: rules up to length three first, then length four."""
-    dataset = basket_dataset(spark, sf_dir)
-    task = order_task(limit=1_000_000, max_length=4, consequent=AllOf(1))
+    """Five attributes of orders: rules up to length three first, then one length at a time."""
+    dataset = attr.build_attributes(orders_source(spark, sf_dir), [*ORDER_SPECS, *AMOUNT_GROUPS])
+    task = order_task(limit=1_000_000, max_length=4)
     parts = [
         shown_rules(stage.rules, dataset).withColumn("stage", F.lit(i))
         for i, stage in enumerate(mining.mine_staged(dataset, task), start=1)

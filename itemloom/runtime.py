@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# A checked size up to which one sorted window is cheaper than a range shuffle.
+SMALL_TABLE = 100_000
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -46,13 +49,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: int = 1) -> DataFrame:
     """Dense numbers ``start, start+1, …`` in the order of ``order_by`` (a total order).
 
-    Range partitions are sorted independently; each row's number is its place in
-    its partition plus the number of rows in earlier partitions.  No single task
-    ever sees more than one range.
+    Beyond ``SMALL_TABLE`` rows, range partitions are sorted independently; a row's
+    number is its place in its partition plus the number of rows in earlier
+    partitions, so no task sees more than one range.
     """
     columns = df.columns
+    written = materialize(df, "unnumbered")
+    if written.count() <= SMALL_TABLE:
+        row = F.row_number().over(Window.orderBy(*order_by)) + F.lit(start - 1)
+        return written.select(row.cast("long").alias(name), *columns)
     placed = materialize(
-        df.repartitionByRange(*order_by)
+        written.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_place", F.monotonically_increasing_id()),
         "numbered",
@@ -68,3 +75,10 @@ def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: i
     return placed.join(F.broadcast(offsets), "_range").select(
         (F.col("_offset") + within + F.lit(start)).cast("long").alias(name), *columns
     )
+
+
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.unionByName(frame)
+    return result

@@ -50,7 +50,8 @@ def with_row_id(df: DataFrame, order_by: Sequence[str | Column], name: str = "id
     return number_rows(df, list(order_by), name)
 
 
-def _cell(df: DataFrame, field: Field, locale: str, prefix: bool) -> Column:
+def cell(df: DataFrame, field: Field, locale: str = "en", prefix: bool = False) -> tuple[Column, Column]:
+    """Text and number of a wide column; text is typed cell by cell."""
     column = F.col(f"`{field.name}`")
     kind = df.schema[field.name].dataType
     if isinstance(kind, T.NumericType):
@@ -59,10 +60,13 @@ def _cell(df: DataFrame, field: Field, locale: str, prefix: bool) -> Column:
         number = locale_number(column, locale, prefix)
     else:
         number = F.lit(None).cast("double")
+    return column.cast("string"), number
+
+
+def _typed_cell(df: DataFrame, field: Field, locale: str, prefix: bool) -> Column:
+    text, number = cell(df, field, locale, prefix)
     return F.struct(
-        F.lit(field.field).alias("field"),
-        column.cast("string").alias("value_nominal"),
-        number.alias("value_numeric"),
+        F.lit(field.field).alias("field"), text.alias("value_nominal"), number.alias("value_numeric")
     )
 
 
@@ -78,7 +82,7 @@ def to_instances(
     Text is typed cell by cell whatever the declared type, since the type is only
     a view on the data.  Only the columns of ``fields`` are read; no shuffle.
     """
-    cells = F.array(*[_cell(wide, f, locale, prefix) for f in fields])
+    cells = F.array(*[_typed_cell(wide, f, locale, prefix) for f in fields])
     return wide.select(
         F.col(f"`{id_column}`").cast("long").alias("id"), F.inline(cells)
     ).where(F.col("value_nominal").isNotNull())

@@ -79,11 +79,16 @@ def docs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def data_source(wide: DataFrame, fields) -> DataSource:
-    """Narrow form and frequency table of a wide table whose id column is ``id``."""
+def data_source(wide: DataFrame, fields, write_values: bool = True) -> DataSource:
+    """Narrow form and frequency table of a wide table whose id column is ``id``.
+
+    The frequency table is written, unless it is going to be read only once.
+    """
     instances = to_instances(wide, "id", fields)
-    values = materialize(value_frequencies(instances), "values")
-    return DataSource(tuple(fields), instances, values, wide.count())
+    values = value_frequencies(instances)
+    if write_values:
+        values = materialize(values, "values")
+    return DataSource(tuple(fields), instances, values, wide)
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
