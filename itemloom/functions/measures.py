@@ -1,18 +1,9 @@
-"""Interest measures of a rule as column arithmetic."""
+"""Interest measures of a rule, as SQL over the counts of its sides.
 
-from __future__ import annotations
+``n_both`` transactions have both sides, ``n_left`` and ``n_right`` one of them, out
+of ``n``.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def support(both: Column, total: Column) -> Column:
-    return both / total
-
-
-def confidence(both: Column, left: Column) -> Column:
-    return both / left
-
-
-def lift(both: Column, left: Column, right: Column, total: Column) -> Column:
-    return (both / left) / (right / total)
+SUPPORT = "n_both / n"
+CONFIDENCE = "n_both / n_left"
+LIFT = "(n_both / n_left) / (n_right / n)"

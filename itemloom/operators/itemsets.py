@@ -102,28 +102,24 @@ class Itemsets:
 
 
 def item_counts(tx: DataFrame) -> DataFrame:
-    return (
-        tx.select(F.explode("items").alias("item"))
-        .groupBy("item")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    return tx.selectExpr("explode(items) AS item").groupBy("item").count()
 
 
 def first_level(counts: DataFrame, least: int, sides: DataFrame | None) -> DataFrame:
     """Frequent single items.  ``sides`` gives ``item, can_lhs, can_rhs``; without it all sides are open."""
-    frequent = counts.where(F.col("count") >= least)
+    frequent = counts.where(f"count >= {least}")
     if sides is None:
-        frequent = frequent.withColumns({"can_lhs": F.lit(True), "can_rhs": F.lit(True)})
+        frequent = frequent.selectExpr("*", "true AS can_lhs", "true AS can_rhs")
     else:
         frequent = frequent.join(sides, "item")
-    return frequent.select(
-        F.col("item").alias("set_id"),
-        F.lit(ROOT).cast("long").alias("prefix"),
-        F.lit(ROOT).cast("long").alias("tail"),
+    return frequent.selectExpr(
+        "item AS set_id",
+        f"{ROOT}L AS prefix",
+        f"{ROOT}L AS tail",
         "item",
-        F.array("item").alias("items"),
+        "array(item) AS items",
         "count",
-        (~F.col("can_lhs")).cast("int").alias("right_only"),
+        "CAST(NOT can_lhs AS INT) AS right_only",
         "can_rhs",
     )
 
@@ -162,42 +158,27 @@ def start_search(tx: DataFrame, min_support: float, sides: DataFrame | None = No
 
 def _reached(search: Itemsets, size: int) -> DataFrame:
     """Rows of (itemset of ``size`` items, items that may follow, weight) per transaction."""
-    position = F.col("_at")
-    level = search.levels[0].select("item", "set_id", "tail")
-    span = F.slice("items", F.col("first") + 1, F.col("last") - F.col("first"))
+    singles = search.levels[0].select("item", "set_id", "tail")
+    first_items = "posexplode(slice(items, first + 1, last - first)) AS (_at, item)"
     state = (
-        search.baskets.select("items", "weight", "first", F.posexplode(span).alias("_at", "item"))
-        .join(level, "item")
-        .select(
-            "set_id",
-            "tail",
-            _after("items", F.col("first") + position + 1).alias("rest"),
-            "weight",
-        )
+        search.baskets.selectExpr("items", "weight", "first", first_items)
+        .join(singles, "item")
+        .selectExpr("set_id", "tail", "weight", _rest("items", "first + _at"))
     )
-    for k in range(2, size + 1):
-        known = search.levels[k - 1].select(
-                        F.col("prefix").alias("set_id"),
-            "item",
-            F.col("set_id").alias("_next"),
-            F.col("tail").alias("_tail"),
-        )
+    for level in search.levels[1:size]:
+        known = level.selectExpr("prefix AS set_id", "item", "set_id AS _next", "tail AS _tail")
         state = (
-            state.where(F.size("rest") > 0)
-            .select("set_id", "weight", "rest", F.posexplode("rest").alias("_at", "item"))
+            state.where("size(rest) > 0")
+            .selectExpr("set_id", "weight", "rest", "posexplode(rest) AS (_at, item)")
             .join(known, ["set_id", "item"])
-            .select(
-                F.col("_next").alias("set_id"),
-                F.col("_tail").alias("tail"),
-                _after("rest", position + 1).alias("rest"),
-                "weight",
-            )
+            .selectExpr("_next AS set_id", "_tail AS tail", "weight", _rest("rest", "_at"))
         )
-    return state.where(F.size("rest") > 0)
+    return state.where("size(rest) > 0")
 
 
-def _after(array: str, position: Column) -> Column:
-    return F.slice(array, position + 1, F.greatest(F.size(array) - position, F.lit(0)))
+def _rest(array: str, position: str) -> str:
+    """What follows a zero-based position of an array."""
+    return f"slice({array}, {position} + 2, size({array}) - ({position}) - 1) AS rest"
 
 
 def next_level(search: Itemsets) -> DataFrame:
@@ -206,35 +187,31 @@ def next_level(search: Itemsets) -> DataFrame:
     A candidate needs both its prefix and its tail to be frequent; at most one of
     its items may be limited to the right side of a rule.
     """
-    size = len(search.levels)
     last, singles = search.levels[-1], search.levels[0]
-    tails = last.select(
-        F.col("prefix").alias("tail"),
-        "item",
-        F.col("set_id").alias("_tail"),
-    )
+    tails = last.selectExpr("prefix AS tail", "item", "set_id AS _tail")
     counted = (
-        _reached(search, size)
-        .select("set_id", "tail", "weight", F.explode("rest").alias("item"))
+        _reached(search, len(search.levels))
+        .selectExpr("set_id", "tail", "weight", "explode(rest) AS item")
         .join(tails, ["tail", "item"])
         .groupBy("set_id", "item", "_tail")
-        .agg(F.sum("weight").alias("count"))
-        .where(F.col("count") >= search.least)
+        .agg({"weight": "sum"})
+        .withColumnRenamed("sum(weight)", "count")
+        .where(f"count >= {search.least}")
     )
-    prefixes = last.select("set_id", "items", F.col("right_only").alias("_before"))
-    added = singles.select("item", F.col("right_only").alias("_added"))
+    prefixes = last.selectExpr("set_id", "items", "right_only AS _before")
+    added = singles.selectExpr("item", "right_only AS _added")
     return (
         counted.join(prefixes, "set_id")
         .join(added, "item")
-        .where(F.col("_before") + F.col("_added") <= 1)
-        .select(
-            F.monotonically_increasing_id().alias("set_id"),
-            F.col("set_id").alias("prefix"),
-            F.col("_tail").alias("tail"),
+        .where("_before + _added <= 1")
+        .selectExpr(
+            "monotonically_increasing_id() AS set_id",
+            "set_id AS prefix",
+            "_tail AS tail",
             "item",
-            F.concat("items", F.array("item")).alias("items"),
+            "concat(items, array(item)) AS items",
             "count",
-            (F.col("_before") + F.col("_added")).alias("right_only"),
+            "_before + _added AS right_only",
         )
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.functions import measures
+from itemloom.functions.measures import CONFIDENCE, LIFT, SUPPORT
 from itemloom.operators.itemsets import Itemsets
 from itemloom.runtime import union_all
 
@@ -24,28 +24,21 @@ def rule_order() -> list:
 
 def _rules_of_level(search: Itemsets, size: int) -> DataFrame:
     level, singles = search.levels[size - 1], search.levels[0]
-    right = singles.where("can_rhs").select(
-        F.col("item").alias("right"),
-        F.col("count").alias("n_right"),
-        F.col("right_only").alias("_right_only"),
+    right = singles.where("can_rhs").selectExpr(
+        "item AS right", "count AS n_right", "right_only AS _right_only"
     )
     # an item that may only stand on the right has to be the one that does
     split = (
-        level.select("items", F.col("count").alias("n_both"), "right_only", F.explode("items").alias("right"))
+        level.selectExpr("items", "count AS n_both", "right_only", "explode(items) AS right")
         .join(right, "right")
-        .where(F.col("right_only") == F.col("_right_only"))
-        .select(
-            F.array_remove("items", F.col("right")).alias("antecedent"),
-            F.array("right").alias("consequent"),
-            "n_both",
-            "n_right",
+        .where("right_only = _right_only")
+        .selectExpr(
+            "array_remove(items, right) AS antecedent", "array(right) AS consequent", "n_both", "n_right"
         )
     )
     if size == 1:
-        return split.withColumn("n_left", F.lit(search.n).cast("long"))
-    left = search.levels[size - 2].select(
-        F.col("items").alias("antecedent"), F.col("count").alias("n_left")
-    )
+        return split.selectExpr("*", f"{search.n}L AS n_left")
+    left = search.levels[size - 2].selectExpr("items AS antecedent", "count AS n_left")
     return split.join(left, "antecedent")
 
 
@@ -57,21 +50,20 @@ def association_rules(
     frames = [_rules_of_level(search, size) for size in range(min_length, top + 1)]
     if not frames:
         frames = [_rules_of_level(search, 1).limit(0)]
-    return rule_measures(union_all(frames).withColumn("n", F.lit(search.n).cast("long"))).where(
+    return rule_measures(union_all(frames).selectExpr("*", f"{search.n}L AS n")).where(
         F.col("confidence") >= min_confidence
     )
 
 
 def rule_measures(rules: DataFrame) -> DataFrame:
     """Support, confidence and lift from the counts of both sides."""
-    both, left, right, n = (F.col(c) for c in ("n_both", "n_left", "n_right", "n"))
-    return rules.select(
+    return rules.selectExpr(
         "antecedent",
         "consequent",
-        (F.size("antecedent") + 1).alias("length"),
-        measures.support(both, n).alias("support"),
-        measures.confidence(both, left).alias("confidence"),
-        measures.lift(both, left, right, n).alias("lift"),
+        "size(antecedent) + 1 AS length",
+        f"{SUPPORT} AS support",
+        f"{CONFIDENCE} AS confidence",
+        f"{LIFT} AS lift",
         "n_both",
         "n_left",
         "n_right",
@@ -95,23 +87,17 @@ def merge_results(parts: Sequence[DataFrame]) -> DataFrame:
 
 def four_fold(rules: DataFrame) -> DataFrame:
     """Exact 4-fold table over the transactions that were mined."""
-    both, left, right, n = (F.col(c) for c in ("n_both", "n_left", "n_right", "n"))
-    return rules.withColumns(
-        {"a": both, "b": left - both, "c": right - both, "d": n - left - right + both}
+    return rules.selectExpr(
+        "*", "n_both AS a", "n_left - n_both AS b", "n_right - n_both AS c", "n - n_left - n_right + n_both AS d"
     )
 
 
 def measures_from_four_fold(table: DataFrame) -> DataFrame:
     """Support, confidence and lift back from a 4-fold table."""
-    a, b, c, d = (F.col(x) for x in "abcd")
-    total = a + b + c + d
-    return table.withColumns(
-        {
-            "support": a / total,
-            "confidence": a / (a + b),
-            "lift": (a / (a + b)) / ((a + c) / total),
-        }
+    counted = table.drop("support", "confidence", "lift", "n_both", "n_left", "n_right", "n").selectExpr(
+        "*", "a AS n_both", "a + b AS n_left", "a + c AS n_right", "a + b + c + d AS n"
     )
+    return counted.selectExpr("*", f"{SUPPORT} AS support", f"{CONFIDENCE} AS confidence", f"{LIFT} AS lift")
 
 
 def four_fold_from_measures(rules: DataFrame, size: int) -> DataFrame:

@@ -7,38 +7,30 @@ from pyspark.sql import functions as F
 
 
 def _named_items(item_values: DataFrame, names: DataFrame) -> DataFrame:
-    text = F.concat("name", F.lit("("), "value", F.lit(")"))
-    return item_values.join(names, "attribute").select("item", "name", "value", text.alias("text"))
-
-
-def _joined(parts: str) -> Column:
-    ordered = F.transform(F.sort_array(F.collect_list(parts)), lambda p: p["text"])
-    return F.array_join(ordered, " & ")
+    named = item_values.join(names, "attribute")
+    return named.selectExpr("item", "name", "value", "concat(name, '(', value, ')') AS text")
 
 
 def side_texts(rules: DataFrame, item_values: DataFrame, names: DataFrame) -> DataFrame:
     """The text of every distinct rule side: ``side, text``."""
-    sides = rules.select(F.explode(F.array("antecedent", "consequent")).alias("side")).distinct()
-    placed = sides.select("side", F.posexplode("side").alias("at", "item"))
+    sides = rules.selectExpr("explode(array(antecedent, consequent)) AS side").distinct()
     return (
-        placed.join(_named_items(item_values, names), "item")
-        .select("side", F.struct("at", "text").alias("part"))
+        sides.selectExpr("side", "posexplode(side) AS (at, item)")
+        .join(_named_items(item_values, names), "item")
         .groupBy("side")
-        .agg(_joined("part").alias("text"))
+        .agg(F.expr("array_join(transform(sort_array(collect_list(struct(at, text))), p -> p.text), ' & ') AS text"))
     )
 
 
 def rule_text(rules: DataFrame, item_values: DataFrame, names: DataFrame) -> DataFrame:
     """``text`` like ``a(x) & b(y) → c(z)``; ``*`` stands for an empty left side."""
     texts = side_texts(rules, item_values, names)
-    left = texts.select(F.col("side").alias("antecedent"), F.col("text").alias("_left"))
-    right = texts.select(F.col("side").alias("consequent"), F.col("text").alias("_right"))
-    arrow = F.concat(F.coalesce("_left", F.lit("*")), F.lit(" → "), "_right")
+    left = texts.selectExpr("side AS antecedent", "text AS _left")
+    right = texts.selectExpr("side AS consequent", "text AS _right")
     return (
         rules.join(left, "antecedent", "left")
         .join(right, "consequent")
-        .withColumn("text", arrow)
-        .select(*rules.columns, "text")
+        .selectExpr(*rules.columns, "concat(coalesce(_left, '*'), ' → ', _right) AS text")
     )
 
 

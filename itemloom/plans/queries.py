@@ -113,12 +113,10 @@ def all_rules(dataset: attr.Dataset, max_length: int = LENGTH, task: MiningTask
 
 def shown_rules(found: DataFrame, dataset: attr.Dataset) -> DataFrame:
     worded = wording.rule_text(found, dataset.item_values, dataset.names())
-    return worded.select(
+    return worded.selectExpr(
         "text",
-        F.col("length").cast("long").alias("length"),
-        F.round("support", 6).alias("support"),
-        F.round("confidence", 6).alias("confidence"),
-        F.round("lift", 6).alias("lift"),
+        "CAST(length AS BIGINT) AS length",
+        *[f"round({name}, 6) AS {name}" for name in ("support", "confidence", "lift")],
     )
 
 
