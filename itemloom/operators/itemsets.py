@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.model import min_count
-from itemloom.runtime import materialize, union_all
+from itemloom.runtime import materialize, union_all, use_all_cores
 
 # Up to this many frequent items the pruning of transactions is a hash-set test.
 PRUNE_LITERALS = 20_000
@@ -140,7 +140,8 @@ def only_items(tx: DataFrame, items: DataFrame) -> DataFrame:
 def begin(n: int, least: int, level: DataFrame, baskets: DataFrame, longest: int) -> Itemsets:
     """A search from its first level and its weighted transactions."""
     held = baskets.where(F.size("items") > 0)
-    return Itemsets(n, least, materialize(spread(held, longest), "baskets"), (level,))
+    written = materialize(spread(held, longest), "baskets")
+    return Itemsets(n, least, use_all_cores(written), (level,))
 
 
 def start_search(tx: DataFrame, min_support: float, sides: DataFrame | None = None) -> Itemsets:

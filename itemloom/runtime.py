@@ -46,6 +46,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Redistribute a written table that has fewer files than the session has cores.
+
+    For small tables whose further processing is long.  Tables of many files stay as
+    they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: int = 1) -> DataFrame:
     """Dense numbers ``start, start+1, …`` in the order of ``order_by`` (a total order).
 
