@@ -47,16 +47,25 @@ def rank_rules(rules: DataFrame) -> DataFrame:
 def covering(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
     """Every basket paired with each rule whose left side it holds, and whether the rule is right.
 
-    A rule is looked up by one item of its left side and then checked in full; rules
-    with an empty left side are looked up by the empty itemset, which all baskets have.
+    A rule is looked up by the rarest item of its left side and then checked in full;
+    rules with an empty left side are looked up by the empty itemset, which all
+    baskets have.
     """
-    anchored = ranked.select(
+    entries = baskets.withColumn("anchor", F.explode(F.concat(F.array(F.lit(ROOT).cast("long")), F.col("items"))))
+    counts = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        ranked.select("rank", F.explode("antecedent").alias("anchor"))
+        .join(counts, "anchor", "left")
+        .groupBy("rank")
+        .agg(F.min_by("anchor", F.struct(F.coalesce("_n", F.lit(0)), "anchor")).alias("_rarest"))
+    )
+    anchored = ranked.join(rarest, "rank", "left").select(
         "rank",
         "antecedent",
         F.element_at("consequent", 1).alias("right"),
-        F.when(F.size("antecedent") > 0, F.array_max("antecedent")).otherwise(F.lit(ROOT)).alias("anchor"),
+        F.coalesce("_rarest", F.lit(ROOT)).alias("anchor"),
     )
-    entries = baskets.withColumn("anchor", F.explode(F.concat(F.array(F.lit(ROOT).cast("long")), F.col("items"))))
+    anchored = materialize(anchored, "anchored")
     held = F.forall("antecedent", lambda item: F.array_contains("items", item))
     return (
         entries.join(anchored, "anchor")

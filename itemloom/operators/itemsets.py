@@ -19,22 +19,27 @@ from pyspark.sql import functions as F
 from itemloom.model import min_count
 from itemloom.runtime import materialize, union_all, use_all_cores
 
-# Up to this many frequent items the pruning of transactions is a hash-set test.
+# Up to this many items the pruning of arrays is a hash-set test.
 PRUNE_LITERALS = 20_000
 # A transaction with more items than this is spread over several rows, each
 # responsible for one slice of first items.
 WIDE_TRANSACTION = 256
 
+# Up to this many frequent itemsets of a size, candidates are looked up before counting.
+LOOKUP_ROWS = 500_000
+
 ROOT = -1  # id of the empty itemset
 
 
-def transactions(item_instances: DataFrame) -> DataFrame:
+def transactions(item_instances: DataFrame, distinct: bool = False) -> DataFrame:
     """The set of items of each id, sorted; ids without items do not occur.
 
     Duplicates are removed before rows of an id meet, so an id that owns a large
     share of all rows arrives with no more rows than it has different items.
     """
-    pairs = item_instances.select("id", "item").distinct()
+    pairs = item_instances.select("id", "item")
+    if not distinct:
+        pairs = pairs.distinct()
     return pairs.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 
@@ -101,10 +106,6 @@ class Itemsets:
         return Itemsets(self.n, self.least, self.baskets, self.levels + (level,))
 
 
-def item_counts(tx: DataFrame) -> DataFrame:
-    return tx.selectExpr("explode(items) AS item").groupBy("item").count()
-
-
 def first_level(counts: DataFrame, least: int, sides: DataFrame | None) -> DataFrame:
     """Frequent single items.  ``sides`` gives ``item, can_lhs, can_rhs``; without it all sides are open."""
     frequent = counts.where(f"count >= {least}")
@@ -127,8 +128,7 @@ def first_level(counts: DataFrame, least: int, sides: DataFrame | None) -> DataF
 def only_items(tx: DataFrame, items: DataFrame) -> DataFrame:
     """Drop all other items from each transaction, if few enough are wanted to list them.
 
-    An IN list of literals becomes a hash set.  With more items nothing is dropped,
-    which later lookups allow for.
+    An IN list of literals becomes a hash set.  With more items nothing is dropped.
     """
     listed = [row["item"] for row in items.select("item").limit(PRUNE_LITERALS + 1).collect()]
     if len(listed) > PRUNE_LITERALS:
@@ -144,17 +144,19 @@ def begin(n: int, least: int, level: DataFrame, baskets: DataFrame, longest: int
     return Itemsets(n, least, use_all_cores(written), (level,))
 
 
-def start_search(tx: DataFrame, min_support: float, sides: DataFrame | None = None) -> Itemsets:
-    """Begin from transactions alone: they are written once, then counted.
+def start_search(item_instances: DataFrame, min_support: float, sides: DataFrame | None = None) -> Itemsets:
+    """Begin from narrow instances; duplicates of an (id, item) pair count once.
 
-    The number of frequent items is at most (mean transaction length / support), so
-    their ids are few however large the data is.
+    Items are pruned before the items of an id are brought together, so a
+    transaction is never longer than the list of frequent items: at most (mean
+    transaction length / support), however many rows one id owns.
     """
-    tx = materialize(tx.select("items"), "transactions")
-    whole = tx.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("items")).alias("longest")).first()
-    least = min_count(min_support, whole["n"])
-    level = materialize(first_level(item_counts(tx), least, sides), "level-1")
-    return begin(whole["n"], least, level, weighted(only_items(tx, level)), whole["longest"] or 0)
+    pairs = materialize(item_instances.select("id", "item").distinct(), "pairs")
+    n = pairs.select("id").distinct().count()
+    least = min_count(min_support, n)
+    level = materialize(first_level(pairs.groupBy("item").count(), least, sides), "level-1")
+    held = transactions(pairs.join(level.select("item"), "item", "left_semi"), distinct=True)
+    return begin(n, least, level, weighted(held), level.count())
 
 
 def _reached(search: Itemsets, size: int) -> DataFrame:
@@ -182,6 +184,10 @@ def _rest(array: str, position: str) -> str:
     return f"slice({array}, {position} + 2, size({array}) - ({position}) - 1) AS rest"
 
 
+def _weigh(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("weight").alias("count"))
+
+
 def next_level(search: Itemsets) -> DataFrame:
     """Frequent itemsets one item larger than the largest known ones.
 
@@ -190,15 +196,15 @@ def next_level(search: Itemsets) -> DataFrame:
     """
     last, singles = search.levels[-1], search.levels[0]
     tails = last.selectExpr("prefix AS tail", "item", "set_id AS _tail")
-    counted = (
-        _reached(search, len(search.levels))
-        .selectExpr("set_id", "tail", "weight", "explode(rest) AS item")
-        .join(tails, ["tail", "item"])
-        .groupBy("set_id", "item", "_tail")
-        .agg({"weight": "sum"})
-        .withColumnRenamed("sum(weight)", "count")
-        .where(f"count >= {search.least}")
-    )
+    reached = _reached(search, len(search.levels)).selectExpr("set_id", "tail", "weight", "explode(rest) AS item")
+    keys = ["set_id", "item", "_tail"]
+    if last.count() <= LOOKUP_ROWS:
+        # a lookup in a small table drops candidates before they are counted
+        counted = _weigh(reached.join(tails, ["tail", "item"]), keys)
+    else:
+        # otherwise count first, so that only sums meet the large table
+        counted = _weigh(reached, ["set_id", "item", "tail"]).join(tails, ["tail", "item"])
+    counted = counted.where(f"count >= {search.least}")
     prefixes = last.selectExpr("set_id", "items", "right_only AS _before")
     added = singles.selectExpr("item", "right_only AS _added")
     return (
@@ -227,9 +233,9 @@ def grow(search: Itemsets, max_length: int) -> Iterator[Itemsets]:
         yield search
 
 
-def frequent_itemsets(tx: DataFrame, min_support: float, max_length: int) -> DataFrame:
+def frequent_itemsets(item_instances: DataFrame, min_support: float, max_length: int) -> DataFrame:
     """``items, size, count, support`` of all frequent itemsets up to a size."""
-    search = start_search(tx, min_support)
+    search = start_search(item_instances, min_support)
     for search in grow(search, max_length):
         pass
     return itemset_table(search)

@@ -25,7 +25,6 @@ from itemloom.operators.itemsets import (
     first_level,
     grow,
     start_search,
-    transactions,
     weighted_columns,
 )
 from itemloom.operators.rules import association_rules, filter_lift, limit_rules, merge_results
@@ -77,7 +76,7 @@ def open_search(dataset: Dataset, task: MiningTask, min_support: float) -> Items
     free = task.antecedent is None and task.consequent is None
     sides = None if free else appearance(dataset.item_values, task.antecedent, task.consequent).drop("attribute")
     if dataset.rows is None:
-        return start_search(transactions(selected_instances(dataset, task)), min_support, sides)
+        return start_search(selected_instances(dataset, task), min_support, sides)
     keep = item_filter(task.antecedent, task.consequent)
     n = rows_with_items(dataset.rows, keep).count()
     least = min_count(min_support, n)
@@ -142,16 +141,27 @@ def mine_together(dataset: Dataset, task: MiningTask) -> MiningResult:
     return MiningResult(limit_rules(rules, task.limit) if notes else rules, notes)
 
 
-def class_baskets(dataset: Dataset, task: MiningTask) -> DataFrame:
-    """Distinct transactions with their class labels; as wide rows they are recoded in place."""
+def class_baskets(dataset: Dataset, task: MiningTask, rules: DataFrame) -> DataFrame:
+    """Distinct transactions, reduced to what ``rules`` can use, with their class labels."""
     (attribute,) = task.consequent.attributes()
+    used = rules.select(F.explode("antecedent").alias("item"))
+    of_class = dataset.item_values.where(F.col("attribute") == attribute).select("item")
+    wanted = used.union(of_class).distinct()
     if dataset.rows is None:
-        grouped = labelled_baskets(selected_instances(dataset, task), attribute)
+        instances = selected_instances(dataset, task).join(wanted, "item", "left_semi")
+        grouped = labelled_baskets(instances, attribute)
     else:
         keep = item_filter(task.antecedent, task.consequent)
-        rows, columns = item_columns(dataset.rows, keep)
+        rows, columns = item_columns(dataset.rows, keep, wanted)
         grouped = weighted_columns(rows, columns, attribute).where(F.size("items") > 0)
-    return materialize(grouped, "labelled")
+    grouped = materialize(grouped, "labelled")
+    # transactions without any of these items are neither covered nor labelled
+    counted = grouped.agg(F.sum("weight").alias("n")).first()["n"] or 0
+    one = rules.select("n").first()
+    others = 0 if one is None else one["n"] - counted
+    if others > 0:
+        grouped = grouped.union(grouped.sparkSession.createDataFrame([([], [], others)], grouped.schema))
+    return grouped
 
 
 def mine_auto(dataset: Dataset, task: MiningTask) -> tuple[MiningResult, Thresholds | None]:
@@ -178,7 +188,7 @@ def mine_auto(dataset: Dataset, task: MiningTask) -> tuple[MiningResult, Thresho
     for search in grow(search, bound):
         pass
     ranked = rank_rules(association_rules(search, min(AUTO_CONFIDENCES), 1, bound))
-    baskets = class_baskets(dataset, task)
+    baskets = class_baskets(dataset, task, ranked)
     chosen = best_thresholds(score_thresholds(baskets, ranked, grid))
     if chosen is None:
         return MiningResult(ranked.drop("rank").limit(0), ()), None
@@ -199,7 +209,8 @@ def mine(dataset: Dataset, task: MiningTask) -> MiningResult:
         return mine_auto(dataset, task)[0]
     if task.prune:
         result = mine_together(dataset, task)
-        pruned = cba_prune(class_baskets(dataset, task), result.rules).drop("rank")
+        found = materialize(result.rules, "limited")
+        pruned = cba_prune(class_baskets(dataset, task, found), found).drop("rank")
         return MiningResult(pruned, result.notes)
     stages = list(mine_staged(dataset, task))
     if not stages:

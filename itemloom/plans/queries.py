@@ -664,7 +664,7 @@ def longest_transaction(spark, sf_dir):
 def frequent_itemsets(spark, sf_dir):
     """Types and brands bought together, up to three at a time."""
     dataset = basket_dataset(spark, sf_dir)
-    found = itemsets.frequent_itemsets(itemsets.transactions(dataset.item_instances), SUPPORT, LENGTH)
+    found = itemsets.frequent_itemsets(dataset.item_instances, SUPPORT, LENGTH)
     found = found.select(
         "items", F.col("size").cast("long").alias("size"), "count", F.round("support", 6).alias("support")
     )

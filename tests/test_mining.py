@@ -37,41 +37,49 @@ def found_itemsets(frame):
 @pytest.mark.parametrize("seed, support, longest", [(1, 0.05, 3), (2, 0.02, 5), (3, 0.2, 4), (4, 1.0, 3)])
 def test_itemsets_equal_enumeration(spark, seed, support, longest):
     data = random_transactions(seed)
-    tx = itemsets.transactions(as_instances(spark, data + data[:0]))
+    tx = as_instances(spark, data)
     _, expected = brute_itemsets(data, support, longest)
     assert found_itemsets(itemsets.frequent_itemsets(tx, support, longest)) == expected
 
 
 def test_duplicate_rows_count_once(spark):
     instances = as_instances(spark, [[1, 2], [1]])
-    tx = itemsets.transactions(instances.union(instances))
-    assert found_itemsets(itemsets.frequent_itemsets(tx, 0.5, 2)) == {(1,): 2, (2,): 1, (1, 2): 1}
+    doubled = instances.union(instances)
+    assert {tuple(r["items"]) for r in itemsets.transactions(doubled).collect()} == {(1, 2), (1,)}
+    assert found_itemsets(itemsets.frequent_itemsets(doubled, 0.5, 2)) == {(1,): 2, (2,): 1, (1, 2): 1}
 
 
 def test_itemsets_equal_the_built_in_search(spark):
     data = [t for t in random_transactions(9, n=500, items=9) if t]
-    tx = itemsets.transactions(as_instances(spark, data))
+    instances = as_instances(spark, data)
+    tx = itemsets.transactions(instances)
     built_in = FPGrowth(itemsCol="items", minSupport=0.04).fit(tx).freqItemsets.collect()
-    ours = found_itemsets(itemsets.frequent_itemsets(tx, 0.04, 9))
+    ours = found_itemsets(itemsets.frequent_itemsets(instances, 0.04, 9))
     assert ours == {tuple(sorted(r["items"])): r["freq"] for r in built_in}
 
 
 def test_wide_transactions_are_spread(spark, monkeypatch):
     monkeypatch.setattr(itemsets, "WIDE_TRANSACTION", 3)
     data = random_transactions(5, n=120, items=11, longest=11)
-    tx = itemsets.transactions(as_instances(spark, data))
+    tx = as_instances(spark, data)
     search = itemsets.start_search(tx, 0.1)
     assert search.baskets.where(F.col("first") > 0).count() > 0
     _, expected = brute_itemsets(data, 0.1, 4)
     assert found_itemsets(itemsets.frequent_itemsets(tx, 0.1, 4)) == expected
 
 
-def test_unlisted_items_are_not_dropped_but_not_counted(spark, monkeypatch):
-    monkeypatch.setattr(itemsets, "PRUNE_LITERALS", 2)
+def test_counting_before_the_lookup(spark, monkeypatch):
+    monkeypatch.setattr(itemsets, "LOOKUP_ROWS", 0)
     data = random_transactions(6)
-    tx = itemsets.transactions(as_instances(spark, data))
-    _, expected = brute_itemsets(data, 0.3, 3)
-    assert found_itemsets(itemsets.frequent_itemsets(tx, 0.3, 3)) == expected
+    _, expected = brute_itemsets(data, 0.05, 4)
+    assert found_itemsets(itemsets.frequent_itemsets(as_instances(spark, data), 0.05, 4)) == expected
+
+
+def test_one_id_with_most_of_the_rows(spark):
+    data = random_transactions(7) + [list(range(1, 2000))]
+    _, expected = brute_itemsets([[i for i in t if i <= 12] for t in data], 0.05, 3)
+    found = found_itemsets(itemsets.frequent_itemsets(as_instances(spark, data), 0.05, 3))
+    assert found == expected
 
 
 def brute_rules(transactions, support, confidence, longest, left=lambda i: True, right=lambda i: True):
@@ -107,7 +115,7 @@ def found_rules(frame):
 def test_rules_with_sides(spark, left, right):
     data = random_transactions(11)
     sides = spark.createDataFrame([(i, left(i), right(i)) for i in range(1, 13)], "item long, can_lhs boolean, can_rhs boolean")
-    search = itemsets.start_search(itemsets.transactions(as_instances(spark, data)), 0.05, sides)
+    search = itemsets.start_search(as_instances(spark, data), 0.05, sides)
     for search in itemsets.grow(search, 4):
         pass
     found = rules.association_rules(search, 0.4)
