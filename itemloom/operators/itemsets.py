@@ -159,29 +159,27 @@ def start_search(item_instances: DataFrame, min_support: float, sides: DataFrame
     return begin(n, least, level, weighted(held), level.count())
 
 
+def _extended(state: DataFrame, *kept: str) -> DataFrame:
+    """Each row once for every item that comes after its position."""
+    return state.selectExpr(*kept, "pos", "posexplode(items) AS (at, item)").where("at > pos")
+
+
 def _reached(search: Itemsets, size: int) -> DataFrame:
-    """Rows of (itemset of ``size`` items, items that may follow, weight) per transaction."""
-    singles = search.levels[0].select("item", "set_id", "tail")
-    first_items = "posexplode(slice(items, first + 1, last - first)) AS (_at, item)"
+    """Itemsets of ``size`` items as found in transactions, with the position of their last item."""
+    # the transactions hold frequent items only, and a single item is its own set id
     state = (
-        search.baskets.selectExpr("items", "weight", "first", first_items)
-        .join(singles, "item")
-        .selectExpr("set_id", "tail", "weight", _rest("items", "first + _at"))
+        search.baskets.selectExpr("items", "weight", "first", "last", "posexplode(items) AS (pos, set_id)")
+        .where("pos >= first AND pos < last")
+        .selectExpr("set_id", f"{ROOT}L AS tail", "weight", "items", "pos")
     )
     for level in search.levels[1:size]:
         known = level.selectExpr("prefix AS set_id", "item", "set_id AS _next", "tail AS _tail")
         state = (
-            state.where("size(rest) > 0")
-            .selectExpr("set_id", "weight", "rest", "posexplode(rest) AS (_at, item)")
+            _extended(state, "set_id", "weight", "items")
             .join(known, ["set_id", "item"])
-            .selectExpr("_next AS set_id", "_tail AS tail", "weight", _rest("rest", "_at"))
+            .selectExpr("_next AS set_id", "_tail AS tail", "weight", "items", "at AS pos")
         )
-    return state.where("size(rest) > 0")
-
-
-def _rest(array: str, position: str) -> str:
-    """What follows a zero-based position of an array."""
-    return f"slice({array}, {position} + 2, size({array}) - ({position}) - 1) AS rest"
+    return state
 
 
 def _weigh(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,7 +194,7 @@ def next_level(search: Itemsets) -> DataFrame:
     """
     last, singles = search.levels[-1], search.levels[0]
     tails = last.selectExpr("prefix AS tail", "item", "set_id AS _tail")
-    reached = _reached(search, len(search.levels)).selectExpr("set_id", "tail", "weight", "explode(rest) AS item")
+    reached = _extended(_reached(search, len(search.levels)), "set_id", "tail", "weight").drop("pos", "at")
     keys = ["set_id", "item", "_tail"]
     if last.count() <= LOOKUP_ROWS:
         # a lookup in a small table drops candidates before they are counted
