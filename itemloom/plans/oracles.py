@@ -292,9 +292,14 @@ ORACLES: dict[str, str] = {
     "items_page": f"""SELECT item, attribute, value, frequency FROM (
             {dictionary(cells(PART, (1, 'brand', False), (2, 'type', False)))})
         WHERE attribute = 1 ORDER BY item LIMIT 10 OFFSET 5""",
-    "change_field_type": """SELECT CAST(field AS INTEGER) AS field, type, changed FROM (VALUES
-            (1, 'NOMINAL', FALSE), (2, 'NOMINAL', FALSE), (3, 'NUMERIC', FALSE),
-            (4, 'NOMINAL', FALSE), (5, 'NUMERIC', FALSE)) AS t(field, type, changed)""",
+    "change_field_type": f"""
+        WITH p AS (SELECT field, support_numeric, CASE field WHEN 5 THEN 'NOMINAL' ELSE type END AS type
+                   FROM ({PROFILE})),
+        c AS (SELECT CAST(x.flipped AS INTEGER) AS flipped, field, type,
+              field = x.flipped AND (type = 'NUMERIC' OR support_numeric > 0) AS changed
+              FROM p CROSS JOIN (VALUES (4), (1), (5)) AS x(flipped))
+        SELECT flipped, field, changed, CASE WHEN NOT changed THEN type WHEN type = 'NUMERIC' THEN 'NOMINAL'
+               ELSE 'NUMERIC' END AS type FROM c""",
     "drop_field": f"""SELECT field, CASE field WHEN 1 THEN 'brand' WHEN 2 THEN 'type' ELSE 'retailprice' END AS name,
             count(*) AS support_nominal, count(DISTINCT value_nominal) AS distinct_nominal
         FROM ({PART_CELLS}) WHERE field <> 3 GROUP BY field""",

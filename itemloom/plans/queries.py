@@ -421,10 +421,16 @@ def items_page(spark, sf_dir):
 
 @query
 def change_field_type(spark, sf_dir):
-    source = docs_source(spark, sf_dir)
-    found = profile.profile_fields(narrow.fields_frame(spark, source.fields), source.instances, source.values)
-    flipped = views.change_field_type(views.change_field_type(found, 4), 1)
-    return flipped.select("field", "type", "changed")
+    """Flip a numeric field, a nominal one without numbers, and a nominal one with numbers."""
+    wide = tables.docs_wide(spark, sf_dir)
+    fields = [*tables.DOC_FIELDS[:4], tables.Field(5, "toxic", FieldType.NOMINAL)]
+    source = tables.data_source(wide, fields)
+    found = profile.profile_fields(narrow.fields_frame(spark, fields), source.instances, source.values)
+    parts = [
+        views.change_field_type(found, field).select(F.lit(field).alias("flipped"), "field", "type", "changed")
+        for field in (4, 1, 5)
+    ]
+    return rules.merge_results(parts)
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.model import Field, FieldType
-from itemloom.operators.attributes import Dataset, DataSource
+from itemloom.operators.attributes import DataSource
 from itemloom.operators.profile import value_frequencies
 from itemloom.runtime import materialize
 from itemloom.sources.narrow import to_instances

@@ -233,7 +233,7 @@ def test_wide_rows_recode_like_narrow_instances(spark):
     ]
     dataset = attr.build_attributes(source, specs)
     recoded, columns = attr.item_columns(dataset.rows)
-    assert [a for a, _ in columns] == [1, 2, 4, 3] or [a for a, _ in columns] == [1, 2, 3, 4]
+    assert [a for a, _ in columns] == [1, 2, 4, 3]
     from_rows = recoded.select(F.explode(F.array_compact(F.array(*[n for _, n in columns]))).alias("item"))
     row_counts = {r["item"]: r["count"] for r in from_rows.groupBy("item").count().collect()}
     assert row_counts == counted(dataset)
@@ -245,7 +245,7 @@ def test_wide_rows_recode_like_narrow_instances(spark):
 def test_histogram_borders(spark):
     values = source_of(spark, [0.0, 1.0, 2.5, 5.0, 10.0, 10.0, None]).values
     found = profile.histogram(values, 1, 4).orderBy("bin").collect()
-    assert [r["frequency"] for r in found] == [2, 1 + 0, 1, 2] or [r["frequency"] for r in found] == [2, 1, 1, 2]
+    assert [r["frequency"] for r in found] == [2, 1, 1, 2]
     open_ends = profile.histogram(values, 1, 4, Border(0.0, False), Border(10.0, False)).orderBy("bin").collect()
     assert [r["frequency"] for r in open_ends] == [1, 1, 1, 0]
     assert [r["from_inclusive"] for r in open_ends] == [False, True, True, True]

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from itemloom.model import Field, FieldType
 from itemloom.streaming.support import running_support, stream_field_support
 
