@@ -124,7 +124,7 @@ class Lattice:
         return uses
 
 
-def _letter_words(texts: pa.Array) -> Words:
+def letter_words(texts: pa.Array) -> Words:
     """Words of letters only, in lower case."""
     letters = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL]+", " ")
     words = Words(letters)
@@ -188,7 +188,7 @@ def learn_languages(
 def _word_counts(sample: DataFrame) -> DataFrame:
     def count() -> Callable:
         def of(piece: pa.RecordBatch) -> dict:
-            words = _letter_words(piece.column("text"))
+            words = letter_words(piece.column("text"))
             place = np.repeat(piece.column("place").to_numpy(zero_copy_only=False), np.diff(words.bounds))
             keys, n = np.unique(place.astype(np.int64) << 32 | words.index, return_counts=True)
             return {
@@ -260,7 +260,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc
             return found
 
         def identify(piece: pa.RecordBatch) -> dict:
-            words = _letter_words(piece.column("text"))
+            words = letter_words(piece.column("text"))
             none = np.diff(words.bounds) == 0
             if model.languages:
                 sums = words.sums(scores(words.distinct.to_pylist()))

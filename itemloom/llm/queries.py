@@ -16,6 +16,7 @@ from itemloom.llm.secrets import BASE_RULES, find_secrets
 from itemloom.llm.sentence_pieces import encode_documents
 from itemloom.llm.texts import documents
 from itemloom.llm.token_counts import token_counts
+from itemloom.llm.toxicity import THRESHOLD, learn_toxicity, score_toxicity
 
 WORD_MODEL = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -125,3 +126,13 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
     hashed = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
     return found.select("doc_id", "n_tokens", *hashed)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_rest("doc_id", 3) == 1
+    machine = learn_toxicity(docs, labels.where(~held_out))
+    found = score_toxicity(docs, machine)
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted)
