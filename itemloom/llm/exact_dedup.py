@@ -13,11 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemloom.llm.components import join_spread
 from itemloom.llm.texts import WHITE, text_of
 from itemloom.runtime import materialize, scratch_path
 
 BUCKETS = 64
-HOT = 1_000  # a digest with more than 1 / HOT of the rows is hot, so there are fewer than HOT
 
 
 def text_digest(text: str = "text") -> Column:
@@ -79,13 +79,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     index.append(marked.select("digest", F.col("first_id").alias("keep_id")))
     held = index.rows().select("digest", "keep_id")
     final = materialize(marked.hint("merge").join(held.hint("merge"), "digest"), "digest-keepers")
-    total = F.lit(digests.count())
-    is_hot = F.col("group_size") * HOT > total
-    # fewer than HOT rows, so they may go to every task; the copies they stand for stay where they are
-    hot = F.broadcast(final.where(is_hot))
-    of_hot = digests.join(hot, "digest")
-    rest = digests.join(hot, "digest", "left_anti").join(final.where(~is_hot), "digest")
-    return of_hot.unionByName(rest).select(
+    return join_spread(digests, final, "digest", "group_size").select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -14,6 +14,7 @@ from itemloom.llm.languages import crc_rest, identify_languages, learn_languages
 from itemloom.llm.mixing import repetitions
 from itemloom.llm.secrets import BASE_RULES, find_secrets
 from itemloom.llm.sentence_pieces import encode_documents
+from itemloom.llm.similar_sets import similar_components
 from itemloom.llm.texts import documents
 from itemloom.llm.token_counts import token_counts
 from itemloom.llm.toxicity import THRESHOLD, learn_toxicity, score_toxicity
@@ -108,6 +109,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+@query
+def op6_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir))
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(documents(spark, sf_dir), fresh_index(spark))
