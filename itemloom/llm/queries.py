@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from itemloom.llm.exact_dedup import deduplicate, fresh_index
 from itemloom.llm.fingerprints import fingerprint_documents
 from itemloom.llm.languages import crc_rest, identify_languages, learn_languages
+from itemloom.llm.line_templates import drop_repeated_lines
 from itemloom.llm.mixing import repetitions
 from itemloom.llm.secrets import BASE_RULES, find_secrets
 from itemloom.llm.sentence_pieces import encode_documents
@@ -134,6 +135,13 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *hashed)
 
 
+@query
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_lines(documents(spark, sf_dir))
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("text_sha256")
+    return found.select("row.doc_id", "n_lines", "n_dropped", kept)
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -493,3 +493,23 @@ def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     kept = node.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
     added = joined.join(node, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
     return kept.unionByName(added)
+
+
+def one_of_each(
+    docs: DataFrame, similar: int = SIMILAR, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns: of each component the row with the smallest id, once.
+
+    Rows of equal id and text count as one; ids that are null come after all others, and rows
+    that share an id but not the text are told apart by their text.
+    """
+    key = F.struct(
+        F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.unhex(F.md5(text_of(text).cast("binary"))).alias("hash")
+    )
+    packed = docs.select(
+        key.alias("doc_id"), text_of(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    found = similar_components(packed.select("doc_id", "text"), similar, gram)
+    stays = materialize(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("of")).distinct(), "set-stays")
+    joined = packed.join(stays, packed["doc_id"] == stays["of"])
+    return joined.groupBy("of").agg(F.first("row").alias("row")).select("row.*")
