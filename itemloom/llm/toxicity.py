@@ -45,7 +45,7 @@ class FactorizationMachine:
 
     def scores(self, rows: np.ndarray, features: np.ndarray, count: int) -> np.ndarray:
         """Probabilities of texts from their (row, feature) pairs, each pair once."""
-        sums = np.bincount(rows, self.linear[features], count)
+        sums = np.bincount(rows, self.linear[features], count).astype(float)  # whole numbers if there are no pairs
         for weights in self.factors.T:
             own = weights[features]
             sums += (np.bincount(rows, own, count) ** 2 - np.bincount(rows, own * own, count)) / 2
