@@ -62,3 +62,15 @@ def segment(value: Column, cuts: Sequence[tuple[float, int]], labels: Sequence[C
         return F.when(left, branch(low, middle)).otherwise(branch(middle + 1, high))
 
     return branch(0, len(cuts))
+
+
+def equal_width_bin(number: Column, low: Column, width: Column, count: int) -> Column:
+    """The number of the equal-width bin that holds a number at or above ``low``.
+
+    Bin ``i`` begins at ``low + i * width`` as it is shown.  The quotient may round to the
+    other side of a border, so its neighbours are compared with the borders themselves.
+    """
+    guess = F.greatest(F.least(F.floor((number - low) / width).cast("int"), F.lit(count - 1)), F.lit(0))
+    up = ((guess < count - 1) & (number >= low + (guess + 1) * width)).cast("int")
+    down = ((guess > 0) & (number < low + guess * width)).cast("int")
+    return guess + up - down

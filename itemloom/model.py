@@ -255,6 +255,8 @@ class Not(Cedent):
 
 @dataclass(frozen=True)
 class MiningTask:
+    """What to mine.  In the automatic mode, ``auto_min_rows`` keeps supports below so many rows untried."""
+
     limit: int
     min_confidence: float | None = None
     min_support: float | None = None
@@ -265,23 +267,21 @@ class MiningTask:
     consequent: Cedent | None = None
     prune: bool = False
     auto: bool = False
+    auto_min_rows: int = 0
 
     def check(self) -> None:
         require(self.limit is not None and self.limit > 0, "the rule limit must be positive")
-        if not self.auto:
-            for name, value in (
-                ("confidence", self.min_confidence),
-                ("support", self.min_support),
-            ):
-                require(
-                    value is not None and MIN_MEASURE <= value <= 1,
-                    f"{name} must lie in [{MIN_MEASURE}, 1]",
-                )
-            require(self.min_length > 0, "the minimum rule length must be positive")
+        for name, value in (("confidence", self.min_confidence), ("support", self.min_support)):
             require(
-                self.max_length is not None and self.max_length >= self.min_length,
-                "the maximum rule length must not be below the minimum",
+                (value is None and self.auto) or (value is not None and MIN_MEASURE <= value <= 1),
+                f"{name} must lie in [{MIN_MEASURE}, 1]",
             )
+        require(self.min_length > 0, "the minimum rule length must be positive")
+        require(
+            (self.max_length is None and self.auto)
+            or (self.max_length is not None and self.max_length >= self.min_length),
+            "the maximum rule length must not be below the minimum",
+        )
         if self.auto or self.prune:
             require(
                 self.consequent is not None and len(self.consequent.attributes()) == 1,
@@ -289,7 +289,7 @@ class MiningTask:
             )
 
     def length_bound(self, attribute_count: int) -> int:
-        """No rule can be longer than its two patterns have attributes."""
+        """No rule over instances with one item per attribute is longer than its patterns have attributes."""
         sides = [self.antecedent, self.consequent]
         if any(side is None or not side.attributes() for side in sides):
             reachable = attribute_count

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.functions.labels import interval_label
-from itemloom.functions.numbers import segment
+from itemloom.functions.numbers import equal_width_bin, segment
 from itemloom.model import (
     AttributeSpec,
     Enumeration,
@@ -30,8 +30,9 @@ from itemloom.operators.cuts import (
     merge_cut_points,
     running_counts_table,
 )
+from itemloom.operators.profile import value_frequencies
 from itemloom.runtime import materialize, number_rows, union_all
-from itemloom.sources.narrow import cell
+from itemloom.sources.narrow import cell, to_instances
 
 BIN_SCHEMA = "attribute int, bin int, `from` double, `to` double, frequency long"
 BORDER_SCHEMA = (
@@ -42,18 +43,38 @@ BORDER_SCHEMA = (
 
 @dataclass(frozen=True)
 class DataSource:
-    """A profiled narrow table.
+    """A narrow table with its fields.
 
     ``wide`` is the table it was made from, if it has one row per instance; its
-    columns are named like the fields.
+    columns are named like the fields.  ``counted`` is the frequency table, if it has been
+    made already.
     """
 
     fields: tuple[Field, ...]
     instances: DataFrame
-    values: DataFrame
+    counted: DataFrame | None = None
     wide: DataFrame | None = None
     locale: str = "en"
 
+    @cached_property
+    def values(self) -> DataFrame:
+        """The frequency table of all fields, written when first asked for."""
+        if self.counted is not None:
+            return self.counted
+        return materialize(value_frequencies(self.instances), "values")
+
+    def cells(self, fields: Sequence[int]) -> DataFrame:
+        """The instances of some fields; of a wide table, only their columns are read."""
+        if self.wide is None:
+            return self.instances.where(F.col("field").isin(list(fields)))
+        return to_instances(self.wide, "id", [f for f in self.fields if f.field in fields], self.locale)
+
+    def frequencies(self, fields: Sequence[int]) -> DataFrame:
+        """The frequency table of some fields, not written."""
+        if self.counted is not None or "values" in self.__dict__:
+            return self.values.where(F.col("field").isin(list(fields)))
+        return value_frequencies(self.cells(fields))
+
     def field(self, number: int) -> Field | None:
         return next((f for f in self.fields if f.field == number), None)
 
@@ -165,9 +186,13 @@ def assign_item_ids(values: DataFrame, start: int = 0) -> DataFrame:
     return number_rows(values.select("attribute", "value", "frequency"), ["attribute", "value"], "item", start + 1)
 
 
+def _fields_of(specs: Sequence[AttributeSpec]) -> list[int]:
+    return sorted({s.field for s in specs})
+
+
 def labelled_items(source: DataSource, specs: Sequence[AttributeSpec], start: int = 0) -> DataFrame:
     counted = (
-        labelled(source.values.select("field", "value_nominal", "value_numeric", "frequency"), source, specs)
+        labelled(source.frequencies(_fields_of(specs)), source, specs)
         .groupBy("attribute", "value")
         .agg(F.sum("frequency").alias("frequency"))
     )
@@ -176,7 +201,7 @@ def labelled_items(source: DataSource, specs: Sequence[AttributeSpec], start: in
 
 def labelled_instances(source: DataSource, specs: Sequence[AttributeSpec], items: DataFrame) -> DataFrame:
     """Instances joined to their items; the optimizer knows the written dictionary's size."""
-    cells = labelled(source.instances, source, specs)
+    cells = labelled(source.cells(_fields_of(specs)), source, specs)
     return cells.join(items.select("attribute", "value", "item"), ["attribute", "value"]).select(
         "id", "attribute", "item"
     )
@@ -199,7 +224,7 @@ class BinnedAttribute:
 def _equal_width_index(lo: float, width: float, count: int) -> Callable[[Column], Column]:
     if count == 1:
         return lambda number: F.lit(0)
-    return lambda number: F.least(F.floor((number - F.lit(lo)) / F.lit(width)), F.lit(count - 1)).cast("int")
+    return lambda number: equal_width_bin(number, F.lit(lo), F.lit(width), count)
 
 
 def _between_cuts(cuts: list[tuple[float, int]]) -> Callable[[Column], Column]:
@@ -208,15 +233,16 @@ def _between_cuts(cuts: list[tuple[float, int]]) -> Callable[[Column], Column]:
 
 def equidistant(source: DataSource, specs: Sequence[Equidistant]) -> list[BinnedAttribute]:
     """Bins of equal width; empty ones keep frequency 0, a constant field gives one bin."""
-    fields = sorted({s.field for s in specs})
-    numbers = source.values.where(F.col("field").isin(fields) & F.col("value_numeric").isNotNull())
+    found = source.frequencies(_fields_of(specs)).where(F.col("value_numeric").isNotNull())
+    # equal numbers written differently count as one
+    numbers = materialize(found.groupBy("field", "value_numeric").agg(F.sum("frequency").alias("frequency")), "numbers")
     ranges = {
         row["field"]: (row["lo"], row["hi"])
         for row in numbers.groupBy("field")
         .agg(F.min("value_numeric").alias("lo"), F.max("value_numeric").alias("hi"))
         .collect()
     }
-    spark, made = source.values.sparkSession, []
+    spark, made = source.instances.sparkSession, []
     for spec in specs:
         if spec.field not in ranges:
             continue
@@ -250,10 +276,10 @@ def equidistant(source: DataSource, specs: Sequence[Equidistant]) -> list[Binned
 
 def balanced(source: DataSource, specs: Sequence[Equifrequent | Equisized]) -> list[BinnedAttribute]:
     """Equal-frequency and minimum-support bins, smoothed, with half-way borders."""
-    fields = sorted({s.field for s in specs})
-    table = materialize(running_counts_table(source.values, fields), "running-counts")
+    fields = _fields_of(specs)
+    table = materialize(running_counts_table(source.frequencies(fields), fields), "running-counts")
     sequences = load_running_counts(table, fields)
-    spark, made = source.values.sparkSession, []
+    spark, made = source.instances.sparkSession, []
     for spec in specs:
         counts = sequences.get(spec.field)
         if counts is None:
@@ -300,9 +326,8 @@ def binned_instances(source: DataSource, binned: Sequence[BinnedAttribute], star
     for field, options in by_field.items():
         here = F.col("field") == field
         choice = F.when(here, F.array(*options)) if choice is None else choice.when(here, F.array(*options))
-    return source.instances.where(
-        F.col("field").isin(list(by_field)) & F.col("value_numeric").isNotNull()
-    ).select("id", F.inline(choice))
+    cells = source.cells(list(by_field)).where(F.col("value_numeric").isNotNull())
+    return cells.select("id", F.inline(choice))
 
 
 # --------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from itemloom.operators.itemsets import ROOT, only_items
+from itemloom.operators.itemsets import ROOT
 from itemloom.operators.rules import rule_order
 from itemloom.runtime import materialize, number_rows
 
@@ -35,7 +35,16 @@ def labelled_baskets(item_instances: DataFrame, class_attribute: int) -> DataFra
 def keyed_baskets(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
     """Baskets reduced to the items that occur on left sides, counted again, with a key."""
     used = ranked.select(F.explode("antecedent").alias("item")).distinct()
-    grouped = only_items(baskets, used).groupBy("items", "labels").agg(F.sum("weight").alias("weight"))
+    whole = materialize(baskets.withColumn("key", F.monotonically_increasing_id()), "baskets")
+    kept = (
+        whole.select("key", F.explode("items").alias("item"))
+        .join(used, "item", "left_semi")
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list("item")).alias("_kept"))
+    )
+    nothing = F.array().cast(baskets.schema["items"].dataType)
+    reduced = whole.drop("items").join(kept, "key", "left").withColumn("items", F.coalesce("_kept", nothing))
+    grouped = reduced.groupBy("items", "labels").agg(F.sum("weight").alias("weight"))
     return materialize(grouped.withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 

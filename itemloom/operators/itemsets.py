@@ -4,29 +4,23 @@ Equal transactions are counted once with a weight, which for recoded tables
 shrinks the input to the number of distinct item combinations.  Itemsets grow one
 item at a time inside each transaction: a row carries the itemset reached so far
 and the items that may still follow, so a level needs no join between rows of a
-transaction, only lookups in the tables of smaller frequent itemsets and one
-partially pre-aggregated count.
+transaction, only a lookup of the itemsets just found and one partially
+pre-aggregated count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.model import min_count
-from itemloom.runtime import materialize, union_all, use_all_cores
+from itemloom.runtime import materialize, union_all
 
-# Up to this many items the pruning of arrays is a hash-set test.
-PRUNE_LITERALS = 20_000
-# A transaction with more items than this is spread over several rows, each
-# responsible for one slice of first items.
-WIDE_TRANSACTION = 256
-
-# Up to this many frequent itemsets of a size, candidates are looked up before counting.
-LOOKUP_ROWS = 500_000
+# A transaction is spread over rows that are each responsible for so many first items.
+SLICE = 256
 
 ROOT = -1  # id of the empty itemset
 
@@ -43,8 +37,10 @@ def transactions(item_instances: DataFrame, distinct: bool = False) -> DataFrame
     return pairs.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 
-def max_transaction_length(tx: DataFrame) -> DataFrame:
-    return tx.agg(F.max(F.size("items")).alias("max_length"))
+def max_transaction_length(item_instances: DataFrame) -> DataFrame:
+    """The most items an id has; counted, so no list of them is made."""
+    sizes = item_instances.select("id", "item").distinct().groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    return sizes.agg(F.max("size").alias("max_length"))
 
 
 def weighted(tx: DataFrame) -> DataFrame:
@@ -71,39 +67,41 @@ def weighted_columns(
     return counted.select(*chosen, "weight")
 
 
-def spread(baskets: DataFrame, longest: int) -> DataFrame:
+def spread(baskets: DataFrame) -> DataFrame:
     """Add ``first``/``last``: the positions of first items a row is responsible for.
 
-    If there are wide transactions, they are repeated per slice and redistributed,
-    so that one wide transaction is counted by many tasks.
+    A transaction is repeated per slice and the slices are dealt anew, so one long
+    transaction is counted by many tasks.
     """
-    if longest <= WIDE_TRANSACTION:
-        return baskets.select("items", "weight", F.lit(0).alias("first"), F.size("items").alias("last"))
-    slices = F.sequence(F.lit(0), F.size("items") - 1, F.lit(WIDE_TRANSACTION))
+    slices = F.sequence(F.lit(0), F.size("items") - 1, F.lit(SLICE))
     return (
-        baskets.select("items", "weight", F.explode(slices).alias("first"))
-        .withColumn("last", F.least(F.col("first") + WIDE_TRANSACTION, F.size("items")))
+        baskets.where(F.size("items") > 0)
+        .select("items", "weight", F.explode(slices).alias("first"))
+        .withColumn("last", F.least(F.col("first") + SLICE, F.size("items")))
         .repartition(F.xxhash64("items"), "first")
     )
 
 
 @dataclass(frozen=True)
 class Itemsets:
-    """State of a search: transactions, and the tables of frequent itemsets by size.
+    """State of a search: the tables of frequent itemsets by size, and where they were found.
 
     A level table has one row per itemset: ``set_id``, ``prefix`` (id without the
     last item), ``tail`` (id without the first), the last ``item``, the sorted
     ``items``, the ``count``, and ``right_only``, the number of items that may not
-    stand on the left of a rule.
+    stand on the left of a rule.  ``state`` has a row for every transaction and every
+    itemset of the largest size in it: ``set_id``, ``tail``, ``weight``, and ``rest``, the
+    items of the transaction that come after.
     """
 
     n: int
     least: int
     baskets: DataFrame
     levels: tuple[DataFrame, ...]
+    state: DataFrame
 
     def grown(self, level: DataFrame) -> "Itemsets":
-        return Itemsets(self.n, self.least, self.baskets, self.levels + (level,))
+        return replace(self, levels=self.levels + (level,), state=_advanced(self.state, level))
 
 
 def first_level(counts: DataFrame, least: int, sides: DataFrame | None) -> DataFrame:
@@ -125,23 +123,15 @@ def first_level(counts: DataFrame, least: int, sides: DataFrame | None) -> DataF
     )
 
 
-def only_items(tx: DataFrame, items: DataFrame) -> DataFrame:
-    """Drop all other items from each transaction, if few enough are wanted to list them.
-
-    An IN list of literals becomes a hash set.  With more items nothing is dropped.
-    """
-    listed = [row["item"] for row in items.select("item").limit(PRUNE_LITERALS + 1).collect()]
-    if len(listed) > PRUNE_LITERALS:
-        return tx
-    wanted = ",".join(str(i) for i in listed) or "NULL"
-    return tx.withColumn("items", F.expr(f"filter(items, i -> i IN ({wanted}))"))
-
-
-def begin(n: int, least: int, level: DataFrame, baskets: DataFrame, longest: int) -> Itemsets:
+def begin(n: int, least: int, level: DataFrame, baskets: DataFrame) -> Itemsets:
     """A search from its first level and its weighted transactions."""
-    held = baskets.where(F.size("items") > 0)
-    written = materialize(spread(held, longest), "baskets")
-    return Itemsets(n, least, use_all_cores(written), (level,))
+    written = materialize(spread(baskets), "baskets")
+    # the transactions hold frequent items only, and a single item is its own set id
+    singles = written.selectExpr("items", "weight", "first", "last", "posexplode(items) AS (pos, set_id)").where(
+        "pos >= first AND pos < last"
+    )
+    state = singles.selectExpr("set_id", f"{ROOT}L AS tail", "weight", "slice(items, pos + 2, size(items)) AS rest")
+    return Itemsets(n, least, written, (level,), state)
 
 
 def start_search(item_instances: DataFrame, min_support: float, sides: DataFrame | None = None) -> Itemsets:
@@ -156,34 +146,17 @@ def start_search(item_instances: DataFrame, min_support: float, sides: DataFrame
     least = min_count(min_support, n)
     level = materialize(first_level(pairs.groupBy("item").count(), least, sides), "level-1")
     held = transactions(pairs.join(level.select("item"), "item", "left_semi"), distinct=True)
-    return begin(n, least, level, weighted(held), level.count())
-
+    return begin(n, least, level, weighted(held))
 
-def _extended(state: DataFrame, *kept: str) -> DataFrame:
-    """Each row once for every item that comes after its position."""
-    return state.selectExpr(*kept, "pos", "posexplode(items) AS (at, item)").where("at > pos")
 
-
-def _reached(search: Itemsets, size: int) -> DataFrame:
-    """Itemsets of ``size`` items as found in transactions, with the position of their last item."""
-    # the transactions hold frequent items only, and a single item is its own set id
-    state = (
-        search.baskets.selectExpr("items", "weight", "first", "last", "posexplode(items) AS (pos, set_id)")
-        .where("pos >= first AND pos < last")
-        .selectExpr("set_id", f"{ROOT}L AS tail", "weight", "items", "pos")
+def _advanced(state: DataFrame, level: DataFrame) -> DataFrame:
+    """The state one size up: every itemset followed by each item that makes a frequent one."""
+    known = level.selectExpr("prefix AS set_id", "item", "set_id AS _next", "tail AS _tail")
+    return (
+        state.selectExpr("set_id", "weight", "rest", "posexplode(rest) AS (at, item)")
+        .join(known, ["set_id", "item"])
+        .selectExpr("_next AS set_id", "_tail AS tail", "weight", "slice(rest, at + 2, size(rest)) AS rest")
     )
-    for level in search.levels[1:size]:
-        known = level.selectExpr("prefix AS set_id", "item", "set_id AS _next", "tail AS _tail")
-        state = (
-            _extended(state, "set_id", "weight", "items")
-            .join(known, ["set_id", "item"])
-            .selectExpr("_next AS set_id", "_tail AS tail", "weight", "items", "at AS pos")
-        )
-    return state
-
-
-def _weigh(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum("weight").alias("count"))
 
 
 def next_level(search: Itemsets) -> DataFrame:
@@ -194,15 +167,10 @@ def next_level(search: Itemsets) -> DataFrame:
     """
     last, singles = search.levels[-1], search.levels[0]
     tails = last.selectExpr("prefix AS tail", "item", "set_id AS _tail")
-    reached = _extended(_reached(search, len(search.levels)), "set_id", "tail", "weight").drop("pos", "at")
-    keys = ["set_id", "item", "_tail"]
-    if last.count() <= LOOKUP_ROWS:
-        # a lookup in a small table drops candidates before they are counted
-        counted = _weigh(reached.join(tails, ["tail", "item"]), keys)
-    else:
-        # otherwise count first, so that only sums meet the large table
-        counted = _weigh(reached, ["set_id", "item", "tail"]).join(tails, ["tail", "item"])
-    counted = counted.where(f"count >= {search.least}")
+    # counted first, so that only sums meet the table of itemsets
+    candidates = search.state.selectExpr("set_id", "tail", "weight", "explode(rest) AS item")
+    counted = candidates.groupBy("set_id", "item", "tail").agg(F.sum("weight").alias("count"))
+    counted = counted.where(f"count >= {search.least}").join(tails, ["tail", "item"])
     prefixes = last.selectExpr("set_id", "items", "right_only AS _before")
     added = singles.selectExpr("item", "right_only AS _added")
     return (
@@ -223,8 +191,10 @@ def next_level(search: Itemsets) -> DataFrame:
 
 def grow(search: Itemsets, max_length: int) -> Iterator[Itemsets]:
     """The search after each further level, until a level is empty or long enough."""
-    while len(search.levels) < max_length:
-        level = materialize(next_level(search), f"level-{len(search.levels) + 1}")
+    while (size := len(search.levels)) < max_length:
+        if 1 < size < max_length - 1:  # read for this level and again for the next state
+            search = replace(search, state=materialize(search.state, f"state-{size}"))
+        level = materialize(next_level(search), f"level-{size + 1}")
         if level.isEmpty():
             return
         search = search.grown(level)

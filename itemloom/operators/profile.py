@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemloom.functions.numbers import equal_width_bin
 from itemloom.model import MAX_BINS, Border, require
 
 
@@ -133,7 +134,7 @@ def histogram(
     high_inclusive = high is None or high.inclusive
     v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
     inside = ((v >= lo) if low_inclusive else (v > lo)) & ((v <= hi) if high_inclusive else (v < hi))
-    index = F.least(F.floor((v - lo) / F.col("_width")), F.lit(bins - 1)).cast("int")
+    index = equal_width_bin(v, lo, F.col("_width"), bins)
     counted = (
         numbers.join(F.broadcast(borders), "field")  # borders is a single row
         .where(inside)

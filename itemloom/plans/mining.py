@@ -24,6 +24,7 @@ from itemloom.operators.itemsets import (
     begin,
     first_level,
     grow,
+    max_transaction_length,
     start_search,
     weighted_columns,
 )
@@ -35,7 +36,6 @@ FIRST_STAGE_LENGTH = 3
 # Thresholds the automatic mode tries.
 AUTO_SUPPORTS = (0.001, 0.005, 0.01, 0.05, 0.1)
 AUTO_CONFIDENCES = (0.1, 0.3, 0.5, 0.7, 0.9)
-AUTO_MIN_ROWS = 10
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,21 @@ def open_search(dataset: Dataset, task: MiningTask, min_support: float) -> Items
     counts = counts.select("item", F.col("frequency").alias("count"))
     level = materialize(first_level(counts, least, sides), "level-1")
     rows, columns = item_columns(dataset.rows, keep, level)
-    return begin(n, least, level, weighted_columns(rows, columns), len(columns))
+    return begin(n, least, level, weighted_columns(rows, columns))
+
+
+def longest_rule(dataset: Dataset, task: MiningTask) -> int:
+    """How many items a rule can have.
+
+    An instance of a wide source has one item per attribute, so the attributes of the two
+    patterns bound the length.  Elsewhere an instance may have many items of an attribute,
+    and only the longest transaction is a bound.
+    """
+    if dataset.rows is not None:
+        return task.length_bound(len(dataset.attributes))
+    if task.max_length is not None:
+        return task.max_length
+    return max_transaction_length(selected_instances(dataset, task)).first()["max_length"] or 0
 
 
 def _stages(
@@ -108,7 +122,7 @@ def _stages(
 def mine_staged(dataset: Dataset, task: MiningTask) -> Iterator[Stage]:
     """Publish rules stage by stage; shorter rules come first and fill the limit first."""
     task.check()
-    bound = task.length_bound(len(dataset.attributes))
+    bound = longest_rule(dataset, task)
     search = open_search(dataset, task, task.min_support)
     published = 0
     for low, high, rules, found in _stages(search, task, task.min_confidence, stage_lengths(task.min_length, bound)):
@@ -126,7 +140,7 @@ def mine_staged(dataset: Dataset, task: MiningTask) -> Iterator[Stage]:
 
 def mine_together(dataset: Dataset, task: MiningTask) -> MiningResult:
     """All lengths as one result: search until the limit is reached, then the best rules."""
-    bound = task.length_bound(len(dataset.attributes))
+    bound = longest_rule(dataset, task)
     search = open_search(dataset, task, task.min_support)
     parts, total, notes = [], 0, ()
     for _, high, rules, found in _stages(
@@ -175,8 +189,8 @@ def mine_auto(dataset: Dataset, task: MiningTask) -> tuple[MiningResult, Thresho
         # the class is the whole attribute, whichever of its values were named
         (attribute,) = task.consequent.attributes()
         task = replace(task, consequent=AllOf(attribute))
-    bound = task.length_bound(len(dataset.attributes)) if task.max_length else len(dataset.attributes)
-    lowest = min(1.0, max(MIN_MEASURE, AUTO_MIN_ROWS / max(dataset.size, 1)))
+    bound = longest_rule(dataset, task)
+    lowest = min(1.0, max(MIN_MEASURE, task.auto_min_rows / max(dataset.size, 1)))
     supports = sorted({max(lowest, s) for s in AUTO_SUPPORTS})
     grid = [
         Thresholds(s, c, length)
@@ -199,7 +213,11 @@ def mine_auto(dataset: Dataset, task: MiningTask) -> tuple[MiningResult, Thresho
     )
     if task.prune:
         rules = cba_prune(baskets, rules).drop("rank")
-    return MiningResult(limit_rules(rules, task.limit), ()), chosen
+    rules = materialize(rules, "rules")
+    found = rules.count()
+    if found <= task.limit:
+        return MiningResult(rules, ()), chosen
+    return MiningResult(limit_rules(rules, task.limit), (StageNote("internallimit", chosen.max_length, found),)), chosen
 
 
 def mine(dataset: Dataset, task: MiningTask) -> MiningResult:

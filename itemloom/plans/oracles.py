@@ -170,13 +170,14 @@ def label(lo: str, hi: str, lo_inclusive: str, hi_inclusive: str) -> str:
 
 
 def equal_width(values: str, bins: int, low: str, high: str, low_in: bool, high_in: bool) -> str:
-    """Histogram of (v, f) rows with equal-width bins."""
+    """Histogram of (v, f) rows with equal-width bins, assigned by the borders that are shown."""
     inside = f"v {'>=' if low_in else '>'} lo AND v {'<=' if high_in else '<'} hi"
     return f"""
     WITH src AS ({values}), edge AS (SELECT {low} AS lo, {high} AS hi FROM src),
     e AS (SELECT lo, hi, (hi - lo) / {bins} AS w FROM edge),
-    counted AS (SELECT CAST(least(floor((v - lo) / w), {bins - 1}) AS INTEGER) AS bin, sum(f) AS f
-                FROM src, e WHERE {inside} GROUP BY 1)
+    counted AS (SELECT b.bin AS bin, sum(f) AS f FROM src, e, range({bins}) AS b(bin)
+                WHERE {inside} AND (b.bin = 0 OR v >= lo + b.bin * w)
+                  AND (b.bin = {bins - 1} OR v < lo + (b.bin + 1) * w) GROUP BY 1)
     SELECT CAST(b.bin AS INTEGER) AS bin, lo + b.bin * w AS "from",
            CASE WHEN b.bin = {bins - 1} THEN hi ELSE lo + (b.bin + 1) * w END AS "to",
            b.bin > 0 OR {str(low_in).upper()} AS from_inclusive,
@@ -381,6 +382,7 @@ ORACLES: dict[str, str] = {
     "association_rules": rules_sql(ORDER_KEYS),
     "flagship": rules_sql(ORDER_KEYS, 2),
     "basket_rules": rules_sql(BASKET_KEYS),
+    "basket_task": rules_sql(BASKET_KEYS),
     "pattern_rules": rules_sql(
         ORDER_KEYS,
         where="attribute IN (1, 2) OR k = '3:BUILDING'",

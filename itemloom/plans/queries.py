@@ -78,7 +78,7 @@ ORDER_SPECS = (
 def orders_dataset(spark, sf_dir) -> attr.Dataset:
     """Status, priority and segment of every order; only these columns are profiled."""
     wide = tables.orders_wide(spark, sf_dir).select("id", "status", "priority", "segment")
-    source = tables.data_source(wide, tables.ORDER_FIELDS[:3], write_values=False)
+    source = tables.data_source(wide, tables.ORDER_FIELDS[:3])
     return attr.build_attributes(source, ORDER_SPECS)
 
 
@@ -303,7 +303,7 @@ def json_instances(spark, sf_dir):
 @query
 def json_intervals(spark, sf_dir):
     source = events_source(spark, sf_dir)
-    bins = profile.histogram(source.values, 2, 8, Border(50.0, False), Border(300.0))
+    bins = profile.histogram(source.frequencies([2]), 2, 8, Border(50.0, False), Border(300.0))
     return views.intervals_as_json(bins)
 
 
@@ -365,7 +365,7 @@ def _rounded_bins(bins: DataFrame) -> DataFrame:
 
 @query
 def histogram(spark, sf_dir):
-    return _rounded_bins(profile.histogram(events_source(spark, sf_dir).values, 2, 10))
+    return _rounded_bins(profile.histogram(events_source(spark, sf_dir).frequencies([2]), 2, 10))
 
 
 @query
@@ -662,8 +662,7 @@ def basket_transactions(spark, sf_dir):
 
 @query
 def longest_transaction(spark, sf_dir):
-    tx = itemsets.transactions(basket_dataset(spark, sf_dir).item_instances)
-    return itemsets.max_transaction_length(tx)
+    return itemsets.max_transaction_length(basket_dataset(spark, sf_dir).item_instances)
 
 
 @query
@@ -697,6 +696,13 @@ def basket_rules(spark, sf_dir):
     return shown_rules(all_rules(dataset), dataset)
 
 
+@query
+def basket_task(spark, sf_dir):
+    """The same as a mining task: several values per attribute do not bound the length."""
+    dataset = basket_dataset(spark, sf_dir)
+    return shown_rules(mining.mine(dataset, order_task(limit=1_000_000)).rules, dataset)
+
+
 @query
 def pattern_rules(spark, sf_dir):
     """Priority or the BUILDING segment on the left, status on the right."""

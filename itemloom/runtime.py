@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A checked size up to which one sorted window is cheaper than a range shuffle.
-SMALL_TABLE = 100_000
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -46,30 +44,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Redistribute a written table that has fewer files than the session has cores.
-
-    For small tables whose further processing is long.  Tables of many files stay as
-    they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: int = 1) -> DataFrame:
     """Dense numbers ``start, start+1, …`` in the order of ``order_by`` (a total order).
 
-    Beyond ``SMALL_TABLE`` rows, range partitions are sorted independently; a row's
-    number is its place in its partition plus the number of rows in earlier
-    partitions, so no task sees more than one range.
+    Range partitions are sorted independently; a row's number is its place in its partition
+    plus the number of rows in earlier partitions, so no task sees more than one range.
     """
     columns = df.columns
-    written = materialize(df, "unnumbered")
-    if written.count() <= SMALL_TABLE:
-        row = F.row_number().over(Window.orderBy(*order_by)) + F.lit(start - 1)
-        return written.select(row.cast("long").alias(name), *columns)
     placed = materialize(
-        written.repartitionByRange(*order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_place", F.monotonically_increasing_id()),
         "numbered",

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from itemloom.model import Field, FieldType
 from itemloom.operators.attributes import DataSource
-from itemloom.operators.profile import value_frequencies
-from itemloom.runtime import materialize
 from itemloom.sources.narrow import to_instances
 
 NOMINAL, NUMERIC = FieldType.NOMINAL, FieldType.NUMERIC
@@ -79,16 +77,9 @@ def docs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def data_source(wide: DataFrame, fields, write_values: bool = True) -> DataSource:
-    """Narrow form and frequency table of a wide table whose id column is ``id``.
-
-    The frequency table is written, unless it is going to be read only once.
-    """
-    instances = to_instances(wide, "id", fields)
-    values = value_frequencies(instances)
-    if write_values:
-        values = materialize(values, "values")
-    return DataSource(tuple(fields), instances, values, wide)
+def data_source(wide: DataFrame, fields) -> DataSource:
+    """Narrow form of a wide table whose id column is ``id``; frequencies are counted when asked for."""
+    return DataSource(tuple(fields), to_instances(wide, "id", fields), None, wide)
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:

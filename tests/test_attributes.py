@@ -271,3 +271,21 @@ def test_profile_in_one_pass_equals_the_parts(spark):
     assert (found[1]["distinct_nominal"], found[1]["distinct_numeric"]) == (4, 3)
     assert math.isclose(found[1]["avg"], 5 / 3)
     assert found[2]["support_nominal"] == 0 and found[2]["min"] is None
+
+
+def test_equal_width_bins_agree_with_their_borders(spark):
+    """Values on borders that the quotient rounds below."""
+    source = source_of(spark, [1.0, 2.8, 4.6, 8.2, 10.0])
+    found = {(r["from"], r["to"]): r["frequency"] for r in profile.histogram(source.values, 1, 5).collect()}
+    for (low, high), n in found.items():
+        inside = [v for v in (1.0, 2.8, 4.6, 8.2, 10.0) if low <= v < high or v == high == 10.0]
+        assert n == len(inside)
+
+
+def test_one_field_reads_one_column(spark, tmp_path):
+    wide = spark.range(20).selectExpr("id", "cast(id % 3 as string) AS a", "cast(id AS double) AS b", "'x' AS c")
+    wide.write.parquet(str(tmp_path / "wide"))
+    fields = (Field(1, "a", FieldType.NOMINAL), Field(2, "b", FieldType.NUMERIC), Field(3, "c", FieldType.NOMINAL))
+    source = data_source(spark.read.parquet(str(tmp_path / "wide")), fields)
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in (source.cells([2]), source.frequencies([2]))]
+    assert all("ReadSchema" in p and "a:string" not in p and "c:string" not in p for p in plans)

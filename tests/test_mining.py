@@ -58,8 +58,8 @@ def test_itemsets_equal_the_built_in_search(spark):
     assert ours == {tuple(sorted(r["items"])): r["freq"] for r in built_in}
 
 
-def test_wide_transactions_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(itemsets, "WIDE_TRANSACTION", 3)
+def test_long_transactions_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(itemsets, "SLICE", 3)
     data = random_transactions(5, n=120, items=11, longest=11)
     tx = as_instances(spark, data)
     search = itemsets.start_search(tx, 0.1)
@@ -68,11 +68,10 @@ def test_wide_transactions_are_spread(spark, monkeypatch):
     assert found_itemsets(itemsets.frequent_itemsets(tx, 0.1, 4)) == expected
 
 
-def test_counting_before_the_lookup(spark, monkeypatch):
-    monkeypatch.setattr(itemsets, "LOOKUP_ROWS", 0)
+def test_states_are_written_between_deep_levels(spark):
     data = random_transactions(6)
-    _, expected = brute_itemsets(data, 0.05, 4)
-    assert found_itemsets(itemsets.frequent_itemsets(as_instances(spark, data), 0.05, 4)) == expected
+    _, expected = brute_itemsets(data, 0.03, 6)
+    assert found_itemsets(itemsets.frequent_itemsets(as_instances(spark, data), 0.03, 6)) == expected
 
 
 def test_one_id_with_most_of_the_rows(spark):

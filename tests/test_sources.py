@@ -116,10 +116,9 @@ def test_missing_cells_are_absent(spark):
     assert rows(cells.fillna(-1.0)) == [(1, 7, "x", -1.0), (3, 7, "5", 5.0)]
 
 
-def test_row_ids_over_several_ranges(spark, monkeypatch):
+def test_row_ids_over_several_ranges(spark):
     import itemloom.runtime as runtime
 
-    monkeypatch.setattr(runtime, "SMALL_TABLE", 10)
     frame = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("key")).repartition(7)
     numbered = runtime.number_rows(frame, ["key"], "n", start=3)
     found = [tuple(r) for r in numbered.orderBy("key").select("n").collect()]
