@@ -81,13 +81,13 @@ DOC_LABEL_KEYS = """
     SELECT doc_id, 3, '3:' || toxic, 'toxic(' || toxic || ')' FROM labels JOIN documents USING (doc_id)"""
 
 
-def levels(keys: str, longest: int, where: str = "TRUE") -> str:
+def levels(keys: str, longest: int, where: str = "TRUE", support: float = 0.01) -> str:
     """Frequent itemsets by size as f1, f2, …; ``n`` counts the transactions."""
     parts = [
         f"it AS (SELECT DISTINCT id, attribute, k, t FROM ({keys}) WHERE {where})",
         "total AS (SELECT count(DISTINCT id) AS n FROM it)",
-        """f1 AS (SELECT k AS k1, any_value(t) AS t1, any_value(attribute) AS a1, count(*) AS c FROM it
-           GROUP BY k HAVING count(*) >= (SELECT ceil(0.01 * n) FROM total))""",
+        f"""f1 AS (SELECT k AS k1, any_value(t) AS t1, any_value(attribute) AS a1, count(*) AS c FROM it
+           GROUP BY k HAVING count(*) >= (SELECT ceil({support} * n) FROM total))""",
         "p AS (SELECT it.id, it.k, it.t, it.attribute AS a FROM it JOIN f1 ON it.k = f1.k1)",
     ]
     for size in range(2, longest + 1):
@@ -97,13 +97,13 @@ def levels(keys: str, longest: int, where: str = "TRUE") -> str:
         groups = ", ".join(f"p{i}.k" for i in sides)
         parts.append(
             f"f{size} AS (SELECT {columns}, count(*) AS c FROM p p1 {joins} GROUP BY {groups} "
-            "HAVING count(*) >= (SELECT ceil(0.01 * n) FROM total))"
+            f"HAVING count(*) >= (SELECT ceil({support} * n) FROM total))"
         )
-    return "WITH " + ", ".join(parts)
+    return "WITH RECURSIVE " + ", ".join(parts)
 
 
-def rule_rows(longest: int, left: str = "TRUE", right: str = "TRUE") -> str:
-    """Rules of confidence 0.3 from the levels; ``left``/``right`` are conditions on key ``{k}``."""
+def rule_rows(longest: int, left: str = "TRUE", right: str = "TRUE", confidence: float = 0.3) -> str:
+    """Rules of a least confidence from the levels; ``left``/``right`` are conditions on key ``{k}``."""
     selects = []
     for size in range(1, longest + 1):
         for y in range(1, size + 1):
@@ -124,7 +124,7 @@ def rule_rows(longest: int, left: str = "TRUE", right: str = "TRUE") -> str:
     return f"""rules AS (
         SELECT *, n_both / n AS support, n_both / n_left AS confidence,
                (n_both / n_left) / (n_right / n) AS lift
-        FROM ({' UNION ALL '.join(selects)}) WHERE n_both / n_left >= 0.3)"""
+        FROM ({' UNION ALL '.join(selects)}) WHERE n_both / n_left >= {confidence})"""
 
 
 SHOWN = (
@@ -149,6 +149,143 @@ def rules_sql(
 STATUS_RIGHT = "{k} LIKE '1:%'"
 ORDERED = "ORDER BY confidence DESC, support DESC, length, left_keys, right_key"
 
+#: Transactions as key lists, with their class label and weight, numbered.
+CLASS_BASKETS = """
+    b AS (SELECT row_number() OVER (ORDER BY keys, label) AS i, keys, label, w FROM (
+        SELECT keys, label, count(*) AS w FROM (
+            SELECT id, list(k ORDER BY k) AS keys, max(k) FILTER (attribute = 1) AS label FROM it GROUP BY id)
+        GROUP BY keys, label))"""
+
+
+def classifier(rules: str, limit: str = "") -> str:
+    """The rules of table ``rules`` that database coverage selects, up to the least training error.
+
+    Rules are walked by rank with the list of transactions that no selected rule has taken.
+    """
+    return f"""ranked AS (SELECT *, row_number() OVER ({ORDERED}) AS rank FROM {rules} {ORDERED} {limit}),
+    hits AS (
+        SELECT rank, list(i) AS covers, coalesce(list(i) FILTER (label = right_key), []) AS correct
+        FROM ranked JOIN b ON list_has_all(keys, left_keys) GROUP BY rank),
+    walk(rank, uncovered, taken) AS (
+        SELECT CAST(0 AS BIGINT), (SELECT list(i) FROM b), CAST([] AS BIGINT[])
+        UNION ALL
+        SELECT r.rank, CASE WHEN list_has_any(uncovered, correct)
+                 THEN list_filter(uncovered, lambda x: NOT list_contains(covers, x)) ELSE uncovered END,
+               CASE WHEN list_has_any(uncovered, correct)
+                 THEN list_filter(uncovered, lambda x: list_contains(covers, x)) ELSE [] END
+        FROM walk JOIN (SELECT ranked.rank, coalesce(covers, []) AS covers, coalesce(correct, []) AS correct
+                        FROM ranked LEFT JOIN hits USING (rank)) r ON r.rank = walk.rank + 1),
+    chosen AS (SELECT * FROM walk WHERE len(taken) > 0),
+    wrong AS (
+        SELECT c.rank, coalesce(sum(w) FILTER (label <> right_key), 0) AS errors
+        FROM (SELECT rank, unnest(taken) AS i FROM chosen) c JOIN b USING (i) JOIN ranked USING (rank) GROUP BY c.rank),
+    open AS (
+        SELECT rank, coalesce(sum(w), 0) - coalesce(max(w), 0) AS errors FROM (
+            SELECT c.rank, label, sum(w) AS w FROM (SELECT rank, unnest(uncovered) AS i FROM chosen) c
+            JOIN b USING (i) GROUP BY c.rank, label) GROUP BY rank),
+    curve AS (
+        SELECT rank, sum(wrong.errors) OVER (ORDER BY rank) + coalesce(open.errors, 0) AS errors
+        FROM wrong LEFT JOIN open USING (rank)),
+    last AS (SELECT rank FROM curve ORDER BY errors, rank LIMIT 1),
+    kept AS (SELECT ranked.* FROM ranked JOIN chosen USING (rank) WHERE rank <= (SELECT rank FROM last))"""
+
+
+CLASS_PRUNING = f"""{levels(ORDER_KEYS, 3)}, {rule_rows(3, right=STATUS_RIGHT)}, {CLASS_BASKETS},
+    {classifier("rules", "LIMIT 100")} SELECT {SHOWN} FROM kept"""
+
+AUTO_THRESHOLDS = f"""{levels(ORDER_KEYS, 3, support=0.001)}, {rule_rows(3, right=STATUS_RIGHT, confidence=0.1)},
+    {CLASS_BASKETS},
+    placed AS (SELECT *, row_number() OVER ({ORDERED}) AS place FROM rules),
+    grid AS (
+        SELECT s, c, l FROM (VALUES (0.001::DOUBLE), (0.005::DOUBLE), (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) AS x(s),
+            (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) AS y(c), (VALUES (1), (2), (3)) AS z(l)),
+    member AS (SELECT s, c, l, p.* FROM grid JOIN placed p ON p.support >= s AND p.confidence >= c AND p.length <= l),
+    first AS (
+        SELECT s, c, l, i, any_value(label) AS label, any_value(w) AS w, min_by(right_key, place) AS right_key
+        FROM member JOIN b ON list_has_all(keys, left_keys) GROUP BY s, c, l, i),
+    decided AS (SELECT s, c, l, sum(w) FILTER (label = right_key) AS good FROM first GROUP BY s, c, l),
+    undecided AS (
+        SELECT s, c, l, max(w) AS good FROM (
+            SELECT s, c, l, b.label, sum(b.w) AS w FROM grid, b
+            WHERE NOT EXISTS (FROM first f WHERE f.s = grid.s AND f.c = grid.c AND f.l = grid.l AND f.i = b.i)
+            GROUP BY s, c, l, b.label) GROUP BY s, c, l),
+    best AS (
+        SELECT s, c, l FROM (SELECT s, c, l, count(*) AS n_rules FROM member GROUP BY s, c, l)
+        LEFT JOIN decided USING (s, c, l) LEFT JOIN undecided USING (s, c, l)
+        ORDER BY coalesce(decided.good, 0) + coalesce(undecided.good, 0) DESC, n_rules, c DESC, s DESC, l LIMIT 1),
+    within AS (
+        SELECT rules.* FROM rules, best WHERE support >= s AND confidence >= c AND length <= l),
+    {classifier("within")}
+    SELECT {SHOWN} FROM kept {ORDERED} LIMIT 100"""
+
+
+def balanced_bins(values: str, target: str, bins: int | None) -> str:
+    """Equal-frequency bins of (v, f) rows, or minimum-support bins if there is no number of bins.
+
+    ``m`` lists the running counts, ``s`` the start positions with the number of values at the
+    end.  Starts are found one by one; then each step of ``smoothing`` looks at one border,
+    from the highest down, and passes repeat until one moves nothing.
+    """
+    if bins is None:
+        end = "greatest(reached, starts[-1] + 1)"
+        more = "TRUE"
+        first = """SELECT CASE WHEN len(starts) > 1 AND total - m[starts[-1] + 1] < target
+                   THEN starts[1:-2] ELSE starts END AS starts"""
+        accept = "fuller - moved >= target"
+    else:
+        back = "CASE WHEN reached <= n AND m[reached] + m[reached + 1] >= 2 * goal THEN reached - 1 ELSE reached END"
+        end = f"greatest(least({back}, n - {bins} + len(starts)), starts[-1] + 1)"
+        more = f"len(starts) < {bins}"
+        first = "SELECT starts"
+        accept = """abs(target - fuller + moved) + abs(target - emptier - moved)
+                  <= abs(target - fuller) + abs(target - emptier)"""
+    return f"""
+    WITH RECURSIVE src AS ({values}),
+    arr AS (
+        SELECT list(v ORDER BY v) AS vs, list_concat([0::BIGINT], list(upto ORDER BY v)) AS m, count(*) AS n,
+               CAST(sum(f) AS BIGINT) AS total, CAST({target} AS BIGINT) AS target
+        FROM (SELECT v, f, CAST(sum(f) OVER (ORDER BY v) AS BIGINT) AS upto FROM src)),
+    st(starts, done) AS (
+        SELECT [0::BIGINT], FALSE
+        UNION ALL
+        SELECT CASE WHEN e >= n THEN starts ELSE list_append(starts, e) END, e >= n FROM (
+            SELECT starts, n, {end} AS e FROM (
+                SELECT starts, n, m, goal, CASE WHEN goal > total THEN n + 1
+                    ELSE len(list_filter(m, lambda x: x < goal)) END AS reached
+                FROM (SELECT starts, n, m, total, m[starts[-1] + 1] + target AS goal FROM st, arr
+                      WHERE NOT done AND {more})))),
+    begun AS ({first} FROM (SELECT starts FROM st ORDER BY len(starts) DESC LIMIT 1), arr),
+    smoothing(s, p, reach, kept, changed, done) AS (
+        SELECT list_append(starts, n), len(starts) - 1, n - 1, FALSE, FALSE, len(starts) = 1 FROM begun, arr
+        UNION ALL
+        SELECT s2, CASE WHEN p > 1 THEN p - 1 ELSE len(s2) - 2 END, CASE WHEN p > 1 THEN reach2 ELSE n - 1 END,
+               p > 1 AND kept2, p > 1 AND (changed OR s2 <> s), p = 1 AND NOT (changed OR s2 <> s)
+        FROM (
+            SELECT s, p, n, changed,
+                CASE WHEN move <> 0 AND {accept} AND abs(fuller - emptier - 2 * moved) < fuller - emptier
+                    THEN list_concat(s[1:p], [border + move], s[p + 2:]) ELSE s END AS s2,
+                CASE WHEN move = 1 THEN border - 1 WHEN move = -1 THEN border - 3
+                    WHEN high_mass = low_mass AND reach >= border THEN border - 1 ELSE low - 1 END AS reach2,
+                move = -1 AND border - 2 <> low AS kept2
+            FROM (
+                SELECT *, greatest(low_mass, high_mass) AS fuller, least(low_mass, high_mass) AS emptier,
+                    CASE move WHEN 1 THEN m[border + 2] - m[border + 1] ELSE m[border + 1] - m[border] END AS moved
+                FROM (
+                    SELECT *, CASE WHEN high_mass > low_mass AND (reach > border OR (reach = border AND kept)) THEN 1
+                        WHEN high_mass < low_mass AND border - low >= 2 THEN -1 ELSE 0 END AS move
+                    FROM (
+                        SELECT *, m[border + 1] - m[low + 1] AS low_mass, m[high + 1] - m[border + 1] AS high_mass
+                        FROM (SELECT *, s[p] AS low, s[p + 1] AS border, s[p + 2] AS high
+                              FROM smoothing, arr WHERE NOT done)))))),
+    closed AS (
+        SELECT i - 1 AS bin, vs[s[i] + 1] AS lo, vs[s[i + 1]] AS hi, m[s[i + 1] + 1] - m[s[i] + 1] AS frequency
+        FROM (SELECT s, vs, m, unnest(range(1, len(s))) AS i FROM smoothing, arr WHERE done))
+    SELECT CAST(bin AS INTEGER) AS bin, coalesce((lag(hi) OVER (ORDER BY bin) + lo) / 2, lo) AS "from",
+           coalesce((hi + lead(lo) OVER (ORDER BY bin)) / 2, hi) AS "to", TRUE AS from_inclusive,
+           lead(lo) OVER (ORDER BY bin) IS NULL AS to_inclusive, CAST(frequency AS BIGINT) AS frequency
+    FROM closed"""
+
+
 TRIPLES = """
     SELECT 'urn:user:' || user_id AS subject, 'urn:event_type' AS predicate,
            CASE WHEN event_type = 'view' THEN 'urn:type:view' ELSE event_type END AS value_nominal,
@@ -204,6 +341,9 @@ PROFILE = f"""
            max(value_numeric) AS "max", round(avg(value_numeric), 6) AS "avg"
     FROM f LEFT JOIN c ON c.field = f.field GROUP BY f.field, name, type"""
 
+#: Event values with a large part missing, so that smoothing has to move borders far.
+SPARSE_VALUES = """SELECT CASE WHEN event_type <> 'view' THEN value END AS v, count(*) AS f FROM events
+    WHERE event_type <> 'view' AND value IS NOT NULL GROUP BY 1"""
 SIZE_CASE = "CASE WHEN size > 30 THEN 'large' WHEN size > 10 THEN 'mid' WHEN size >= 1 THEN 'small' ELSE CAST(size AS VARCHAR) END"
 SIZE_BANDS = equal_width("SELECT CAST(p_size AS DOUBLE) AS v, count(*) AS f FROM part GROUP BY 1", 7, "min(v)", "max(v)", True, True)
 SIDES = "(attribute = 2 OR (attribute = 3 AND value = 'BUILDING'))"
@@ -317,6 +457,18 @@ ORACLES: dict[str, str] = {
     "numeric_intervals": f"SELECT id, CAST(1 AS INTEGER) AS attribute, {SIZE_CASE} AS value FROM ({PART})",
     "equidistant": f"""SELECT CAST(bin + 1 AS BIGINT) AS item, attribute, value, frequency FROM ({labelled_bins(
         equal_width(f"SELECT acctbal AS v, count(*) AS f FROM ({ORDERS}) GROUP BY 1", 5, "min(v)", "max(v)", True, True), 1)})""",
+    "equifrequent": f"""SELECT CAST(bin + 1 AS BIGINT) AS item, attribute, value, frequency FROM ({labelled_bins(
+        balanced_bins(f"SELECT totalprice AS v, count(*) AS f FROM ({ORDERS}) GROUP BY 1",
+                      f"(SELECT ceil(count(*) / 10) FROM ({ORDERS}))", 10), 1)})""",
+    "equisized": f"""SELECT CAST(bin + 1 AS BIGINT) AS item, attribute, value, frequency FROM ({labelled_bins(
+        balanced_bins("SELECT value AS v, count(*) AS f FROM events WHERE value IS NOT NULL GROUP BY 1",
+                      "(SELECT ceil(count(*) * CAST(0.1 AS DOUBLE)) FROM events)", None), 1)})""",
+    "interval_smoothing": f"""SELECT CAST(1 AS INTEGER) AS attribute, *,
+        round(frequency / (SELECT count(*) FROM lineitem), 6) AS share FROM ({balanced_bins(
+        "SELECT CAST(l_quantity AS DOUBLE) AS v, count(*) AS f FROM lineitem GROUP BY 1",
+        "(SELECT ceil(count(*) / 7) FROM lineitem)", 7)})""",
+    "equifrequent_sparse": f"""SELECT CAST(bin + 1 AS BIGINT) AS item, attribute, value, frequency FROM ({labelled_bins(
+        balanced_bins(SPARSE_VALUES, "(SELECT ceil(count(*) / 20) FROM events)", 20), 1)})""",
     "cut_points": """
         WITH c AS (SELECT CAST(floor(value / 50) AS INTEGER) AS bin, min(value) AS lo, max(value) AS hi,
                    count(*) AS frequency FROM events GROUP BY 1),
@@ -402,6 +554,8 @@ ORACLES: dict[str, str] = {
     "staged_mining": rules_sql(
         AMOUNT_KEYS, 4, f"{SHOWN}, CAST(CASE WHEN length <= 3 THEN 1 ELSE 2 END AS INTEGER) AS stage"
     ),
+    "class_pruning": CLASS_PRUNING,
+    "auto_thresholds": AUTO_THRESHOLDS,
     "rule_limit": rules_sql(ORDER_KEYS, tail=f"{ORDERED} LIMIT 100"),
     "mining_task": rules_sql(
         ORDER_KEYS,

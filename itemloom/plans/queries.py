@@ -503,6 +503,15 @@ def equifrequent(spark, sf_dir):
     return attr.build_attributes(source, [Equifrequent(1, "price", 4, bins=10)]).item_values
 
 
+@query
+def equifrequent_sparse(spark, sf_dir):
+    """A source with many missing cells, where smoothing has far to move."""
+    events = tables.events_wide(spark, sf_dir)
+    wide = events.select("id", F.when(F.col("event_type") != "view", F.col("value")).alias("value"))
+    source = tables.data_source(wide, [tables.Field(2, "value", FieldType.NUMERIC)])
+    return attr.build_attributes(source, [Equifrequent(1, "value", 2, bins=20)]).item_values
+
+
 @query
 def equisized(spark, sf_dir):
     source = events_source(spark, sf_dir)
