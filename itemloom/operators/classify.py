@@ -5,14 +5,13 @@ After Liu, Hsu, Ma: Integrating Classification and Association Rule Mining (KDD
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from itemloom.operators.itemsets import ROOT
 from itemloom.operators.rules import rule_order
 from itemloom.runtime import materialize, number_rows
 
@@ -56,122 +55,98 @@ def rank_rules(rules: DataFrame) -> DataFrame:
 def covering(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
     """Every basket paired with each rule whose left side it holds, and whether the rule is right.
 
-    A rule is looked up by the rarest item of its left side and then checked in full;
-    rules with an empty left side are looked up by the empty itemset, which all
-    baskets have.
+    A rule is looked up by the rarest item of its left side and then checked in full.  Rules
+    with an empty left side, at most one for each right side, go to all baskets as one row.
     """
-    entries = baskets.withColumn("anchor", F.explode(F.concat(F.array(F.lit(ROOT).cast("long")), F.col("items"))))
+    right = F.element_at("consequent", 1).alias("right")
+    entries = baskets.withColumn("anchor", F.explode("items"))
     counts = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
         ranked.select("rank", F.explode("antecedent").alias("anchor"))
         .join(counts, "anchor", "left")
         .groupBy("rank")
-        .agg(F.min_by("anchor", F.struct(F.coalesce("_n", F.lit(0)), "anchor")).alias("_rarest"))
+        .agg(F.min_by("anchor", F.struct(F.coalesce("_n", F.lit(0)), "anchor")).alias("anchor"))
     )
-    anchored = ranked.join(rarest, "rank", "left").select(
-        "rank",
-        "antecedent",
-        F.element_at("consequent", 1).alias("right"),
-        F.coalesce("_rarest", F.lit(ROOT)).alias("anchor"),
-    )
-    anchored = materialize(anchored, "anchored")
+    anchored = materialize(ranked.join(rarest, "rank").select("rank", "antecedent", right, "anchor"), "anchored")
     held = F.forall("antecedent", lambda item: F.array_contains("items", item))
-    return (
-        entries.join(anchored, "anchor")
-        .where(held)
-        .withColumn("correct", F.array_contains("labels", F.col("right")))
-        .drop("anchor", "antecedent", "right")
+    named = entries.join(anchored, "anchor").where(held).drop("anchor", "antecedent")
+    open_rules = ranked.where(F.size("antecedent") == 0).agg(F.collect_list(F.struct("rank", right)).alias("_rules"))
+    always = (
+        baskets.withColumn("_one", F.lit(1))
+        .join(F.broadcast(open_rules.withColumn("_one", F.lit(1))), "_one")
+        .select(*baskets.columns, F.inline("_rules"))
     )
+    pairs = named.unionByName(always)
+    return pairs.withColumn("correct", F.array_contains("labels", F.col("right"))).drop("right")
 
 
-def signatures(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Baskets reduced to what coverage needs: ``labels``, ``cover``, ``weight``.
-
-    ``cover`` lists (rank, correct) of the rules that cover the basket, best first;
-    baskets that agree in it are counted together.  Uncovered ones have an empty list.
-    """
-    keyed = keyed_baskets(baskets, ranked)
-    covers = (
-        covering(keyed.select("key", "items", "labels"), ranked)
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "correct"))).alias("cover"))
-    )
-    nothing = F.array().cast(covers.schema["cover"].dataType)
-    return (
-        keyed.select("key", "labels", "weight")
-        .join(covers, "key", "left")
-        .groupBy("labels", F.coalesce("cover", nothing).alias("cover"))
-        .agg(F.sum("weight").alias("weight"))
-    )
-
-
-def _within(rank: Column, ranks: Iterable[int]) -> Column:
-    listed = [int(r) for r in sorted(ranks)]
-    return rank.isin(listed) if listed else F.lit(False)
-
+@dataclass(frozen=True)
+class Coverage:
+    """Baskets by ``key``, the selected rules' ``rank``, and the first selected rule of each covered basket."""
 
-def _first_of(ranks: Iterable[int]) -> Column:
-    """The best entry of ``cover`` among ``ranks``, null if there is none."""
-    return F.get(F.filter("cover", lambda c: _within(c["rank"], ranks)), 0)
+    baskets: DataFrame
+    selected: DataFrame
+    owned: DataFrame
 
 
-def covering_rules(table: DataFrame, ranks: Iterable[int]) -> list[int]:
-    """Ranks that database coverage selects from ``ranks``, best first.
+def cover(baskets: DataFrame, ranked: DataFrame) -> Coverage:
+    """Database coverage.
 
     The sequential definition walks the rules by rank: a rule is selected when a
     transaction it covers and no selected rule has taken yet is classified
     correctly, and then takes all it covers.  Here every round decides many rules
     together: each remaining transaction names its best rule still in question, a
-    rule that is named by a transaction it classifies correctly is selected, and
-    a rule without any correct remaining transaction is dropped.  State is one
-    entry per rule, and the number of rules is limited by the task.
+    rule that is named by a transaction it classifies correctly is selected, the
+    transactions that name a selected rule are taken, and a rule without any
+    correct remaining transaction is dropped.  All state is in written tables.
     """
-    live, undecided, selected = table.where(F.size("cover") > 0), set(ranks), set()
-    while undecided:
-        correct = live.select(F.explode("cover").alias("c")).where(
-            F.col("c.correct") & _within(F.col("c.rank"), undecided)
-        )
-        undecided = {row["rank"] for row in correct.select("c.rank").distinct().collect()}
-        headed = live.withColumn("head", _first_of(undecided | selected))
-        named = headed.where(F.col("head.correct") & _within(F.col("head.rank"), undecided))
-        chosen = {row["rank"] for row in named.select("head.rank").distinct().collect()}
-        selected |= chosen
-        undecided -= chosen
-        if undecided:
-            kept = headed.where(F.col("head").isNotNull() & ~_within(F.col("head.rank"), selected))
-            live = materialize(kept.drop("head"), "live")
-    return sorted(selected)
+    keyed = keyed_baskets(baskets, ranked)
+    live = materialize(covering(keyed.select("key", "items", "labels"), ranked).select("key", "rank", "correct"), "pairs")
+    selected, owned = live.select("rank").limit(0), live.limit(0)
+    while True:
+        best = live.groupBy("key").agg(F.min(F.struct("rank", "correct")).alias("best"))
+        heads = materialize(best.select("key", "best.rank", "best.correct"), "heads")
+        if heads.isEmpty():
+            return Coverage(keyed, selected, owned)
+        chosen = heads.where("correct").select("rank")
+        selected = materialize(selected.union(chosen).distinct(), "selected")
+        taken = heads.join(selected, "rank", "left_semi").select("key", "rank", "correct")
+        owned = materialize(owned.union(taken), "owned")
+        rest = live.join(taken, "key", "left_anti")
+        alive = rest.where("correct").select("rank").union(selected).distinct()
+        live = materialize(rest.join(alive, "rank", "left_semi").select("key", "rank", "correct"), "live")
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Selected ranks, the label for uncovered transactions, and training errors."""
+    """Table of the kept ranks, the label for uncovered transactions, and training errors."""
 
-    ranks: list[int]
+    ranks: DataFrame
     default_label: int | None
     errors: int
 
 
-def error_curve(table: DataFrame, selected: Sequence[int]) -> DataFrame:
+def error_curve(coverage: Coverage) -> DataFrame:
     """Training errors after each selected rule: ``rank, default_label, errors``.
 
     Rank 0 stands for no rule at all.  Each transaction belongs to its first
     selected rule; what is left gets the most frequent remaining label.
     """
-    owned = table.select(
-        F.coalesce(_first_of(selected)["rank"], F.lit(None).cast("long")).alias("rank"),
-        F.coalesce(_first_of(selected)["correct"], F.lit(False)).alias("correct"),
-        "labels",
-        "weight",
+    baskets = coverage.baskets.select("key", "labels", "weight").join(coverage.owned, "key", "left")
+    owned = materialize(
+        baskets.groupBy("rank", "correct", "labels").agg(F.sum("weight").alias("weight")), "owned-weights"
     )
-    owned = materialize(owned.groupBy("rank", "correct", "labels").agg(F.sum("weight").alias("weight")), "owned")
-    ranks = F.array(*[F.lit(int(r)).cast("long") for r in [0, *selected]])
+    ranks = coverage.selected.union(coverage.selected.sparkSession.range(1).select(F.col("id").alias("rank")))
     by_label = owned.select("rank", F.explode("labels").alias("label"), "weight")
     totals = by_label.groupBy("label").agg(F.sum("weight").alias("total"))
     taken = by_label.where(F.col("rank").isNotNull()).groupBy("label", "rank").agg(F.sum("weight").alias("taken"))
     in_label = Window.partitionBy("label").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    # one row with the labels of the class, for each rank
+    labels = totals.agg(F.collect_list(F.struct("label", "total")).alias("_labels")).withColumn("_one", F.lit(1))
     remaining = (
-        totals.select("label", "total", F.explode(ranks).alias("rank"))
+        ranks.withColumn("_one", F.lit(1))
+        .join(F.broadcast(labels), "_one")
+        .select("rank", F.inline("_labels"))
         .join(taken, ["label", "rank"], "left")
         .select(
             "rank",
@@ -201,26 +176,18 @@ def error_curve(table: DataFrame, selected: Sequence[int]) -> DataFrame:
 
 
 def build_classifier(baskets: DataFrame, ranked: DataFrame) -> Classifier:
-    table = materialize(signatures(baskets, ranked), "signatures")
-    ranks = [row["rank"] for row in ranked.select("rank").collect()]
-    selected = covering_rules(table, ranks)
-    if not selected:
-        return Classifier([], None, 0)
-    curve = sorted(error_curve(table, selected).collect(), key=lambda row: row["rank"])
+    coverage = cover(baskets, ranked)
     # the first minimum among prefixes of at least one rule
-    best = min(curve[1:], key=lambda row: (row["errors"], row["rank"]))
-    kept = [r for r in selected if r <= best["rank"]]
-    return Classifier(kept, best["default_label"], best["errors"])
+    best = error_curve(coverage).where("rank > 0").orderBy("errors", "rank").first()
+    if best is None:
+        return Classifier(coverage.selected.limit(0), None, 0)
+    return Classifier(coverage.selected.where(F.col("rank") <= best["rank"]), best["default_label"], best["errors"])
 
 
 def cba_prune(baskets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rules a classifier keeps, with their rank.
-
-    ``rules`` are those of a mining task, at most its limit.
-    """
+    """The rules a classifier keeps, with their rank."""
     ranked = rank_rules(rules)
-    classifier = build_classifier(baskets, ranked)
-    return ranked.where(_within(F.col("rank"), classifier.ranks))
+    return ranked.join(build_classifier(baskets, ranked).ranks, "rank", "left_semi")
 
 
 # --------------------------------------------------------------------------
@@ -254,19 +221,23 @@ def score_thresholds(baskets: DataFrame, ranked: DataFrame, grid: Sequence[Thres
         )
         for i, g in enumerate(grid)
     )
-    member = ranked.select("rank", F.explode(F.array_compact(F.array(*allowed))).alias("cell"))
-    counts = member.groupBy("cell").agg(F.count(F.lit(1)).alias("rules"))
+    member = ranked.select("rank", F.array_compact(F.array(*allowed)).alias("cells"))
+    counts = member.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("rules"))
     keyed = keyed_baskets(baskets, ranked)
+    # rules within the same combinations are one step, of which a basket keeps its best rule
+    best = F.min(F.struct("rank", "correct")).alias("first")
+    steps = (
+        covering(keyed.select("key", "items", "labels"), ranked.select("rank", "antecedent", "consequent"))
+        .select("key", "rank", "correct")
+        .join(member.where(F.size("cells") > 0), "rank")
+        .groupBy("key", "cells")
+        .agg(best)
+    )
     first = (
-        covering(keyed, ranked.select("rank", "antecedent", "consequent"))
-        .select("key", "labels", "weight", "rank", "correct")
-        .join(member, "rank")
+        steps.select("key", "first.*", F.explode("cells").alias("cell"))
         .groupBy("key", "cell")
-        .agg(
-            F.min(F.struct("rank", "correct")).alias("first"),
-            F.first("labels").alias("labels"),
-            F.first("weight").alias("weight"),
-        )
+        .agg(best)
+        .join(keyed.select("key", "labels", "weight"), "key")
     )
     decided = materialize(
         first.groupBy("cell", "labels", F.col("first.correct").alias("correct")).agg(F.sum("weight").alias("weight")),

@@ -59,15 +59,15 @@ def test_coverage_equals_the_sequential_walk(spark, seed):
         "rank bigint, antecedent array<bigint>, consequent array<bigint>",
     )
     chosen, curve = sequential(baskets, rules)
-    table = classify.signatures(frame, ranked)
-    assert classify.covering_rules(table, range(1, len(rules) + 1)) == chosen
+    coverage = classify.cover(frame, ranked)
+    assert sorted(r["rank"] for r in coverage.selected.collect()) == chosen
     if chosen:
-        found = classify.error_curve(table, chosen).collect()
+        found = classify.error_curve(coverage).collect()
         # without any label left the curve has no row to take a default from
         assert [(r["rank"], r["errors"]) for r in sorted(found, key=lambda r: r["rank"]) if r["rank"]] == curve
         best = min(curve, key=lambda c: (c[1], c[0]))
         classifier = classify.build_classifier(frame, ranked)
-        assert classifier.ranks == [r for r in chosen if r <= best[0]]
+        assert sorted(r["rank"] for r in classifier.ranks.collect()) == [r for r in chosen if r <= best[0]]
         assert classifier.errors == best[1]
 
 
