@@ -4,32 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Group separators and decimal sign per locale language.
-LOCALE_SIGNS = {
-    "cs": ("\u00a0", ","),
-    "de": (".", ","),
-    "en": (",", "."),
-    "es": (".", ","),
-    "fr": ("\u00a0\u202f", ","),
-    "it": (".", ","),
-    "pl": ("\u00a0", ","),
-    "sk": ("\u00a0", ","),
-}
+from itemloom.model import require
 
 _WHOLE = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)(E-?[0-9]+)?$"
 _PREFIX = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)(E-?[0-9]+)?"
 
 
+def locale_signs(locale: str) -> tuple[str, str]:
+    """Group separators and decimal sign of a locale tag such as ``de`` or ``pt-BR``, as Java has them."""
+    java = SparkSession.active()._jvm.java
+    place = java.util.Locale.forLanguageTag(locale.replace("_", "-"))
+    require(place.getLanguage() != "", f"unknown locale {locale!r}")
+    signs = java.text.DecimalFormatSymbols.getInstance(place)
+    group = str(signs.getGroupingSeparator())
+    # texts often have the wider of the two blanks that do not break
+    return ("\u00a0\u202f" if group in "\u00a0\u202f" else group), str(signs.getDecimalSeparator())
+
+
 def locale_number(text: Column, locale: str = "en", prefix: bool = False) -> Column:
     """The double a text stands for in ``locale``, or null.
 
     A blank counts as a non-breaking space, group separators are skipped.  The
     whole cell has to be a number unless ``prefix`` asks for the leading part.
     """
-    group, decimal = LOCALE_SIGNS[locale.replace("-", "_").split("_")[0].lower()]
+    group, decimal = locale_signs(locale)
     plain = F.translate(text, " ", "\u00a0")
     # translate drops characters that have no counterpart
     plain = F.translate(plain, decimal + group, ".")

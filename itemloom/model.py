@@ -39,9 +39,10 @@ class CsvOptions:
     encoding: str = "UTF-8"
     quote: str = '"'
     escape: str = '"'
-    locale: str = "en"
     compression: str | None = None
+    # trimmed cells that stand for a missing value; without any, empty cells are empty texts
     null_values: frozenset[str] = frozenset()
+    # one for each column; None leaves a column out
     types: tuple[FieldType | None, ...] | None = None
     # a cell may hold line breaks; such files cannot be split, so large inputs
     # without them should say so

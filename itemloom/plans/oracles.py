@@ -371,6 +371,10 @@ ORACLES: dict[str, str] = {
             CASE WHEN strlen(concat_ws(',', doc_id, lang, source, text)) > 1000000
                  THEN ', record too long' ELSE '' END AS errors
         FROM documents WHERE length(text) > 255 OR length(source) > 255""",
+    "csv_options": """SELECT CAST(event_id AS VARCHAR) AS event_id,
+        CASE WHEN event_type <> 'error' THEN event_type END AS event_type FROM events""",
+    "record_widths": """SELECT CAST(p_partkey AS VARCHAR) AS part, 'wrong number of values' AS errors FROM part
+        WHERE p_partkey % 10 IN (3, 7)""",
     "text_preview": """SELECT concat_ws(';', event_id, event_type) AS line FROM events
         ORDER BY event_id LIMIT 20""",
     "rdf_scan": TRIPLES,

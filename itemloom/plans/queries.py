@@ -205,12 +205,39 @@ def record_checks(spark, sf_dir):
     return rejected.select("doc_id", F.array_join("errors", ", ").alias("errors"))
 
 
+@query
+def csv_options(spark, sf_dir):
+    """Event types and values, where ``error`` is a missing type, read through the options."""
+    events = tables.table(spark, sf_dir, "events").select("event_id", "props", "event_type")
+    options = CsvOptions(null_values=frozenset({"error"}), types=(FieldType.NUMERIC, None, FieldType.NOMINAL))
+    return delimited.read_csv(spark, _as_csv(events), options)
+
+
+@query
+def record_widths(spark, sf_dir):
+    """Text records of which every tenth lacks a value and every tenth has one too many."""
+    part = tables.table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    line = (
+        F.when(F.col("p_partkey") % 10 == 3, F.concat_ws(",", key, "p_brand"))
+        .when(F.col("p_partkey") % 10 == 7, F.concat_ws(",", key, "p_brand", "p_type", F.lit("more")))
+        .otherwise(F.concat_ws(",", key, "p_brand", "p_type"))
+    )
+    path = scratch_path(spark, "records")
+    # every file of a table has a header
+    header = spark.range(1).select(F.lit("part,brand,type"))
+    header.unionByName(part.select(line.alias("part,brand,type"))).coalesce(1).write.text(path)
+    read = delimited.read_csv(spark, path, CsvOptions(multi_line=False), "PERMISSIVE")
+    _, rejected = delimited.check_records(read)
+    return rejected.select("part", F.array_join("errors", ", ").alias("errors"))
+
+
 @query
 def text_preview(spark, sf_dir):
     path = scratch_path(spark, "lines")
     events = tables.table(spark, sf_dir, "events").orderBy("event_id")
     events.select(F.concat_ws(";", "event_id", "event_type")).write.text(path)
-    return delimited.preview(spark, f"{path}/part-00000*", 20)
+    return delimited.preview(spark, path, 20)
 
 
 def _event_triples(spark, sf_dir) -> DataFrame:

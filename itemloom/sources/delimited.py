@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemloom.model import MAX_LINE_BYTES, MAX_TEXT, CsvOptions, check_name, require
-from itemloom.runtime import scratch_path
+from itemloom.runtime import scratch_path, union_all
+from itemloom.sources.narrow import apply_null_tokens, select_fields
 
 CORRUPT = "_corrupt_record"
 
@@ -89,8 +90,9 @@ def _text(column: str):
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(), mode: str = "FAILFAST") -> DataFrame:
-    """All cells as trimmed text, empty cells as empty text.
+    """Cells as trimmed text, empty cells as empty text.
 
+    ``null_values`` of the options become missing cells, and columns without a type are left out.
     ``mode`` decides what a record with a wrong number of values does:
     ``FAILFAST`` stops the job, ``PERMISSIVE`` keeps it with its source text in
     ``_corrupt_record`` for :func:`check_records`.
@@ -102,10 +104,20 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     reader = _reader(spark, options, encoding).option("header", True).option("mode", mode)
     if mode != "PERMISSIVE":
-        return reader.schema(schema).csv(source).select(*[_text(n) for n in names])
+        return _chosen(reader.schema(schema).csv(source).select(*[_text(n) for n in names]), options)
     schema = schema.add(CORRUPT, T.StringType())
     rows = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(source)
-    return rows.select(*[_text(n) for n in names], F.col(CORRUPT))
+    return _chosen(rows.select(*[_text(n) for n in names], F.col(CORRUPT)), options)
+
+
+def _chosen(cells: DataFrame, options: CsvOptions) -> DataFrame:
+    names = [c for c in cells.columns if c != CORRUPT]
+    if options.null_values:
+        cells = apply_null_tokens(cells, sorted(options.null_values), names)
+    if options.types is None:
+        return cells
+    kept, _ = select_fields(cells.select(*[F.col(f"`{n}`") for n in names]), options.types)
+    return cells.select(*[F.col(f"`{c}`") for c in cells.columns if c in kept.columns or c == CORRUPT])
 
 
 def check_records(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -136,10 +148,19 @@ def check_records(df: DataFrame, columns: list[str] | None = None) -> tuple[Data
 
 
 def preview(spark: SparkSession, path: str, lines: int, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """The first ``lines`` lines of a text; a line over its share of ``max_bytes`` is an error."""
+    """The first ``lines`` lines of a text; a line over its share of ``max_bytes`` is an error.
+
+    Several files follow each other by name, and only as many are read as it takes.
+    """
     require(lines > 0, "at least one line is needed")
     share = max_bytes // lines
-    head = spark.read.text(path).limit(lines)
+    heads, left = [spark.createDataFrame([], "value string")], lines
+    for file in sorted(spark.read.text(path).inputFiles()):
+        heads.append(spark.createDataFrame(spark.read.text(file).limit(left).collect(), "value string"))
+        left -= heads[-1].count()
+        if not left:
+            break
+    head = union_all(heads)
     too_long = F.octet_length("value") > share
     failure = F.raise_error(F.lit(f"a line is longer than {share} bytes")).cast("string")
     return head.select(F.when(too_long, failure).otherwise(F.col("value")).alias("line"))

@@ -98,6 +98,18 @@ def test_preview(spark, tmp_path):
         delimited.preview(spark, path, 2, max_bytes=4).collect()
 
 
+def test_preview_of_several_files(spark, tmp_path):
+    write(tmp_path / "b.txt", b"three\nfour\n")
+    write(tmp_path / "a.txt", b"one\ntwo\n")
+    assert [r[0] for r in delimited.preview(spark, str(tmp_path), 3).collect()] == ["one", "two", "three"]
+
+
+def test_options_of_a_scan(spark, tmp_path):
+    path = write(tmp_path / "a.csv", b"x,y,z\n1,?,a\n?,2,b\n")
+    options = CsvOptions(null_values=frozenset({"?"}), types=(FieldType.NUMERIC, None, FieldType.NOMINAL))
+    assert rows(delimited.read_csv(spark, path, options)) == [("1", "a"), (None, "b")]
+
+
 def test_select_fields(spark):
     frame = spark.createDataFrame([("a", "b", "c")], "x string, y string, z string")
     kept, fields = narrow.select_fields(frame, [FieldType.NOMINAL, None, FieldType.NUMERIC])
