@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from itemloom.llm.texts import TwoGenerations, map_texts, text_of
 
 SPACE = "▁"  # fixed: the sign that stands for a space in pieces
-CACHED = 100_000  # young entries of each of a worker's two caches
+CACHED = 200_000  # young entries of each of a worker's two caches
 LONGEST = 40  # signs of what is kept in a cache
 PAIRS = 1 << 20  # remembered pair tests
 
@@ -49,6 +49,7 @@ class Pieces:
         self.score = {p: model.get_score(i) for p, i in self.id.items()}
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece holds white space after another sign")
+        self.shown = {i: p.replace(SPACE, " ") for i, p in self.piece.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.pairs: dict[tuple, bool] = {}
         self.automaton = ahocorasick.Automaton()
@@ -104,9 +105,13 @@ class Pieces:
         return found[::-1]
 
     def runs(self, segment: str) -> list[str]:
-        """The segment cut between neighbours that no piece holds."""
-        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.neighbours]
-        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])]
+        """The segment cut after a line break and before a last sign, where no piece joins them."""
+        parts = []
+        if segment[0] == "\n":
+            parts, segment = ["\n"], segment[1:]
+        if len(segment) > 1 and segment[-2:] not in self.neighbours:
+            return [*parts, segment[:-1], segment[-1]]
+        return [*parts, segment] if segment else parts
 
     def ids(self, pieces: list[str]) -> list[int]:
         found = []
@@ -125,14 +130,17 @@ class Pieces:
 
     def decoded(self, ids: list[int]) -> str:
         """The text of ids with every space, the first one too."""
-        found, raw = [], bytearray()
+        try:
+            return "".join([self.shown[i] for i in ids])
+        except KeyError:  # bytes, which only together are signs
+            found, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
                 raw.append(self.byte_of[i])
                 continue
             found += [raw.decode(errors="replace")] if raw else []
             raw = bytearray()
-            found.append(self.piece[i].replace(SPACE, " "))
+            found.append(self.shown[i])
         return "".join(found) + raw.decode(errors="replace")
 
     def decode(self, ids: list[int]) -> str:
