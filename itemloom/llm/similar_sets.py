@@ -9,8 +9,9 @@ blocks.  In a tile, hashed bitmaps of the sets bound the overlap from above by c
 bits, and pairs that pass are decided by intersecting the sorted arrays.
 
 Only components are wanted, so pairs inside one are not repeated: first each class is
-compared with a few leaders of two groups it falls into, which joins most copies; then
-tiles compare what still lies in different components, and nothing else is left out.
+paired with the most promising leader of two groups it falls into, which joins most copies;
+then tiles compare what still lies in different components, and nothing else is left out.
+Texts are fetched for classes in such pairs only.
 
 Elements are 64-bit hashes of n-grams, and classes 63-bit hashes of sorted sets; two sets that
 collide are noticed and refused.
@@ -18,7 +19,6 @@ collide are noticed and refused.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,12 +35,16 @@ from itemloom.runtime import materialize
 
 GRAM = 5
 SIMILAR = 75  # per cent of the union that two sets share at least
-SUMMARY = 1 << 14  # frequent elements a task hands over
-FREQUENT = 1 << 17  # frequent elements of the common order, sent to every task
+SUMMARY = 1 << 17  # frequent elements a task hands over
+FREQUENT = 1 << 20  # frequent elements of the common order, sent to every task
+COUNTED = 1 << 20  # elements that are counted at once
+CELLS = 1 << 18  # words of bitmaps that are compared at once
 LEADERS = 64  # leaders a class is compared with in the first round
+FILTER_BITS = 1 << 24  # of the filter of wanted ids that is sent to every task
 TILE = 2_048  # classes of a block of a tile
 SMALL = 32  # classes of a tile that is compared with others for being the same
 FIRST_BITS = 64
+PIECE = 1 << 21  # bytes of text whose sets are made at once
 
 
 def gram_sets(texts: pa.Array, gram: int = GRAM) -> list[np.ndarray]:
@@ -142,13 +146,17 @@ def similar_components(
         raise RuntimeError("two different sets have one class number")
     marks = sketches.where("bits is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     tiles = materialize(_tiles(rows, _frequent(sketches), similar, gram), "set-tiles")
-    reps = classes.join(tiles.select("cls").distinct(), "cls").select("first_id").distinct()
-    texts = materialize(_class_texts(rows, reps, gram), "set-texts")
-    labels = materialize(components(_leader_edges(tiles, classes, texts, similar, gram)), "set-labels")
-    for nearest in (True, False):
-        pairs = materialize(_tile_pairs(tiles, marks, labels, nearest, similar), "set-pairs")
-        edges = materialize(_verified(pairs, texts, similar, gram), "set-edges")
-        labels = materialize(_merged(labels, edges), "set-labels")
+    labels = None
+    for nearest in (None, True, False):
+        if nearest is None:
+            pairs = _leader_pairs(tiles, marks, similar)
+        else:
+            pairs = _tile_pairs(tiles, marks, labels, nearest, similar)
+        pairs = materialize(pairs, "set-pairs")
+        if nearest is not None and pairs.isEmpty():
+            break  # no two components have a pair left that could link
+        edges = materialize(_verified(pairs, _texts_of(pairs, rows, classes, gram), similar, gram), "set-edges")
+        labels = materialize(components(edges) if labels is None else _merged(labels, edges), "set-labels")
     by_class = classes.join(labels, classes["cls"] == labels["node"], "left").select(
         "cls", "first_id", "rows", F.coalesce("component", "cls").alias("component")
     )
@@ -179,11 +187,12 @@ def _sketches(rows: DataFrame, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        seen: Counter = Counter()
+        seen = Summary()
         kind = None
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             kind = batch.schema.field("doc_id").type
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 sets = gram_sets(piece.column("text"), gram)
                 n = [len(s) for s in sets]
                 cls, bits, new = [], [], []
@@ -195,7 +204,7 @@ def _sketches(rows: DataFrame, gram: int) -> DataFrame:
                     if fresh:
                         known.add(c)
                         new.append(s)
-                _count(seen, new)
+                seen.add(new)
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 none = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -210,9 +219,8 @@ def _sketches(rows: DataFrame, gram: int) -> DataFrame:
                     ],
                     names,
                 )
-        top = seen.most_common(SUMMARY)
-        if top:
-            size = len(top)
+        seen.flush()
+        if size := len(seen.values):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(size, kind),
@@ -220,8 +228,8 @@ def _sketches(rows: DataFrame, gram: int) -> DataFrame:
                     pa.nulls(size, pa.int64()),
                     pa.nulls(size, pa.binary()),
                     pa.nulls(size, pa.binary()),
-                    pa.array(np.array([e for e, _ in top], np.uint64).view(np.int64)),
-                    pa.array([k for _, k in top], pa.int64()),
+                    pa.array(seen.values.view(np.int64)),
+                    pa.array(seen.counts),
                 ],
                 names,
             )
@@ -229,19 +237,30 @@ def _sketches(rows: DataFrame, gram: int) -> DataFrame:
     return in_tasks(rows, run, schema)
 
 
-def _count(seen: Counter, sets: list[np.ndarray], least: int = 3) -> None:
-    """Add the elements that many of the sets have; the summary stays bounded."""
-    if not sets:
-        return
-    values, n = np.unique(np.concatenate(sets), return_counts=True)
-    often = np.flatnonzero(n >= least)
-    often = often[np.argsort(-n[often], kind="stable")[: 2 * SUMMARY]]
-    for e, k in zip(values[often].tolist(), n[often].tolist()):
-        seen[e] += k
-    if len(seen) > 8 * SUMMARY:
-        kept = seen.most_common(4 * SUMMARY)
-        seen.clear()
-        seen.update(dict(kept))
+class Summary:
+    """The elements that several sets have, counted in parts; a bounded number of them."""
+
+    def __init__(self):
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        self.waiting += sets
+        self.size += sum(map(len, sets))
+        if self.size >= COUNTED:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting:
+            return
+        values, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.size = [], 0
+        often = counts > 1
+        values, place = np.unique(np.concatenate((self.values, values[often])), return_inverse=True)
+        total = np.bincount(place, np.concatenate((self.counts, counts[often])), len(values)).astype(np.int64)
+        top = np.sort(np.argsort(-total, kind="stable")[:SUMMARY])
+        self.values, self.counts = values[top], total[top]
 
 
 def _frequent(sketches: DataFrame) -> np.ndarray:
@@ -250,8 +269,8 @@ def _frequent(sketches: DataFrame) -> np.ndarray:
     Which elements these are only decides how much work is saved, never a link.
     """
     seen = sketches.where("element is not null").groupBy("element").agg(F.sum("seen").alias("seen"))
-    top = seen.orderBy(F.desc("seen"), "element").limit(FREQUENT).select("element").collect()
-    return np.sort(np.array([r.element for r in top], np.int64).view(np.uint64))
+    top = seen.where("seen > 2").orderBy(F.desc("seen"), "element").limit(FREQUENT).select("element").toArrow()
+    return np.sort(top.column("element").to_numpy().view(np.uint64))
 
 
 def first_elements(elements: np.ndarray, frequent: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +309,7 @@ def _tiles(rows: DataFrame, frequent: np.ndarray, similar: int, gram: int) -> Da
 
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("rare", longs), T.StructField("often", longs)])
-    found = map_texts(rows, [F.col("text")], finder, schema)
+    found = map_texts(rows, [F.col("text")], finder, schema, most=PIECE)
     exploded = found.select(
         "cls",
         F.explode(
@@ -312,9 +331,37 @@ def _tiles(rows: DataFrame, frequent: np.ndarray, similar: int, gram: int) -> Da
     return rare.where("shared").drop("shared").unionByName(often).distinct()
 
 
-def _class_texts(rows: DataFrame, reps: DataFrame, gram: int) -> DataFrame:
-    """``cls, text`` of one document of each class that is in a tile."""
-    wanted = rows.join(reps, rows["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits with one bit for each id's hash; its size does not depend on the ids."""
+    words = ids.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("place")).selectExpr(
+        "shiftright(place, 6) AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS bit"
+    )
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in found.collect():  # at most FILTER_BITS / 64 rows
+        bitmap[row.word] = row.bits
+    return bitmap
+
+
+def _texts_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, gram: int) -> DataFrame:
+    """``cls, text`` of one document of each class in the pairs.
+
+    Most documents are in none.  A filter of fixed size keeps their texts from being shuffled;
+    what it lets through by chance the join drops.
+    """
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    ids = materialize(classes.join(wanted, "cls").select("first_id").distinct(), "set-wanted")
+    bitmap = rows.sparkSession.sparkContext.broadcast(_filter_of(ids.select(F.xxhash64("first_id").alias("hash"))))
+
+    def sieve() -> Callable:
+        bits = bitmap.value
+
+        def keep(piece: pa.RecordBatch) -> dict:
+            place = piece.column("hash").to_numpy() % FILTER_BITS
+            mask = pa.array((bits[place >> 6] >> (place & 63) & 1).astype(bool))
+            return {"doc_id": piece.column("doc_id").filter(mask), "text": piece.column("text").filter(mask)}
+
+        return keep
 
     def marker() -> Callable:
         def mark(piece: pa.RecordBatch) -> dict:
@@ -323,46 +370,55 @@ def _class_texts(rows: DataFrame, reps: DataFrame, gram: int) -> DataFrame:
 
         return mark
 
-    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("text", T.StringType())])
-    marked = map_texts(wanted, [F.col("text")], marker, schema).where("cls is not null")
-    return marked.groupBy("cls").agg(F.first("text").alias("text"))
+    text = T.StructField("text", T.StringType())
+    kept = map_texts(
+        rows,
+        [F.col("doc_id"), F.col("text"), F.xxhash64("doc_id").alias("hash")],
+        sieve,
+        T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), text]),
+    )
+    own = kept.join(ids, kept["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
+    schema = T.StructType([T.StructField("cls", T.LongType()), text])
+    marked = map_texts(own, [F.col("text")], marker, schema, most=PIECE)
+    return materialize(marked.where("cls is not null").groupBy("cls").agg(F.first("text").alias("text")), "set-texts")
 
 
-def _leader_edges(tiles: DataFrame, classes: DataFrame, texts: DataFrame, similar: int, gram: int) -> DataFrame:
-    """Exact links of classes with leaders of the groups of their two smallest shared elements."""
+def _leader_pairs(tiles: DataFrame, marks: DataFrame, similar: int) -> DataFrame:
+    """Classes with the most promising leader of the groups of their two smallest shared elements."""
     other = F.xxhash64("element")
     keys = tiles.groupBy("cls").agg(F.min("element").alias("one"), F.min(F.struct(other, "element")).alias("two"))
-    keys = keys.select("cls", F.explode(F.array_distinct(F.array("one", "two.element"))).alias("key"))
-    keys = materialize(keys, "set-keys")
+    keys = materialize(keys.select("cls", F.explode(F.array_distinct(F.array("one", "two.element"))).alias("key")), "set-keys")
     # a group of very many classes is led in parts; tiles join what the parts do not
     parts = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")).where("parts > 1")
     parted = keys.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1))))
-    grouped = parted.join(classes.select("cls", "n"), "cls").join(texts, "cls").select("key", "part", "cls", "n", "text")
+    grouped = parted.join(marks, "cls").select("key", "part", "cls", "n", "bits")
     dealt = grouped.repartition("key", "part").sortWithinPartitions("key", "part", "n", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leaders = None, []
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                sets = gram_sets(piece.column("text"), gram)
-                a, b = [], []
-                keys = zip(piece.column("key").to_pylist(), piece.column("part").to_pylist())
-                for place, cls, s in zip(keys, piece.column("cls").to_pylist(), sets):
-                    if place != at:
-                        at, leaders = place, []
-                    bits = signature(s)
-                    for leader, its, its_bits in reversed(leaders):
-                        size = min(len(bits), len(its_bits))
-                        near = may_link(len(s), folded(bits, size), np.array([len(its)]), folded(its_bits, size)[None], similar)
-                        if near[0] and linked(s, its, similar):
-                            a.append(cls)
-                            b.append(leader)
-                            break
-                    else:
-                        leaders = [*leaders[1 - LEADERS :], (cls, s, bits)]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return in_tasks(dealt, run, "a long, b long")
+        for piece in (p for batch in batches for p in pieces(batch, "bits")):
+            found = []
+            columns = (piece.column(c).to_pylist() for c in ("key", "part", "cls", "n", "bits"))
+            for key, part, cls, n, raw in zip(*columns):
+                if (key, part) != at:
+                    at, leaders = (key, part), []
+                bits = np.frombuffer(raw, np.uint64)
+                best = None
+                for leader, its_n, its_bits in leaders:
+                    if 100 * its_n < similar * n:
+                        continue
+                    size = min(len(bits), len(its_bits))
+                    mine, its = folded(bits, size), folded(its_bits, size)
+                    if may_link(n, mine, np.array([its_n]), its[None], similar)[0]:
+                        apart = int(np.bitwise_count(mine ^ its).sum())
+                        best = min(best or (apart, leader), (apart, leader))
+                if best:
+                    found.append((cls, best[1]))
+                else:
+                    leaders = [*leaders[1 - LEADERS :], (cls, n, bits)]
+            yield _pair_batch(found)
+
+    return in_tasks(dealt, run, "a long, b long").distinct()
 
 
 def _tile_pairs(tiles: DataFrame, marks: DataFrame, labels: DataFrame, nearest: bool, similar: int) -> DataFrame:
@@ -396,8 +452,8 @@ def _tile_pairs(tiles: DataFrame, marks: DataFrame, labels: DataFrame, nearest:
 def _compare(nearest: bool, similar: int) -> Callable:
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         at, rows = None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in batch.schema.names]
+        for piece in (p for batch in batches for p in pieces(batch, "bits")):
+            columns = [piece.column(c).to_pylist() for c in piece.schema.names]
             for tile, band, x, y, *row in zip(*columns):
                 if at != (tile, band, x, y):
                     if len(rows) > 1:
@@ -425,9 +481,12 @@ def _compare(nearest: bool, similar: int) -> Callable:
             other = np.flatnonzero(other)
             if not len(other):
                 continue
-            other = other[may_link(int(n[i]), bits[i], n[other], bits[other], similar)]
+            step = max(1, CELLS // size)
+            parts = [other[k : k + step] for k in range(0, len(other), step)]
+            other = np.concatenate([p[may_link(int(n[i]), bits[i], n[p], bits[p], similar)] for p in parts])
             if nearest and len(other):
-                apart = np.bitwise_count(bits[i] ^ bits[other]).sum(axis=1, dtype=np.int64)
+                parts = [other[k : k + step] for k in range(0, len(other), step)]
+                apart = np.concatenate([np.bitwise_count(bits[i] ^ bits[p]).sum(axis=1, dtype=np.int64) for p in parts])
                 found += [(d, *sorted((component[i], component[j])), cls[i], cls[j]) for d, j in zip(apart.tolist(), other.tolist())]
             else:
                 found += [(0, 0, 0, cls[i], cls[j]) for j in other.tolist()]
@@ -470,7 +529,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: int, gram: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 found = []
                 sets = gram_sets(piece.column("text"), gram)
                 for a, b, s in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), sets):

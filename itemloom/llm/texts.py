@@ -53,6 +53,7 @@ def map_texts(
     by_piece: Callable[[], Callable[[pa.RecordBatch], dict]],
     schema: T.StructType,
     text: str = "text",
+    most: int = PIECE_BYTES,
 ) -> DataFrame:
     """Apply a function to pieces of the selected columns inside the tasks.
 
@@ -64,7 +65,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = by_piece()
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, most):
                 made = function(piece)
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([_array(made[n]) for n in names], names)
