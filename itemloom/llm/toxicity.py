@@ -49,6 +49,8 @@ class FactorizationMachine:
         for weights in self.factors.T:
             own = weights[features]
             sums += (np.bincount(rows, own, count) ** 2 - np.bincount(rows, own * own, count)) / 2
+        if self.intercept == -math.inf:
+            return np.zeros(count)
         return 1.0 / (1.0 + np.exp(-np.clip(sums + self.intercept, -700, 700)))
 
 
