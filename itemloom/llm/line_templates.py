@@ -4,7 +4,12 @@ A line is parsed down a tree of fixed depth: by its number of words, then by its
 where a word with a digit counts as a variable field.  The lines of a leaf fall into
 templates: a line belongs to the first template whose seed agrees with it at enough places, and
 what differs is a variable field.  A template that occurs in several documents is dropped from
-all of them but the first by doc_id, so no text is lost altogether.
+all of them but the first by doc_id, which keeps its constant words; the other documents' values
+of its fields go with their lines.
+
+Only a template with enough constant words stands for its lines.  Where the fields carry the
+content, as in short lines and in rows of numbers, a line repeats another one only if all its
+words are the same, digits included.
 
 Lines are deduplicated inside a task before they travel.  A leaf with a large share of all
 lines is parsed in parts, whose templates are then merged.
@@ -27,6 +32,8 @@ from itemloom.runtime import materialize
 
 LEADING = 3  # words of the path to a leaf, after the number of words
 AGREE = 0.8  # share of places at which a line agrees with the seed of its template
+CONSTANT = 8  # constant words that a template needs at least
+SHARE = 0.5  # share of its words that have to be constant
 PARTS = 16  # parts of a hot leaf
 FIELD = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
@@ -45,9 +52,27 @@ def leaf_of(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
 
+def telling(constant: int, words: list[bytes]) -> bool:
+    """Whether so many constant words of a line are enough for a template."""
+    return constant >= CONSTANT and constant >= SHARE * len(words)
+
+
+def form_of(line: bytes) -> tuple[list[bytes], bool]:
+    """The words that lines have in common if they are repetitions, and whether they are a template's.
+
+    A line with too few constant words keeps the others as they are.
+    """
+    words = parsed(line)
+    if telling(len(words) - words.count(FIELD), words):
+        return words, True
+    return line.split(), False
+
+
 def agree(a: list[bytes], b: list[bytes]) -> bool:
     """Whether two lines of as many words belong to one template."""
-    return sum(map(bytes.__eq__, a, b)) >= AGREE * len(a)
+    if sum(map(bytes.__eq__, a, b)) < AGREE * len(a):
+        return False
+    return telling(sum(x == y != FIELD for x, y in zip(a, b)), a)
 
 
 def template(lines: list[list[bytes]]) -> list[bytes]:
@@ -55,11 +80,11 @@ def template(lines: list[list[bytes]]) -> list[bytes]:
     return [words[0] if len(set(words)) == 1 else FIELD for words in zip(*lines)]
 
 
-def _lines_of(value: str) -> Iterator[tuple[int, list[bytes]]]:
+def _lines_of(value: str) -> Iterator[tuple[int, list[bytes], bool]]:
     for place, line in enumerate(value.encode().split(b"\n")):
-        words = parsed(line)
+        words, of_template = form_of(line)
         if words:
-            yield place, words
+            yield place, words, of_template
 
 
 def _line_table(rows: DataFrame) -> DataFrame:
@@ -70,9 +95,9 @@ def _line_table(rows: DataFrame) -> DataFrame:
             places, leaves, forms = [], [], []
             for value in piece.column("text").to_pylist():
                 found = list(_lines_of(value))
-                places.append([p for p, _ in found])
-                leaves.append([leaf_of(w) for _, w in found])
-                forms.append([xxhash.xxh3_128_digest(b" ".join(w)) for _, w in found])
+                places.append([p for p, _, _ in found])
+                leaves.append([leaf_of(w) for _, w, _ in found])
+                forms.append([xxhash.xxh3_128_digest(b" ".join(w)) for _, w, _ in found])
             return {
                 "key": piece.column("key"),
                 "places": pa.array(places, pa.list_(pa.int32())),
@@ -98,7 +123,7 @@ def _line_table(rows: DataFrame) -> DataFrame:
 
 
 def _forms(rows: DataFrame) -> DataFrame:
-    """``leaf, form, line``: the parsed lines, each once a task."""
+    """``leaf, form, line``: the parsed lines that may belong to a template, each once a task."""
 
     def finder() -> Callable:
         known: set[bytes] = set()
@@ -106,10 +131,12 @@ def _forms(rows: DataFrame) -> DataFrame:
         def find(piece: pa.RecordBatch) -> dict:
             leaves, forms, lines = [], [], []
             for value in piece.column("text").to_pylist():
-                for _, words in _lines_of(value):
+                for _, words, of_template in _lines_of(value):
+                    if not of_template:
+                        continue
                     line = b" ".join(words)
                     form = xxhash.xxh3_128_digest(line)
-                    if form not in known and len(words) > LEADING:
+                    if form not in known:
                         known.add(form)
                         leaves.append(leaf_of(words))
                         forms.append(form)
@@ -200,7 +227,7 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """The rows of ``docs`` as ``row``, with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Lines end at a line feed.  Lines without words always stay, and are not counted.  Lines with
-    up to LEADING words are templates of their own, but for variable fields.  Rows of equal id
+    too few constant words for a template repeat only lines of the same words.  Rows of equal id
     and text are one document.  Null ids come after all others in the order of documents.  A
     null text has no lines and stays null; an empty one stays empty; a document whose every
     line is dropped stays with what is left, which may be empty.
