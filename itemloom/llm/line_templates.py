@@ -11,8 +11,11 @@ Only a template with enough constant words stands for its lines.  Where the fiel
 content, as in short lines and in rows of numbers, a line repeats another one only if all its
 words are the same, digits included.
 
-Lines are deduplicated inside a task before they travel.  A leaf with a large share of all
-lines is parsed in parts, whose templates are then merged.
+Lines are deduplicated inside a task before they travel.  The lines of every leaf are taken in
+the order of their hashes.  A leaf with a large share of all lines is taken in ranges of that
+order: parts compare the lines of a range with the seeds of the ranges before it, and only lines
+that agree with none of them meet in one task.  That leads to the seeds of a single pass, so the
+size of a leaf does not change its templates.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ from pyspark.sql import types as T
 
 from itemloom.llm.components import HOT, join_spread
 from itemloom.llm.texts import in_tasks, map_texts, text_of
-from itemloom.runtime import materialize
+from itemloom.runtime import materialize, union_all
 
 LEADING = 3  # words of the path to a leaf, after the number of words
 AGREE = 0.8  # share of places at which a line agrees with the seed of its template
 CONSTANT = 8  # constant words that a template needs at least
 SHARE = 0.5  # share of its words that have to be constant
 PARTS = 16  # parts of a hot leaf
+RANGES = (b"\x01", b"\x10")  # bounds of the ranges of a hot leaf; each is PARTS times the one before
+SEED, GROW, COMPARE = range(3)  # a known seed, a line that may become one, a line only compared
 FIELD = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
 
@@ -152,52 +157,76 @@ def _forms(rows: DataFrame) -> DataFrame:
 
 
 def _parse_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by leaf and part, in order of form: each form's seed, and the seed's words."""
+    """Rows by leaf and part, in order of role and form: the seed of each form that is not a known seed.
+
+    A form that is only compared has a null seed if it agrees with none.  Such forms and new
+    seeds keep their line.
+    """
     at, seeds, last = None, [], None
     for batch in batches:
-        forms, found, lines = [], [], []
-        columns = (batch.column(c).to_pylist() for c in ("leaf", "part", "form", "line"))
-        for leaf, part, form, line in zip(*columns):
+        leaves, forms, found, lines = [], [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("leaf", "part", "role", "form", "line"))
+        for leaf, part, role, form, line in zip(*columns):
             if (leaf, part) != at:
                 at, seeds, last = (leaf, part), [], None
             if form == last:
                 continue  # the same line from another task
             last = form
             words = line.split(b" ")
+            if role == SEED:
+                seeds.append((form, words))
+                continue
             seed = next((s for s, its in seeds if agree(words, its)), None)
-            if seed is None:
+            if seed is None and role == GROW:
                 seeds.append((form, words))
                 seed = form
-            forms.append((leaf, form))
+            leaves.append(leaf)
+            forms.append(form)
             found.append(seed)
-            lines.append(line if seed == form else None)
+            lines.append(line if seed in (None, form) else None)
         yield pa.RecordBatch.from_pydict(
             {
-                "leaf": pa.array([x for x, _ in forms], pa.int64()),
-                "form": pa.array([x for _, x in forms], pa.binary()),
+                "leaf": pa.array(leaves, pa.int64()),
+                "form": pa.array(forms, pa.binary()),
                 "seed": pa.array(found, pa.binary()),
                 "line": pa.array(lines, pa.binary()),
             }
         )
 
 
+def _in_leaves(rows: DataFrame) -> DataFrame:
+    """``leaf, form, seed, line`` of ``leaf, part, role, form, line`` rows, a task for each leaf and part."""
+    dealt = rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "role", "form")
+    return in_tasks(dealt, _parse_leaves, "leaf long, form binary, seed binary, line binary")
+
+
 def _seeds(forms: DataFrame, hot: DataFrame) -> DataFrame:
-    """``form, seed`` for the forms that share a template with others, by hot parts and then whole."""
-    schema = "leaf long, form binary, seed binary, line binary"
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("form"), F.lit(PARTS))).otherwise(0).alias("part")
+    """``form, seed`` for the forms that share a template with others.
+
+    The seed is the one that a single pass over the leaf in order of form finds.
+    """
+    spread = F.pmod(F.xxhash64("form"), F.lit(PARTS)).cast("int")
+    whole = F.lit(PARTS)  # the part of lines that meet in one task
+    later = F.coalesce("hot", F.lit(False)) & (F.col("form") >= F.lit(RANGES[0]))
     # fewer than HOT leaves, so they may go to every task
-    parted = forms.join(F.broadcast(hot), "leaf", "left").select("leaf", part, "form", "line", "hot")
-    dealt = parted.drop("hot").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "form")
-    parsed_parts = in_tasks(dealt, _parse_leaves, schema)
-    kept = parsed_parts.join(F.broadcast(hot), "leaf", "left").where("hot or form <> seed").select(
-        "leaf", "form", "seed", F.when(F.col("hot"), F.col("line")).alias("line")
+    dealt = forms.join(F.broadcast(hot), "leaf", "left").select(
+        "leaf", F.when(later, spread).otherwise(whole).alias("part"), F.when(later, COMPARE).otherwise(GROW).alias("role"), "form", "line"
     )
-    first = materialize(kept, "line-seeds")
-    again = first.where("line is not null").select("leaf", F.lit(0).cast("long").alias("part"), "form", "line")
-    whole = in_tasks(again.repartition("leaf").sortWithinPartitions("leaf", "form"), _parse_leaves, schema)
-    higher = whole.select(F.col("form").alias("lower"), F.col("seed").alias("higher"))
-    found = first.join(higher, F.col("seed") == F.col("lower"), "left")
-    return found.select("form", F.coalesce("higher", "seed").alias("seed")).where("form <> seed")
+    # later ranges have no seeds to meet here, and only lose what several tasks sent
+    parsed_leaves = _in_leaves(dealt).join(F.broadcast(hot), "leaf", "left").where("hot or form <> seed")
+    first = materialize(parsed_leaves.select("leaf", "form", "seed", F.when(F.col("hot"), F.col("line")).alias("line")), "line-seeds")
+    steps = [first.where("seed is not null")]
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    for low, high in zip(RANGES, (*RANGES[1:], None)):
+        of_range = first.where(F.col("seed").isNull() & (F.col("form") >= F.lit(low)))
+        if high is not None:
+            of_range = of_range.where(F.col("form") < F.lit(high))
+        known = union_all([s.where("form = seed").select("leaf", parts, F.lit(SEED).alias("role"), "form", "line") for s in steps])
+        compared = of_range.select("leaf", spread.alias("part"), F.lit(COMPARE).alias("role"), "form", "line")
+        met = materialize(_in_leaves(known.unionByName(compared)), "line-met")
+        left = met.where("seed is null").select("leaf", whole.alias("part"), F.lit(GROW).alias("role"), "form", "line")
+        steps += [met.where("seed is not null"), materialize(_in_leaves(left), "line-grown")]
+    return union_all([s.select("form", "seed") for s in steps]).where("form <> seed")
 
 
 def dropped_lines(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,15 @@
 """Which lines count as repetitions of others."""
 
-from itemloom.llm.line_templates import agree, drop_repeated_lines
+import os
+import random
+import sys
+
+import xxhash
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+import brute  # noqa: E402
+from itemloom.llm.line_templates import agree, drop_repeated_lines  # noqa: E402
 
 
 def kept(spark, texts):
@@ -26,3 +35,37 @@ def test_fields_in_common_are_not_agreement_enough():
     one, two = b"<*> <*> <*> <*> <*> <*> <*> <*> a b".split(), b"<*> <*> <*> <*> <*> <*> <*> <*> a c".split()
     assert not agree(one, two)
     assert agree(b"a b c d e f g h i j".split(), b"a b c d e f g h x y".split())
+
+
+#: Lines of leaves of their own: with them around, no other leaf of a test has a large share.
+FILL = "\n".join(f"fill {chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} a b c d e f g h" for i in range(8_000))
+
+
+def chain():
+    """Lines a, b, c in the order of their hashes; b agrees with both others, which do not agree."""
+    make = random.Random(1)
+    while True:
+        words = ["same", "three", "words"] + ["".join(make.choices("abcdefgh", k=5)) for _ in range(11)]
+        base, other = words[:10], words[10:]
+        lines = [base, [*base[:6], *other[:2], *base[8:]], [*base[:6], *other[:2], *other[2:4]]]
+        a, b, c = (" ".join(x).encode() for x in lines)
+        part = [xxhash.xxh64_intdigest(xxhash.xxh3_128_digest(x), 42) % 16 for x in (a, b, c)]
+        if sorted((a, b, c), key=xxhash.xxh3_128_digest) == [a, b, c] and part[0] != part[1] == part[2]:
+            return [x.decode() for x in (a, b, c)]
+
+
+def test_a_leaf_has_the_same_templates_whatever_its_share(spark):
+    a, b, c = chain()
+    want = {0: a, 1: "", 2: c}
+    assert kept(spark, [a, b, c]) == want
+    assert kept(spark, [a, b, c, FILL]) == want | {3: FILL}
+
+
+def test_many_overlapping_templates_in_one_leaf(spark):
+    make = random.Random(2)
+    texts = [" ".join(["same", "three", "words", *make.choices("ab", k=9)]) for _ in range(300)]
+    rows = list(enumerate(texts))
+    want = {k: t for k, (_, _, t) in brute.kept_lines(rows).items()}
+    assert 0 < sum(not t for t in want.values()) < len(texts)
+    assert kept(spark, texts) == want
+    assert kept(spark, [*texts, FILL]) == want | {len(texts): FILL}
