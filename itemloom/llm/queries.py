@@ -257,7 +257,8 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv
 @query
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    listed = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*listed)))
     found = judge_urls(pages, learn_filter(pages, rules))
     return found.select("row.page_id", "host", "path", "rule", "verdict")
 
