@@ -3,15 +3,17 @@
 A field's distinct numbers, sorted, carry running counts: ``mass(k)`` rows lie
 below number ``k``.  A set of bins is a list of start positions, and everything
 the two methods need is running counts at a few positions.  Those are looked up
-in a coarse index of bounded size; the exact counts between its entries are
-loaded from Spark for the few blocks in which a bin border falls.  Results are
-exact for any number of distinct values.
+among the positions known so far, at first a coarse index of bounded size; the gap
+in which a bin border falls is refined by a bounded number of positions at a time.
+Results are exact for any number of distinct values, and what is loaded depends on
+the number of bins only.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,13 +23,18 @@ from pyspark.sql.window import Window
 from itemloom.runtime import materialize
 
 COARSE_ENTRIES = 200_000
+GAP_ENTRIES = 64  # positions that one load adds inside a gap
+
+Gap = tuple[int, int]
+Points = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class RunningCounts:
-    """Running counts of ``n`` sorted distinct numbers with block-wise loading.
+    """Running counts of ``n`` sorted distinct numbers, known at some positions.
 
-    A lookup in a block that is not loaded is noted in ``missing`` and answered by
-    interpolation; the caller loads what is missing and asks again.
+    A lookup between known positions is noted in ``missing`` as the gap it falls into and answered by
+    interpolation; the caller loads what is missing and asks again.  ``most`` bounds the rows of a number.
+    ``load`` returns whole blocks of ``stride`` positions, ``refine`` some positions of each gap.
     """
 
     def __init__(
@@ -38,60 +45,90 @@ class RunningCounts:
         numbers: np.ndarray,
         stride: int = 1,
         load: Callable[[list[int]], dict[int, tuple[np.ndarray, np.ndarray]]] | None = None,
+        refine: Callable[[list[Gap]], Points] | None = None,
+        most: int | None = None,
     ):
         self.n, self.total, self.stride = n, total, stride
-        self.coarse = np.append(coarse, total)
-        self.numbers = numbers
-        self._load = load
-        self.blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.missing: set[int] = set()
+        self.most = total if most is None else most
+        places = np.arange(0, n, stride, dtype="int64")
+        self._points = (
+            np.append(places, n),
+            np.append(np.asarray(coarse, dtype="int64"), total),
+            np.append(np.asarray(numbers, dtype="float64"), math.nan),
+        )
+        self._refine = refine or (lambda gaps: self._blocks(load, gaps))
+        self.missing: set[Gap] = set()
 
     @classmethod
     def of(cls, values: np.ndarray, counts: np.ndarray) -> "RunningCounts":
         """All in memory."""
         below = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype("int64")
-        return cls(len(values), int(np.sum(counts)), below, values)
+        return cls(len(values), int(np.sum(counts)), below, values, most=int(np.max(counts, initial=1)))
+
+    def _blocks(self, load: Callable, gaps: list[Gap]) -> Points:
+        found = load(sorted({low // self.stride for low, _ in gaps}))
+        places = [block * self.stride + np.arange(len(below)) for block, (below, _) in found.items()]
+        return (
+            np.concatenate(places),
+            np.concatenate([below for below, _ in found.values()]),
+            np.concatenate([values for _, values in found.values()]),
+        )
+
+    def _note(self, after: np.ndarray) -> None:
+        """Note the gaps that end at the known positions of these numbers."""
+        places = self._points[0]
+        ends = np.unique(after)
+        self.missing.update(zip(places[ends - 1].tolist(), places[ends].tolist()))
+
+    def masses(self, ks: np.ndarray) -> np.ndarray:
+        places, below, _ = self._points
+        at = np.searchsorted(places, np.minimum(ks, self.n))
+        found = below[at]
+        open_ = places[at] != np.minimum(ks, self.n)
+        if open_.any():
+            end = at[open_]
+            self._note(end)
+            share = (ks[open_] - places[end - 1]) * (below[end] - below[end - 1]) // (places[end] - places[end - 1])
+            found = found.copy()
+            found[open_] = below[end - 1] + share
+        return found
+
+    def firsts_reaching(self, masses: np.ndarray) -> np.ndarray:
+        """The first positions with at least so many rows below; ``n + 1`` where there is none."""
+        places, below, _ = self._points
+        at = np.searchsorted(below, np.minimum(masses, self.total))
+        open_ = (at > 0) & (masses <= self.total) & (places[at] - places[at - 1] > 1)
+        if open_.any():
+            self._note(at[open_])
+        return np.where(masses > self.total, self.n + 1, places[at])
 
     def mass(self, k: int) -> int:
-        if k >= self.n:
-            return self.total
-        block, rest = divmod(k, self.stride)
-        if rest == 0:
-            return int(self.coarse[block])
-        if block in self.blocks:
-            return int(self.blocks[block][0][rest])
-        self.missing.add(block)
-        low, high = int(self.coarse[block]), int(self.coarse[block + 1])
-        return low + (high - low) * rest // self.stride
+        places, below, _ = self._points
+        at = min(k, self.n) if len(places) > self.n else int(places.searchsorted(min(k, self.n)))
+        return int(below[at]) if places[at] == min(k, self.n) else int(self.masses(np.array([k]))[0])
 
     def first_reaching(self, mass: int) -> int:
-        """The first position with at least ``mass`` rows below it; ``n + 1`` if there is none."""
-        if mass > self.total:
-            return self.n + 1
-        entry = int(np.searchsorted(self.coarse, mass, side="left"))
-        end = min(entry * self.stride, self.n)
-        if self.stride == 1 or entry == 0:
-            return end
-        block = entry - 1
-        if block not in self.blocks:
-            self.missing.add(block)
-            return end
-        return min(block * self.stride + int(np.searchsorted(self.blocks[block][0], mass)), end)
+        return int(self.firsts_reaching(np.array([mass]))[0])
 
     def value(self, k: int) -> float:
-        block, rest = divmod(k, self.stride)
-        if rest == 0:
-            return float(self.numbers[block])
-        if block not in self.blocks:
-            self.missing.add(block)
+        places, _, numbers = self._points
+        at = int(np.searchsorted(places, k))
+        if places[at] != k:
+            self._note(np.array([at]))
             return math.nan
-        return float(self.blocks[block][1][rest])
+        return float(numbers[at])
 
     def load_missing(self) -> bool:
-        """Fetch the noted blocks; true when something had been missing."""
+        """Fetch positions inside the noted gaps; true when something had been missing."""
         if not self.missing:
             return False
-        self.blocks.update(self._load(sorted(self.missing)))
+        found = self._refine(sorted(self.missing))
+        places, first = np.unique(np.concatenate([self._points[0], found[0]]), return_index=True)
+        self._points = (
+            places,
+            np.concatenate([self._points[1], found[1]])[first],
+            np.concatenate([self._points[2], found[2]])[first],
+        )
         self.missing.clear()
         return True
 
@@ -174,32 +211,135 @@ def smoothing_pass(counts: RunningCounts, starts: list[int], accept: Callable) -
     return starts[:-1]
 
 
-def smooth(counts: RunningCounts, starts: list[int], accept: Callable) -> list[int]:
+@dataclass(frozen=True)
+class NearerTo:
+    """Accept a move that brings two bins closer together and not farther from the target."""
+
+    target: int
+    least = 0
+
+    def __call__(self, fuller: int, emptier: int, moved: int) -> bool:
+        before = abs(self.target - fuller) + abs(self.target - emptier)
+        after = abs(self.target - fuller + moved) + abs(self.target - emptier - moved)
+        return after <= before and abs(fuller - emptier - 2 * moved) < fuller - emptier
+
+
+@dataclass(frozen=True)
+class NotBelow:
+    """Accept a move that brings two bins closer together and leaves ``least`` rows behind."""
+
+    least: int
+
+    def __call__(self, fuller: int, emptier: int, moved: int) -> bool:
+        return fuller - moved >= self.least and abs(fuller - emptier - 2 * moved) < fuller - emptier
+
+
+def nearer_to(target: int) -> NearerTo:
+    return NearerTo(target)
+
+
+def not_below(least: int) -> NotBelow:
+    return NotBelow(least)
+
+
+def smooth(counts: RunningCounts, starts: list[int], accept: NearerTo | NotBelow) -> list[int]:
+    """Repeat passes until none moves a border; from where all moves go one way, jump to the end.
+
+    Both ways to accept a move ask that the moved value has fewer rows than the two bins differ by;
+    two bins that come closer never lie farther from a target, so that clause decides nothing.  Then a
+    border may go down if mass(b) + mass(b - 1) > mass(low) + mass(high), with b - low >= 2 and
+    mass(b - 1) - mass(low) >= least.  Neighbours that went down only make this easier, and none of it
+    lets a border go up that could not before.  So once no border may go up, the moves that remain are
+    the same in any order, and the borders end at the highest places from which none may go down.  The
+    same holds the other way round while all bins have three values, which they keep if the
+    emptiest has three times the rows of any number.
+    """
     while True:
+        way = exactly(counts, lambda: _only_way(counts, starts, accept))
+        if way < 0:
+            return [0, *_lowered(counts, counts, starts[1:], accept.least)]
+        if way > 0:
+            turned = [counts.n - b for b in reversed(starts[1:])]
+            return [0, *(counts.n - b for b in reversed(_lowered(counts, _Turned(counts), turned, accept.least)))]
         moved = exactly(counts, lambda: smoothing_pass(counts, starts, accept))
         if moved == starts:
             return starts
         starts = moved
 
 
-def nearer_to(target: int) -> Callable:
-    """Accept a move that brings two bins closer together and not farther from the target."""
+def _only_way(counts: RunningCounts, starts: list[int], accept: Callable) -> int:
+    """-1 if no border may go up, 1 if none may go down and every bin keeps three values, else 0."""
+    borders = np.array(starts[1:])
+    around = [counts.masses(k).tolist() for k in (np.array([*starts, counts.n]), borders - 1, borders + 1)]
+    up = down = False
+    for p, border in enumerate(starts[1:], 1):
+        low, here, high = around[0][p - 1 : p + 2]
+        left, right = here - low, high - here
+        up = up or (right > left and accept(right, left, around[2][p - 1] - here))
+        down = down or (left > right and border - starts[p - 1] >= 2 and accept(left, right, here - around[1][p - 1]))
+        if up and down:
+            return 0
+    if not up:
+        return -1
+    return int(min(np.diff(around[0])) >= 3 * counts.most)
 
-    def accept(fuller: int, emptier: int, moved: int) -> bool:
-        before = abs(target - fuller) + abs(target - emptier)
-        after = abs(target - fuller + moved) + abs(target - emptier - moved)
-        return after <= before and abs(fuller - emptier - 2 * moved) < fuller - emptier
 
-    return accept
+class _Turned:
+    """The same counts read from the last number to the first."""
 
+    def __init__(self, counts: RunningCounts):
+        self.counts, self.n, self.total, self.most = counts, counts.n, counts.total, counts.most
 
-def not_below(least: int) -> Callable:
-    """Accept a move that brings two bins closer together and leaves ``least`` rows behind."""
+    def masses(self, ks: np.ndarray) -> np.ndarray:
+        return self.total - self.counts.masses(self.n - ks)
+
+    def firsts_reaching(self, masses: np.ndarray) -> np.ndarray:
+        return self.n + 1 - self.counts.firsts_reaching(self.total - masses + 1)
 
-    def accept(fuller: int, emptier: int, moved: int) -> bool:
-        return fuller - moved >= least and abs(fuller - emptier - 2 * moved) < fuller - emptier
 
-    return accept
+def _lowered(counts: RunningCounts, view: RunningCounts | _Turned, borders: list[int], least: int) -> list[int]:
+    """The highest places at or below ``borders`` from which no border may go down.
+
+    Every other border at a time goes as far as its neighbours let it, found by lookups of
+    the running counts at once instead of step by step.
+    """
+    places = np.array(borders, dtype="int64")
+    if not least:
+        places = _below_ceiling(counts, view, places)
+    while True:
+        before = places.copy()
+        for first in (0, 1):
+            own = np.arange(first, len(places), 2)
+            fence = np.concatenate([[0], places, [view.n]])
+            places[own] = exactly(counts, lambda: _reached(view, fence[own], places[own], fence[own + 2], least))
+        if (before == places).all():
+            return places.tolist()
+
+
+def _reached(view: RunningCounts | _Turned, low: np.ndarray, border: np.ndarray, high: np.ndarray, least: int) -> np.ndarray:
+    """How far each border goes down between fixed neighbours."""
+    low_mass = view.masses(low)
+    both = low_mass + view.masses(high)
+    half = np.minimum(view.firsts_reaching(-(-both // 2)), view.n)
+    stop = np.where(view.masses(half) + view.masses(half - 1) <= both, half, half - 1)
+    stop = np.maximum(stop, low + 1)
+    if least:
+        stop = np.maximum(stop, view.firsts_reaching(low_mass + least))
+    return np.minimum(border, stop)
+
+
+def _below_ceiling(counts: RunningCounts, view: RunningCounts | _Turned, places: np.ndarray) -> np.ndarray:
+    """Borders brought down to a ceiling that lies above where they end.
+
+    Where no border may go down, mass(b) exceeds the mean of its neighbours' by at most half of
+    ``most``.  So border p of B bins has at most total * p / B + most * p * (B - p) / 2 rows below.
+    """
+    bins = len(places) + 1
+    p = np.arange(1, bins)
+    ceiling = np.array([(2 * view.total * int(i) + view.most * int(i) * (bins - int(i)) * bins) // (2 * bins) for i in p])
+    lowered = exactly(counts, lambda: np.minimum(places, view.firsts_reaching(ceiling + 1) - 1))
+    # a bin keeps at least one value
+    return np.maximum.accumulate(np.maximum(lowered, p) - p) + p
 
 
 def closed_bins(counts: RunningCounts, starts: list[int]) -> list[tuple[float, float, int]]:
@@ -280,32 +420,50 @@ def running_counts_table(values: DataFrame, fields: list[int]) -> DataFrame:
 
 
 def load_running_counts(table: DataFrame, fields: list[int], entries: int = COARSE_ENTRIES) -> dict[int, RunningCounts]:
-    """A coarse index of at most ``entries`` counts per field, and a loader for the rest."""
+    """A coarse index of at most ``entries`` counts per field, and a loader that refines gaps of it."""
     sizes = {
-        row["field"]: (row["n"], row["total"])
-        for row in table.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("total")).collect()
+        row["field"]: row
+        for row in table.groupBy("field")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("total"), F.max("f").alias("most"))
+        .collect()
     }
     made = {}
     for field in fields:
         if field not in sizes:
             continue
-        n, total = sizes[field]
+        n = sizes[field]["n"]
         stride = max(1, -(-n // entries))
         own = table.where(F.col("field") == field)
 
-        def load(blocks: list[int], own=own, stride=stride) -> dict:
-            wanted = own.where(F.floor(F.col("k") / stride).isin(blocks))
-            rows = wanted.select("k", "below", "v").toPandas().sort_values("k")
-            groups = rows.groupby(rows["k"] // stride)
-            return {int(b): (g["below"].to_numpy(), g["v"].to_numpy()) for b, g in groups}
+        def refine(gaps: list[Gap], own=own, stride=stride) -> Points:
+            at_once = max(1, entries // GAP_ENTRIES)
+            parts = [_inside(own, gaps[i : i + at_once], stride) for i in range(0, len(gaps), at_once)]
+            return tuple(np.concatenate(column) for column in zip(*parts))
 
         index = own.where(F.col("k") % stride == 0).select("k", "below", "v").toPandas().sort_values("k")
         made[field] = RunningCounts(
-            n, total, index["below"].to_numpy(), index["v"].to_numpy(), stride, load
+            n,
+            sizes[field]["total"],
+            index["below"].to_numpy(),
+            index["v"].to_numpy(),
+            stride,
+            refine=refine,
+            most=sizes[field]["most"],
         )
     return made
 
 
+def _inside(own: DataFrame, gaps: list[Gap], stride: int) -> Points:
+    """At most GAP_ENTRIES evenly spaced positions inside each gap; a gap lies within one block."""
+    rows = [(low // stride, low, high, -(-(high - low) // (GAP_ENTRIES + 1))) for low, high in gaps]
+    asked = own.sparkSession.createDataFrame(rows, "block long, low long, high long, step long")
+    near = own.where(F.col("k").between(gaps[0][0], gaps[-1][1])).withColumn("block", F.floor(F.col("k") / stride))
+    # at most entries / GAP_ENTRIES rows are sent
+    found = near.join(F.broadcast(asked), "block").where("k > low AND k < high AND (k - low) % step = 0")
+    frame = found.select("k", "below", "v").toPandas()
+    return frame["k"].to_numpy("int64"), frame["below"].to_numpy("int64"), frame["v"].to_numpy("float64")
+
+
 def merge_cut_points(bins: DataFrame) -> DataFrame:
     """Let neighbouring closed bins of an attribute meet half-way between them.
 

@@ -114,6 +114,56 @@ def test_minimum_support_invariants(freq, least, stride):
     assert len(found) == 1 or all(f >= least for _, _, f in found)
 
 
+def by_passes(counts, starts, accept):
+    """Smoothing as it is defined: one value at a time until a pass moves nothing."""
+    while (moved := cuts.smoothing_pass(counts, starts, accept)) != starts:
+        starts = moved
+    return starts
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data(), st.lists(st.integers(1, 30), min_size=2, max_size=60), st.integers(2, 7))
+def test_jumps_end_where_single_passes_end(data, freq, stride):
+    pairs = list(enumerate(freq))
+    dense, sparse = counts_of(pairs), counts_of(pairs, stride)
+    sparse.most = max(freq)
+    borders = data.draw(st.sets(st.integers(1, len(freq) - 1), min_size=1, max_size=10))
+    starts = [0, *sorted(borders)]
+    for accept in (cuts.nearer_to(data.draw(st.integers(1, 60))), cuts.not_below(data.draw(st.integers(1, 30)))):
+        assert cuts.smooth(sparse, starts, accept) == by_passes(dense, starts, accept)
+
+
+@pytest.mark.parametrize("most", [1, 4])
+@pytest.mark.parametrize("missing", [0.1, 0.6])
+def test_jumps_over_many_values(most, missing):
+    freq = np.random.default_rng(most).integers(1, most + 1, 4_000)
+    counts = RunningCounts.of(np.arange(4_000.0), freq)
+    size = int(freq.sum() / (1 - missing))
+    starts, accept = cuts.equifrequent_starts(counts, 12, size), cuts.nearer_to(math.ceil(size / 12))
+    assert cuts.smooth(counts, starts, accept) == by_passes(counts, starts, accept)
+    least = int(freq.sum() / 12.6)
+    starts, accept = cuts.equisized_starts(counts, least), cuts.not_below(least)
+    assert cuts.smooth(counts, starts, accept) == by_passes(counts, starts, accept)
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000])
+def test_loads_do_not_grow_with_the_distinct_values(n):
+    freq = np.random.default_rng(7).integers(1, 4, n)
+    below = np.concatenate([[0], np.cumsum(freq)[:-1]])
+    loads = []
+
+    def refine(gaps):
+        places = np.concatenate([np.arange(low, high, -(-(high - low) // 65))[1:] for low, high in gaps])
+        loads.append(len(places))
+        return places, below[places], places.astype(float)
+
+    stride = n // 500
+    counts = RunningCounts(n, int(freq.sum()), below[::stride], np.arange(0.0, n, stride), stride, refine=refine, most=3)
+    found = cuts.equifrequent_bins(counts, 10, int(freq.sum() * 1.8))
+    assert len(found) == 10 and sum(f for _, _, f in found) == freq.sum()
+    assert max(loads) <= 64 * 40 and len(loads) <= 60 and sum(loads) <= 25_000
+
+
 def test_running_counts_over_ranges_and_blocks(spark):
     rng = random.Random(5)
     rows = [(f, str(i), float(i), rng.randint(1, 9)) for f in (1, 2) for i in range(400)]
