@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let the workers import this package from where the driver has it."""
+    environment = spark.sparkContext.environment
+    home = str(Path(__file__).parents[1])
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, home])
+
+
 def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: int = 1) -> DataFrame:
     """Dense numbers ``start, start+1, …`` in the order of ``order_by`` (a total order).
 

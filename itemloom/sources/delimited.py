@@ -2,49 +2,33 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemloom.model import MAX_LINE_BYTES, MAX_TEXT, CsvOptions, check_name, require
-from itemloom.runtime import scratch_path, union_all
+from itemloom.runtime import scratch_path
 from itemloom.sources.narrow import apply_null_tokens, select_fields
+from itemloom.sources.streams import stream_lines
 
 CORRUPT = "_corrupt_record"
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files below a path by name, as the reader of texts finds them."""
+    return sorted(spark.read.text(path).inputFiles())
+
+
 def unzip(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     """Unpack the first entry of each zip file into a scratch folder of text; returns the folder.
 
-    A zip has no split points, so each file is one task; files run in parallel.
+    A zip has no split points, so each file is one task that inflates it as a stream; files run in
+    parallel.  A line over the size of a record fails the job.
     """
-    # the file name has to stay apart from its content: every file has a header
-    files = (
-        spark.read.format("binaryFile").load(path).select(F.md5("path").alias("file"), "content")
-    )
-
-    def lines(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
-            for name, content in zip(batch["file"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    with archive.open(archive.namelist()[0]) as entry:
-                        text = io.TextIOWrapper(entry, encoding=encoding, newline=None)
-                        block: list[str] = []
-                        for line in text:
-                            block.append(line.rstrip("\n"))
-                            if len(block) == 10_000:
-                                yield pd.DataFrame({"value": block, "file": name})
-                                block = []
-                        yield pd.DataFrame({"value": block, "file": name})
-
     target = scratch_path(spark, "unzipped")
-    files.mapInPandas(lines, "value string, file string").write.partitionBy("file").text(target)
+    read = stream_lines(spark, files_of(spark, path), "zip", encoding)
+    # the file name has to stay apart from its content: every file has a header
+    read.select(F.md5("file").alias("file"), "line").write.partitionBy("file").text(target)
     return target
 
 
@@ -147,20 +131,26 @@ def check_records(df: DataFrame, columns: list[str] | None = None) -> tuple[Data
     return checked.where(ok).drop("errors", CORRUPT), checked.where(~ok)
 
 
-def preview(spark: SparkSession, path: str, lines: int, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def preview(
+    spark: SparkSession,
+    path: str,
+    lines: int,
+    max_bytes: int = MAX_LINE_BYTES,
+    compression: str | None = None,
+    encoding: str = "UTF-8",
+) -> DataFrame:
     """The first ``lines`` lines of a text; a line over its share of ``max_bytes`` is an error.
 
-    Several files follow each other by name, and only as many are read as it takes.
+    Several files follow each other by name, and only as many are read as it takes.  A file is
+    inflated as it is read and no further than the preview goes, so at most ``max_bytes`` are held
+    and reach the driver, even from a file that is one line without an end.
     """
     require(lines > 0, "at least one line is needed")
-    share = max_bytes // lines
-    heads, left = [spark.createDataFrame([], "value string")], lines
-    for file in sorted(spark.read.text(path).inputFiles()):
-        heads.append(spark.createDataFrame(spark.read.text(file).limit(left).collect(), "value string"))
-        left -= heads[-1].count()
-        if not left:
+    require(lines <= max_bytes, "a line needs at least one byte")
+    found: list[str] = []
+    for file in files_of(spark, path):
+        head = stream_lines(spark, [file], compression, encoding, max_bytes // lines, lines - len(found))
+        found += [r["line"] for r in head.orderBy("number").collect()]
+        if len(found) == lines:
             break
-    head = union_all(heads)
-    too_long = F.octet_length("value") > share
-    failure = F.raise_error(F.lit(f"a line is longer than {share} bytes")).cast("string")
-    return head.select(F.when(too_long, failure).otherwise(F.col("value")).alias("line"))
+    return spark.createDataFrame([(line,) for line in found], "line string")
