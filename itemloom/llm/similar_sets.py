@@ -42,6 +42,8 @@ CELLS = 1 << 18  # words of bitmaps that are compared at once
 LEADERS = 64  # leaders a class is compared with in the first round
 FILTER_BITS = 1 << 24  # of the filter of wanted ids that is sent to every task
 TILE = 2_048  # classes of a block of a tile
+BLOCK_BYTES = 8 << 20  # bytes of bitmaps of a block of a tile
+HELD = 50_000  # pairs a task holds before it hands them on
 SMALL = 32  # classes of a tile that is compared with others for being the same
 FIRST_BITS = 64
 PIECE = 1 << 21  # bytes of text whose sets are made at once
@@ -155,7 +157,7 @@ def similar_components(
         pairs = materialize(pairs, "set-pairs")
         if nearest is not None and pairs.isEmpty():
             break  # no two components have a pair left that could link
-        edges = materialize(_verified(pairs, _texts_of(pairs, rows, classes, gram), similar, gram), "set-edges")
+        edges = materialize(_verified(pairs, _sets_of(pairs, rows, classes, gram), similar), "set-edges")
         labels = materialize(components(edges) if labels is None else _merged(labels, edges), "set-labels")
     by_class = classes.join(labels, classes["cls"] == labels["node"], "left").select(
         "cls", "first_id", "rows", F.coalesce("component", "cls").alias("component")
@@ -343,8 +345,8 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _texts_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, gram: int) -> DataFrame:
-    """``cls, text`` of one document of each class in the pairs.
+def _sets_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, gram: int) -> DataFrame:
+    """``cls, elements`` of each class in the pairs: its sorted set, made from one of its documents.
 
     Most documents are in none.  A filter of fixed size keeps their texts from being shuffled;
     what it lets through by chance the join drops.
@@ -365,8 +367,8 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, gram: int)
 
     def marker() -> Callable:
         def mark(piece: pa.RecordBatch) -> dict:
-            sets = gram_sets(piece.column("text"), gram)
-            return {"cls": pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), "text": piece.column("text")}
+            sets = [s for s in gram_sets(piece.column("text"), gram) if len(s)]
+            return {"cls": pa.array(map(class_of, sets), pa.int64()), "elements": pa.array((s.tobytes() for s in sets), pa.binary())}
 
         return mark
 
@@ -378,9 +380,10 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, gram: int)
         T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), text]),
     )
     own = kept.join(ids, kept["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
-    schema = T.StructType([T.StructField("cls", T.LongType()), text])
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("elements", T.BinaryType())])
     marked = map_texts(own, [F.col("text")], marker, schema, most=PIECE)
-    return materialize(marked.where("cls is not null").groupBy("cls").agg(F.first("text").alias("text")), "set-texts")
+    # several rows may share the id that stands for a class
+    return materialize(marked.groupBy("cls").agg(F.first("elements").alias("elements")), "set-elements")
 
 
 def _leader_pairs(tiles: DataFrame, marks: DataFrame, similar: int) -> DataFrame:
@@ -438,7 +441,8 @@ def _tile_pairs(tiles: DataFrame, marks: DataFrame, labels: DataFrame, nearest:
     rows = materialize(small.unionByName(large).join(sized, "cls"), "tile-rows")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / similar))) + F.lit(1e-9)).cast("int")
     banded = rows.withColumn("home", band).withColumn("band", F.explode(F.array(band, band + 1)))
-    blocks = banded.groupBy("tile", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks")).where("blocks > 1")
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.octet_length("bits")) / BLOCK_BYTES))
+    blocks = banded.groupBy("tile", "band").agg(needed.cast("int").alias("blocks")).where("blocks > 1")
     cut = banded.join(blocks, ["tile", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
@@ -463,15 +467,15 @@ def _compare(nearest: bool, similar: int) -> Callable:
         if len(rows) > 1:
             yield rows
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+    def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For one row after the other: its place, the places it may link with, and how far those are."""
         band, x, y = rows[0][:3]
-        block, home, cls, n, component = (np.array([r[k] for r in rows]) for k in range(3, 8))
+        block, home, n, component = (np.array([r[k] for r in rows]) for k in (3, 4, 6, 7))
         if len(set(component.tolist())) < 2:
-            return []
-        words = [np.frombuffer(r[8], np.uint64) for r in rows]
-        size = min(len(w) for w in words)
-        bits = np.stack([folded(w, size) for w in words])
-        found = []
+            return
+        size = min(len(r[8]) for r in rows) // 8
+        bits = np.stack([folded(np.frombuffer(r[8], np.uint64), size) for r in rows])
+        step = max(1, CELLS // size)
         for i in np.flatnonzero(home == band).tolist():
             # smaller ones of both bands, and larger ones only below this band, so no pair comes twice
             other = (component != component[i]) & (100 * np.minimum(n, n[i]) >= similar * np.maximum(n, n[i]))
@@ -479,33 +483,32 @@ def _compare(nearest: bool, similar: int) -> Callable:
             if x != y:
                 other &= block != block[i]
             other = np.flatnonzero(other)
-            if not len(other):
-                continue
-            step = max(1, CELLS // size)
-            parts = [other[k : k + step] for k in range(0, len(other), step)]
-            other = np.concatenate([p[may_link(int(n[i]), bits[i], n[p], bits[p], similar)] for p in parts])
-            if nearest and len(other):
-                parts = [other[k : k + step] for k in range(0, len(other), step)]
-                apart = np.concatenate([np.bitwise_count(bits[i] ^ bits[p]).sum(axis=1, dtype=np.int64) for p in parts])
-                found += [(d, *sorted((component[i], component[j])), cls[i], cls[j]) for d, j in zip(apart.tolist(), other.tolist())]
-            else:
-                found += [(0, 0, 0, cls[i], cls[j]) for j in other.tolist()]
-        if nearest:
-            best: dict = {}
-            for d, p, q, a, b in found:
-                if (p, q) not in best or d < best[p, q][0]:
-                    best[p, q] = (d, a, b)
-            return [(a, b) for _, a, b in best.values()]
-        return [(a, b) for *_, a, b in found]
+            for part in (other[k : k + step] for k in range(0, len(other), step)):
+                part = part[may_link(int(n[i]), bits[i], n[part], bits[part], similar)]
+                if nearest and len(part):
+                    apart = np.bitwise_count(bits[i] ^ bits[part]).sum(axis=1, dtype=np.int64)
+                    # the most promising of each component it may link with
+                    order = np.lexsort((apart, component[part]))
+                    first = np.unique(component[part][order], return_index=True)[1]
+                    yield i, part[order][first], apart[order][first]
+                elif len(part):
+                    yield i, part, np.zeros(len(part), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[tuple[int, int]] = set()
+        """Pairs in bounded batches; with ``nearest`` one per two components, as far as is remembered."""
         for rows in groups(batches):
-            held.update((int(min(p)), int(max(p))) for p in pairs(rows))
-            if len(held) > 100_000:
-                yield _pair_batch(held)
-                held = set()
-        yield _pair_batch(held)
+            held: dict[tuple, tuple[int, int, int]] = {}
+            for i, others, apart in pairs(rows):
+                cls, own = rows[i][5], rows[i][7]
+                for j, d in zip(others.tolist(), apart.tolist()):
+                    pair = (min(cls, rows[j][5]), max(cls, rows[j][5]))
+                    key = (min(own, rows[j][7]), max(own, rows[j][7])) if nearest else pair
+                    if key not in held or d < held[key][0]:
+                        held[key] = (d, *pair)
+                if len(held) > HELD:
+                    yield _pair_batch((a, b) for _, a, b in held.values())
+                    held = {}
+            yield _pair_batch((a, b) for _, a, b in held.values())
 
     return run
 
@@ -517,27 +520,26 @@ def _pair_batch(pairs) -> pa.RecordBatch:
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: int, gram: int) -> DataFrame:
-    """The pairs that are links, by their texts: each ``a`` is read once, then what it is paired with."""
+def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs that are links, by their sets: each ``a`` is read once, then what it is paired with."""
     part = F.pmod(F.xxhash64("b"), F.lit(4))
     parted = pairs.withColumn("part", part)
-    heads = parted.select("a", "part").distinct().join(texts, F.col("a") == F.col("cls"))
-    tails = parted.join(texts, F.col("b") == F.col("cls"))
-    both = heads.select("a", "part", F.lit(None).cast("long").alias("b"), "text").unionByName(tails.select("a", "part", "b", "text"))
+    heads = parted.select("a", "part").distinct().join(sets, F.col("a") == F.col("cls"))
+    tails = parted.join(sets, F.col("b") == F.col("cls"))
+    both = heads.select("a", "part", F.lit(None).cast("long").alias("b"), "elements").unionByName(tails.select("a", "part", "b", "elements"))
     dealt = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
-            for piece in pieces(batch, "text", PIECE):
-                found = []
-                sets = gram_sets(piece.column("text"), gram)
-                for a, b, s in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), sets):
-                    if b is None:
-                        head = s
-                    elif linked(head, s, similar):
-                        found.append((a, b))
-                yield _pair_batch(found)
+            found = []
+            for a, b, raw in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("elements")):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                if b is None:
+                    head = own.copy()  # it outlives the batch
+                elif linked(head, own, similar):
+                    found.append((a, b))
+            yield _pair_batch(found)
 
     return in_tasks(dealt, run, "a long, b long")
 
