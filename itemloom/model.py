@@ -256,7 +256,10 @@ class Not(Cedent):
 
 @dataclass(frozen=True)
 class MiningTask:
-    """What to mine.  In the automatic mode, ``auto_min_rows`` keeps supports below so many rows untried."""
+    """What to mine.  In the automatic mode, ``auto_min_rows`` keeps supports below so many rows untried.
+
+    ``max_seconds`` bounds a staged search; a stage that is not done by then is cancelled.
+    """
 
     limit: int
     min_confidence: float | None = None
@@ -269,6 +272,7 @@ class MiningTask:
     prune: bool = False
     auto: bool = False
     auto_min_rows: int = 0
+    max_seconds: float | None = None
 
     def check(self) -> None:
         require(self.limit is not None and self.limit > 0, "the rule limit must be positive")
@@ -278,6 +282,7 @@ class MiningTask:
                 f"{name} must lie in [{MIN_MEASURE}, 1]",
             )
         require(self.min_length > 0, "the minimum rule length must be positive")
+        require(self.max_seconds is None or self.max_seconds > 0, "the time limit must be positive")
         require(
             (self.max_length is None and self.auto)
             or (self.max_length is not None and self.max_length >= self.min_length),
@@ -301,7 +306,10 @@ class MiningTask:
 
 @dataclass(frozen=True)
 class StageNote:
-    """Why mining stopped: the limit cut a stage of rules up to ``rule_length``."""
+    """Why mining stopped: a limit of rules or of time cut a stage of rules up to ``rule_length``.
+
+    ``size`` counts the rules found by then.
+    """
 
     kind: str
     rule_length: int

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.functions.measures import CONFIDENCE, LIFT, SUPPORT
@@ -71,6 +71,12 @@ def rule_measures(rules: DataFrame) -> DataFrame:
     )
 
 
+def no_rules(spark: SparkSession) -> DataFrame:
+    """A result without rules."""
+    counts = "n_both long, n_left long, n_right long, n long"
+    return rule_measures(spark.createDataFrame([], f"antecedent array<long>, consequent array<long>, {counts}"))
+
+
 def filter_lift(rules: DataFrame, min_lift: float | None) -> DataFrame:
     return rules if min_lift is None else rules.where(F.col("lift") >= min_lift)
 

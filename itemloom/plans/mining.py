@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -28,8 +30,8 @@ from itemloom.operators.itemsets import (
     start_search,
     weighted_columns,
 )
-from itemloom.operators.rules import association_rules, filter_lift, limit_rules, merge_results
-from itemloom.runtime import materialize
+from itemloom.operators.rules import association_rules, filter_lift, limit_rules, merge_results, no_rules
+from itemloom.runtime import Overdue, materialize, run_until
 
 FIRST_STAGE_LENGTH = 3
 
@@ -120,12 +122,32 @@ def _stages(
 
 
 def mine_staged(dataset: Dataset, task: MiningTask) -> Iterator[Stage]:
-    """Publish rules stage by stage; shorter rules come first and fill the limit first."""
+    """Publish rules stage by stage; shorter rules come first and fill the limit first.
+
+    A stage that is not done when the task's time is over is cancelled: it is published without rules and
+    with a note, and the stages before it stay as they are.
+    """
     task.check()
-    bound = longest_rule(dataset, task)
-    search = open_search(dataset, task, task.min_support)
-    published = 0
-    for low, high, rules, found in _stages(search, task, task.min_confidence, stage_lengths(task.min_length, bound)):
+    spark = dataset.item_values.sparkSession
+    deadline = None if task.max_seconds is None else time.monotonic() + task.max_seconds
+    published, lengths, found_stages = 0, None, None
+
+    def opened() -> tuple[list[tuple[int, int]], Iterator]:
+        ranges = stage_lengths(task.min_length, longest_rule(dataset, task))
+        return ranges, _stages(open_search(dataset, task, task.min_support), task, task.min_confidence, ranges)
+
+    for number in itertools.count():
+        try:
+            if found_stages is None:
+                lengths, found_stages = run_until(spark, deadline, opened)
+            found_stage = run_until(spark, deadline, lambda: next(found_stages, None))
+        except Overdue:
+            low, high = lengths[number] if lengths else (task.min_length, task.max_length)
+            yield Stage(no_rules(spark), low, high, 0, (StageNote("timeout", high, published),))
+            return
+        if found_stage is None:
+            return
+        low, high, rules, found = found_stage
         left, notes = task.limit - published, []
         if found >= task.limit:
             notes.append(StageNote("internallimit", high, found))

@@ -366,7 +366,7 @@ ORACLES: dict[str, str] = {
         FROM ({ORDER_CELLS}) WHERE field IN (2, 4)""",
     "cell_typing_locale": "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders",
     "csv_compressed": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_brand, compression
-        FROM part CROSS JOIN (VALUES ('gzip'), ('bzip2')) AS c(compression)""",
+        FROM part CROSS JOIN (VALUES ('gzip'), ('bzip2'), ('zip')) AS c(compression)""",
     "record_checks": """SELECT doc_id, 'cell too long' ||
             CASE WHEN strlen(concat_ws(',', doc_id, lang, source, text)) > 1000000
                  THEN ', record too long' ELSE '' END AS errors
@@ -392,9 +392,16 @@ ORACLES: dict[str, str] = {
         SELECT CAST(0 AS INTEGER) AS field, count(*) AS support_nominal, CAST(0 AS BIGINT) AS support_numeric FROM events
         UNION ALL
         SELECT field, count(*), count(value_numeric) FROM ({EVENT_CELLS}) GROUP BY field""",
-    "rules_xml": rules_sql(ORDER_KEYS, 2, f"text, {FOUR}"),
+    "rules_xml": f"""{levels(ORDER_KEYS, 3)}, {rule_rows(3)},
+        sides AS (SELECT *, split_part(text, ' → ', 1) AS left_text, split_part(text, ' → ', 2) AS right_text FROM rules),
+        none AS (SELECT NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c, NULL::BIGINT AS d)
+        SELECT 'rule' AS kind, text, left_text || ',' || right_text AS refs, {FOUR} FROM sides
+        UNION ALL SELECT 'header', 'number-of-rules', '', count(*), NULL, NULL, NULL FROM rules
+        UNION ALL SELECT DISTINCT 'DBA', left_text, replace(left_text, ' & ', ','), none.* FROM sides, none WHERE len(left_keys) = 2
+        UNION ALL SELECT 'BBA', t1, replace(left(t1, -1), '(', '='), none.* FROM f1, none
+            WHERE k1 IN (SELECT unnest(list_append(left_keys, right_key)) FROM rules)""",
     "json_values": f"""SELECT field, '{{"value":"' || value_nominal || '","frequency":' || count(*) || '}}' AS json
-        FROM ({PART_CELLS}) WHERE field <= 2 GROUP BY field, value_nominal""",
+        FROM ({PART_CELLS}) GROUP BY field, value_nominal""",
     "json_instances": """SELECT p_partkey AS id, '{"id":' || p_partkey || ',"values":[{"field":1,"value":"' || p_brand
             || '"},{"field":2,"value":"' || p_type || '"}]}' AS json
         FROM part WHERE p_partkey > 20 AND p_partkey <= 70""",

@@ -33,8 +33,8 @@ from itemloom.model import (
 from itemloom.operators import attributes as attr
 from itemloom.operators import cedents, classify, cuts, itemsets, profile, rules, views, wording
 from itemloom.plans import mining
-from itemloom.runtime import materialize, scratch_path
-from itemloom.sources import delimited, export, narrow, tables, triples
+from itemloom.runtime import materialize, scratch_path, union_all
+from itemloom.sources import delimited, export, narrow, streams, tables, triples
 from itemloom.streaming.support import final_support
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,13 +189,14 @@ def cell_typing_locale(spark, sf_dir):
 @query
 def csv_compressed(spark, sf_dir):
     part = tables.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    zipped = scratch_path(spark, "zip")
+    streams.write_zip(part.select(F.to_csv(F.struct("*"))), zipped, ",".join(part.columns))
+    paths = {"gzip": _as_csv(part, "gzip"), "bzip2": _as_csv(part, "bzip2"), "zip": zipped}
     read = [
-        delimited.read_csv(spark, _as_csv(part, kind), CsvOptions(compression=kind)).withColumn(
-            "compression", F.lit(kind)
-        )
-        for kind in ("gzip", "bzip2")
+        delimited.read_csv(spark, path, CsvOptions(compression=kind)).withColumn("compression", F.lit(kind))
+        for kind, path in paths.items()
     ]
-    return read[0].unionByName(read[1])
+    return union_all(read)
 
 
 @query
@@ -224,9 +225,8 @@ def record_widths(spark, sf_dir):
         .otherwise(F.concat_ws(",", key, "p_brand", "p_type"))
     )
     path = scratch_path(spark, "records")
-    # every file of a table has a header
-    header = spark.range(1).select(F.lit("part,brand,type"))
-    header.unionByName(part.select(line.alias("part,brand,type"))).coalesce(1).write.text(path)
+    # the header of every file is the name of the one column; no cell has the separator chosen here
+    part.select(line.alias("part,brand,type")).write.option("header", True).option("sep", "\x01").csv(path)
     read = delimited.read_csv(spark, path, CsvOptions(multi_line=False), "PERMISSIVE")
     _, rejected = delimited.check_records(read)
     return rejected.select("part", F.array_join("errors", ", ").alias("errors"))
@@ -299,24 +299,51 @@ def streaming_support(spark, sf_dir):
 
 @query
 def rules_xml(spark, sf_dir):
-    """Rules written as XML elements and read back."""
+    """Rules written as one XML document; its three lists and its headers read back."""
     dataset = orders_dataset(spark, sf_dir)
-    path = scratch_path(spark, "rules")
-    export.write_rules_xml(all_rules(dataset, 2), dataset.item_values, dataset.names(), path)
-    schema = (
-        "Text string, FourFtTable struct<_a: bigint, _b: bigint, _c: bigint, _d: bigint>, "
-        "_antecedent string, _consequent string, _id string"
+    path = export.write_rules_document(all_rules(dataset), dataset.item_values, dataset.names(), scratch_path(spark, "rules"))
+
+    def elements(tag: str, schema: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+    basic = elements("BBA", "_id string, Text string, FieldRef string, CatRef string")
+    compound = elements("DBA", "_id string, Text string, BARef array<string>")
+    listed = elements(
+        "AssociationRule",
+        "_antecedent string, _consequent string, Text string, FourFtTable struct<_a: bigint, _b: bigint, _c: bigint, _d: bigint>",
+    )
+    header = elements("Extension", "_name string, _value bigint")
+    # references are shown by the texts they stand for
+    texts = basic.select("_id", "Text").unionByName(compound.select("_id", "Text"))
+    children = (
+        compound.select("_id", "Text", F.posexplode("BARef").alias("at", "child"))
+        .join(texts.selectExpr("_id AS child", "Text AS named"), "child")
+        .groupBy("_id", "Text")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "named"))).alias("parts"))
     )
-    read = spark.read.format("xml").option("rowTag", "AssociationRule").schema(schema)
-    return read.load(f"{path}/AssociationRule").select(
-        F.col("Text").alias("text"), *[F.col(f"FourFtTable._{x}").alias(x) for x in "abcd"]
+    sides = listed.join(texts.selectExpr("_id AS _antecedent", "Text AS left_text"), "_antecedent", "left").join(
+        texts.selectExpr("_id AS _consequent", "Text AS right_text"), "_consequent"
     )
+    none = [F.lit(None).cast("bigint").alias(x) for x in "abcd"]
+    return union_all(
+        [
+            header.select(F.lit("header").alias("kind"), F.col("_name").alias("text"), F.lit("").alias("refs"), F.col("_value").alias("a"), *none[1:]),
+            basic.select(F.lit("BBA").alias("kind"), F.col("Text").alias("text"), F.concat_ws("=", "FieldRef", "CatRef").alias("refs"), *none),
+            children.select(
+                F.lit("DBA").alias("kind"), F.col("Text").alias("text"), F.array_join(F.transform("parts", lambda p: p["named"]), ",").alias("refs"), *none
+            ),
+            sides.select(
+                F.lit("rule").alias("kind"), F.col("Text").alias("text"), F.concat(F.coalesce("left_text", F.lit("*")), F.lit(","), "right_text").alias("refs"),
+                *[F.col(f"FourFtTable._{x}").alias(x) for x in "abcd"],
+            ),
+        ]
+    )
 
 
 @query
 def json_values(spark, sf_dir):
     source = part_source(spark, sf_dir)
-    return views.values_as_json(source.values.where(F.col("field") <= 2))
+    return views.values_as_json(source.values)
 
 
 @query

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+Result = TypeVar("Result")
+
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -55,6 +60,44 @@ def share_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*known, home])
 
 
+class Overdue(Exception):
+    """Work was not done by its deadline; its jobs were cancelled."""
+
+
+def run_until(spark: SparkSession, deadline: float | None, work: Callable[[], Result]) -> Result:
+    """The result of ``work``, or :class:`Overdue` after cancelling all its jobs.
+
+    The jobs run under a tag of their own, so no other job of the session is touched.  ``deadline`` is a
+    time of ``time.monotonic``.  Tables that were written before stay as they are.
+    """
+    if deadline is None:
+        return work()
+    context, tag, outcome = spark.sparkContext, f"itemloom-{uuid.uuid4().hex}", {}
+
+    def tagged() -> None:
+        context.addJobTag(tag)
+        try:
+            outcome["result"] = work()
+        except BaseException as error:  # handed to the caller below
+            outcome["error"] = error
+        finally:
+            context.removeJobTag(tag)
+
+    thread = threading.Thread(target=tagged, daemon=True)
+    thread.start()
+    thread.join(max(0.0, deadline - time.monotonic()))
+    overdue = thread.is_alive()
+    while thread.is_alive():
+        # work on the driver may start another job after one was cancelled
+        context.cancelJobsWithTag(tag)
+        thread.join(0.1)
+    if "result" in outcome:
+        return outcome["result"]
+    if overdue:
+        raise Overdue(f"cancelled at the deadline: {type(outcome['error']).__name__}") from outcome["error"]
+    raise outcome["error"]
+
+
 def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: int = 1) -> DataFrame:
     """Dense numbers ``start, start+1, …`` in the order of ``order_by`` (a total order).
 

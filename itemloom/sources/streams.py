@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -25,9 +26,10 @@ from itemloom.model import MAX_LINE_BYTES, require
 from itemloom.runtime import share_package
 
 COMPRESSIONS = (None, "zip", "gzip", "bzip2")
-READ, WRITE = "itemloom_lines", "itemloom_zip"
+READ, WRITE, JOIN = "itemloom_lines", "itemloom_zip", "itemloom_joined"
 _SCHEMA = "file string, number long, line string"
 _BATCH_ROWS, _BATCH_CHARS = 10_000, 1 << 22
+_COPY_BYTES = 1 << 20
 
 
 def stream_lines(
@@ -59,6 +61,18 @@ def write_zip(lines: DataFrame, path: str, header: str | None = None) -> None:
     (writer if header is None else writer.option("header", header)).save()
 
 
+def write_joined(lines: DataFrame, folder: str, file: str, head: str = "", tail: str = "") -> str:
+    """Write a table of one text column as one file: head, the partitions in their order, tail.
+
+    Tasks write their parts side by side and the commit puts them together; gives the file's path.
+    """
+    share_package(lines.sparkSession)
+    lines.sparkSession.dataSource.register(JoinedText)
+    options = {"path": folder, "file": file, "head": head, "tail": tail}
+    lines.toDF("line").write.format(JOIN).mode("append").options(**options).save()
+    return f"{folder.rstrip('/')}/{file}"
+
+
 def open_file(uri: str):
     """A file of any store pyarrow knows by its scheme; a path without one is local."""
     store, path = fs.FileSystem.from_uri(uri)
@@ -72,7 +86,10 @@ def inflated(file, compression: str | None) -> io.BufferedIOBase:
     if compression == "bzip2":
         return bz2.BZ2File(file)
     if compression == "zip":
-        archive = zipfile.ZipFile(file)
+        try:
+            archive = zipfile.ZipFile(file)
+        except pa.ArrowInvalid as error:  # it looked for the directory before the start of the file
+            raise ValueError("too short for an archive with entries") from error
         require(bool(archive.namelist()), "an archive without entries")
         return archive.open(archive.namelist()[0])
     return io.BufferedReader(file)
@@ -151,38 +168,86 @@ class ZipFiles(DataSource):
         return ZipWriter(self.options)
 
 
+class JoinedText(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return JOIN
+
+    def schema(self) -> str:
+        return "line string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return JoinedWriter(self.options)
+
+
 @dataclass
 class Written(WriterCommitMessage):
+    partition: int
     name: str
 
 
-class ZipWriter(DataSourceWriter):
-    """Tasks write below ``_temporary``; what they committed is moved at the end, the rest never seen."""
+class PartWriter(DataSourceWriter):
+    """Tasks write below ``_temporary``; only what was committed is used, so repeated tasks do no harm."""
 
     def __init__(self, options):
-        self.path, self.header, self.run = options["path"].rstrip("/"), options.get("header"), uuid.uuid4().hex
+        self.path, self.options, self.run = options["path"].rstrip("/"), dict(options), uuid.uuid4().hex
 
     def _store(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path)
 
+    def _pending(self, folder: str, name: str) -> str:
+        return posixpath.join(folder, "_temporary", self.run, name)
+
     def write(self, rows) -> Written:
         store, folder = self._store()
-        name = f"part-{uuid.uuid4().hex}.zip"
-        pending = posixpath.join(folder, "_temporary", self.run)
-        store.create_dir(pending, recursive=True)
-        with store.open_output_stream(posixpath.join(pending, name)) as file:
-            with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("part.txt", "w", force_zip64=True) as entry:
-                if self.header is not None:
-                    entry.write(f"{self.header}\n".encode())
-                for (line,) in rows:
-                    entry.write(f"{line}\n".encode())
-        return Written(name)
+        name = f"part-{uuid.uuid4().hex}{self.suffix}"
+        store.create_dir(posixpath.dirname(self._pending(folder, name)), recursive=True)
+        with store.open_output_stream(self._pending(folder, name)) as file:
+            self.fill(file, (line for (line,) in rows))
+        return Written(TaskContext.get().partitionId(), name)
 
     def commit(self, messages) -> None:
         store, folder = self._store()
-        for message in messages:
-            if message is not None:
-                store.move(posixpath.join(folder, "_temporary", self.run, message.name), posixpath.join(folder, message.name))
+        done = sorted((m for m in messages if m is not None), key=lambda m: m.partition)
+        self.finish(store, folder, [m.name for m in done])
 
     def abort(self, messages) -> None:
-        """What was not moved stays below ``_temporary``, where nobody reads."""
+        """What was not committed stays below ``_temporary``, where nobody reads."""
+
+
+class ZipWriter(PartWriter):
+    suffix = ".zip"
+
+    def fill(self, file, lines: Iterator[str]) -> None:
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("part.txt", "w", force_zip64=True) as entry:
+            if self.options.get("header") is not None:
+                entry.write(f"{self.options['header']}\n".encode())
+            for line in lines:
+                entry.write(f"{line}\n".encode())
+
+    def finish(self, store: fs.FileSystem, folder: str, names: list[str]) -> None:
+        for name in names:
+            store.move(self._pending(folder, name), posixpath.join(folder, name))
+
+
+class JoinedWriter(PartWriter):
+    """The parts of all partitions in their order as one file, streamed piece by piece."""
+
+    suffix = ".txt"
+
+    def fill(self, file, lines: Iterator[str]) -> None:
+        for line in lines:
+            file.write(f"{line}\n".encode())
+
+    def finish(self, store: fs.FileSystem, folder: str, names: list[str]) -> None:
+        whole = self._pending(folder, self.options["file"])
+        store.create_dir(posixpath.dirname(whole), recursive=True)
+        with store.open_output_stream(whole) as out:
+            out.write(self.options["head"].encode())
+            for name in names:
+                with store.open_input_stream(self._pending(folder, name)) as part:
+                    while piece := part.read(_COPY_BYTES):
+                        out.write(piece)
+            out.write(self.options["tail"].encode())
+        # it appears under its name only when it is whole
+        store.move(whole, posixpath.join(folder, self.options["file"]))

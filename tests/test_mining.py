@@ -1,15 +1,19 @@
 import itertools
 import random
+import threading
+import time
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
-from itemloom.model import AllOf, Field, FieldType, Is, MiningTask, Not, Simple, min_count
+from itemloom.model import AllOf, Field, FieldType, Is, MiningTask, Not, Simple, StageNote, min_count
 from itemloom.operators import attributes as attr
 from itemloom.operators import cedents, itemsets, rules, wording
 from itemloom.plans import mining
+from itemloom.runtime import Overdue, run_until
 from itemloom.sources.tables import data_source
 
 
@@ -256,3 +260,79 @@ def test_texts_and_elements(spark, dataset, tmp_path):
     assert {len(r["BARef"]) for r in compound.collect()} == {2}
     listed = spark.read.format("xml").option("rowTag", "AssociationRule").load(f"{path}/AssociationRule")
     assert listed.where("_antecedent IS NULL").count() == found.where("length = 1").count()
+
+
+# -- time limit -----------------------------------------------------------------
+
+
+def attribute_dataset(spark, rows=400, attributes=6):
+    make = random.Random(3)
+    names = [f"a{i}" for i in range(attributes)]
+    data = [(i, *[make.choice("xyz") for _ in names]) for i in range(rows)]
+    wide = spark.createDataFrame(data, f"id long, {', '.join(f'{n} string' for n in names)}")
+    fields = [Field(i, n, FieldType.NOMINAL) for i, n in enumerate(names, 1)]
+    return attr.build_attributes(data_source(wide, fields), [Simple(i, n, i) for i, n in enumerate(names, 1)])
+
+
+def test_a_stage_over_the_time_limit_is_cancelled(spark, monkeypatch):
+    """Stage 1 is whole and stage 2, stopped inside a running Spark job, is published as a note."""
+    dataset = attribute_dataset(spark)
+    task = MiningTask(limit=10_000, min_confidence=0.01, min_support=0.01, max_length=5)
+    unhurried = list(mining.mine_staged(dataset, task))
+    assert [(s.shortest, s.longest) for s in unhurried] == [(1, 3), (4, 4), (5, 5)] and not any(s.notes for s in unhurried)
+
+    real, started = itemsets.next_level, []
+
+    def slow_at_four(search):
+        if len(search.levels) < 3:
+            return real(search)
+        started.append(time.monotonic())
+        wait = F.udf(lambda x: (time.sleep(60), x)[1], "long")
+        return real(search).withColumn("count", wait("count"))
+
+    monkeypatch.setattr(itemsets, "next_level", slow_at_four)
+    # the deadline is set once the slow stage has begun
+    monkeypatch.setattr(mining, "run_until", lambda s, d, work: run_until(s, time.monotonic() + (3 if len(ready) else 600), work))
+    stages, ready = [], []
+    for stage in mining.mine_staged(dataset, replace(task, max_seconds=600)):
+        stages.append(stage)
+        ready.append(True)
+    assert started and time.monotonic() - started[0] < 45
+    first, second = stages
+    assert {tuple(r) for r in first.rules.collect()} == {tuple(r) for r in unhurried[0].rules.collect()}
+    assert (second.shortest, second.longest, second.found) == (4, 4, 0)
+    assert second.notes == (StageNote("timeout", 4, first.found),)
+    assert second.rules.columns == first.rules.columns and second.rules.count() == 0
+    # nothing of the cancelled stage is still running, and the session works
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    monkeypatch.undo()
+    assert mining.mine(dataset, replace(task, max_seconds=600)).rules.count() == sum(s.found for s in unhurried)
+
+
+def test_no_time_at_all_gives_a_note_only(spark):
+    dataset = attribute_dataset(spark, rows=20, attributes=3)
+    task = MiningTask(limit=10, min_confidence=0.1, min_support=0.1, max_length=3, max_seconds=1e-6)
+    result = mining.mine(dataset, task)
+    assert result.rules.count() == 0 and result.notes == (StageNote("timeout", 3, 0),)
+    with pytest.raises(ValueError):
+        replace(task, max_seconds=0).check()
+
+
+def test_only_the_own_jobs_are_cancelled(spark):
+    """A job of another thread goes on while tagged work is stopped; errors of the work come through."""
+    other = {}
+    slow = F.udf(lambda x: (time.sleep(0.05), x)[1], "long")
+
+    def apart():
+        other["sum"] = spark.range(0, 64, 1, 4).select(slow("id").alias("id")).agg(F.sum("id")).first()[0]
+
+    thread = threading.Thread(target=apart)
+    thread.start()
+    endless = F.udf(lambda x: (time.sleep(60), x)[1], "long")
+    with pytest.raises(Overdue):
+        run_until(spark, time.monotonic() + 0.5, lambda: spark.range(4).select(endless("id")).collect())
+    thread.join()
+    assert other["sum"] == 2016
+    with pytest.raises(ZeroDivisionError):
+        run_until(spark, time.monotonic() + 10, lambda: 1 // 0)
+    assert run_until(spark, time.monotonic() + 10, lambda: 7) == run_until(spark, None, lambda: 7) == 7

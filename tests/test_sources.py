@@ -1,12 +1,15 @@
 import bz2
 import gzip
+import io
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from itemloom.model import CsvOptions, Field, FieldType
-from itemloom.sources import delimited, narrow, triples
+from itemloom.model import CsvOptions, Field, FieldType, StageNote
+from itemloom.operators.rules import rule_measures
+from itemloom.sources import delimited, export, narrow, streams, triples
 
 ROWS = (
     "\n\n  id,name , note\n"
@@ -98,6 +101,111 @@ def test_preview(spark, tmp_path):
         delimited.preview(spark, path, 2, max_bytes=4).collect()
 
 
+class Endless(io.RawIOBase):
+    """A line without an end that counts how much of it was read."""
+
+    def __init__(self):
+        self.given = 0
+
+    def readable(self):
+        return True
+
+    def readinto(self, buffer):
+        buffer[:] = b"x" * len(buffer)
+        self.given += len(buffer)
+        return len(buffer)
+
+
+def test_a_line_without_an_end_is_given_up_after_its_share():
+    source = Endless()
+    with pytest.raises(ValueError, match="longer than 1000 bytes"):
+        list(streams.bounded_lines(io.BufferedReader(source), "UTF-8", 1000))
+    assert source.given <= 100_000
+
+
+@pytest.mark.parametrize("kind", [None, "gzip", "bzip2", "zip"])
+def test_preview_of_one_huge_line(spark, tmp_path, kind):
+    """20 MB without a line break, also packed into a few kilobytes, end at the share of a line."""
+    data = b"first\n" + b"x" * 20_000_000
+    if kind == "zip":
+        with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("a.txt", data)
+            archive.writestr("b.txt", b"other entry")
+        path = str(tmp_path / "a.zip")
+    else:
+        packed = {None: bytes, "gzip": gzip.compress, "bzip2": bz2.compress}[kind](data)
+        path = write(tmp_path / f"a.{kind}", packed)
+    assert [r[0] for r in delimited.preview(spark, path, 1, compression=kind).collect()] == ["first"]
+    with pytest.raises(Exception, match="longer than 500000 bytes"):
+        delimited.preview(spark, path, 2, compression=kind)
+
+
+@pytest.mark.parametrize("kind", ["gzip", "bzip2", "zip"])
+def test_streams_of_lines(spark, tmp_path, kind):
+    """Line ends of three kinds, members and streams in a row, an empty file, another encoding."""
+    data = "é one\r\ntwo\rthree\n\nlast".encode("iso-8859-1")
+    if kind == "zip":
+        with zipfile.ZipFile(tmp_path / "a", "w") as archive:
+            archive.writestr("x", data)
+        with zipfile.ZipFile(tmp_path / "b", "w") as archive:
+            archive.writestr("x", b"")
+    else:
+        pack = gzip.compress if kind == "gzip" else bz2.compress
+        write(tmp_path / "a", pack(data[:8]) + pack(data[8:]))
+        write(tmp_path / "b", pack(b""))
+    files = [str(tmp_path / "a"), str(tmp_path / "b")]
+    found = streams.stream_lines(spark, files, kind, "ISO-8859-1")
+    expected = [(files[0], i, v) for i, v in enumerate(["é one", "two", "three", "", "last"], 1)]
+    assert found.rdd.getNumPartitions() == 2 and rows(found) == sorted(expected)
+    assert rows(streams.stream_lines(spark, files, kind, "ISO-8859-1", lines=2)) == sorted(expected[:2])
+    with pytest.raises(ValueError):
+        streams.stream_lines(spark, files, "rar")
+
+
+def test_an_archive_without_entries(spark, tmp_path):
+    zipfile.ZipFile(tmp_path / "a.zip", "w").close()
+    with pytest.raises(Exception, match="entries"):
+        streams.stream_lines(spark, [str(tmp_path / "a.zip")], "zip").collect()
+
+
+def test_zip_files_and_joined_files_round_trip(spark, tmp_path):
+    lines = spark.range(5_000).select(F.concat(F.lit("é"), F.col("id")).alias("v")).repartition(6)
+    streams.write_zip(lines, f"file://{tmp_path}/zips", "v")
+    read = delimited.read_csv(spark, f"{tmp_path}/zips/*.zip", CsvOptions(compression="zip"))
+    assert read.exceptAll(lines).count() == 0 and read.count() == 5_000
+    ordered = spark.range(5_000).repartitionByRange(6, "id").sortWithinPartitions("id").select(F.col("id").cast("string").alias("v"))
+    path = streams.write_joined(ordered, str(tmp_path / "joined"), "all.txt", "head\n", "tail\n")
+    with open(path) as file:
+        assert file.read().splitlines() == ["head", *map(str, range(5_000)), "tail"]
+
+
+def test_one_document_with_all_lists(spark, tmp_path):
+    """Rules of length 3 with signs that XML has to escape, notes, and a document without rules."""
+    item_values = spark.createDataFrame([(1, 1, "x<&>"), (2, 2, '"y"'), (3, 3, "é")], "item long, attribute int, value string")
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "attribute int, name string")
+    found = spark.createDataFrame([([1, 2], [3], 4, 5, 6, 10), ([], [3], 6, 10, 6, 10)], "antecedent array<long>, consequent array<long>, n_both long, n_left long, n_right long, n long")
+    found = rule_measures(found)
+    path = export.write_rules_document(found, item_values, names, str(tmp_path / "r"), [StageNote("timeout", 4, 2)])
+    model = ElementTree.parse(path).getroot()
+    assert {(e.get("name"), e.get("value")) for e in model.iter("{http://www.dmg.org/PMML-4_0}Extension")} == {
+        ("number-of-rules", "2"),
+        ("timeout-with-rulelength", "4"),
+        ("timeout-with-size", "2"),
+    }
+    assert [(e.get("id"), e.find("FieldRef").text, e.find("CatRef").text) for e in model.iter("BBA")] == [
+        ("BBA1", "a", "x<&>"),
+        ("BBA2", "b", '"y"'),
+        ("BBA3", "c", "é"),
+    ]
+    (compound,) = model.iter("DBA")
+    assert [e.text for e in compound.iter("BARef")] == ["BBA1", "BBA2"]
+    listed = {e.get("antecedent"): e for e in model.iter("AssociationRule")}
+    assert set(listed) == {None, compound.get("id")} and listed[None].get("consequent") == "BBA3"
+    assert [listed[compound.get("id")].find("FourFtTable").get(x) for x in "abcd"] == ["4", "1", "2", "3"]
+    empty = export.write_rules_document(found.limit(0), item_values, names, str(tmp_path / "none"))
+    assert not list(ElementTree.parse(empty).getroot().iter("BBA"))
+
+
 def test_preview_of_several_files(spark, tmp_path):
     write(tmp_path / "b.txt", b"three\nfour\n")
     write(tmp_path / "a.txt", b"one\ntwo\n")
