@@ -13,14 +13,7 @@ from pyspark.sql import functions as F
 from itemloom.model import MIN_MEASURE, AllOf, MiningTask, StageNote, min_count
 from itemloom.operators.attributes import Dataset, item_columns, rows_with_items
 from itemloom.operators.cedents import appearance, filter_item_instances, item_filter
-from itemloom.operators.classify import (
-    Thresholds,
-    best_thresholds,
-    cba_prune,
-    labelled_baskets,
-    rank_rules,
-    score_thresholds,
-)
+from itemloom.operators.classify import Thresholds, cba_prune, labelled_baskets, rank_rules
 from itemloom.operators.itemsets import (
     Itemsets,
     begin,
@@ -31,13 +24,13 @@ from itemloom.operators.itemsets import (
     weighted_columns,
 )
 from itemloom.operators.rules import association_rules, filter_lift, limit_rules, merge_results, no_rules
+from itemloom.operators.thresholds import best_occurring
 from itemloom.runtime import Overdue, materialize, run_until
 
 FIRST_STAGE_LENGTH = 3
 
-# Thresholds the automatic mode tries.
-AUTO_SUPPORTS = (0.001, 0.005, 0.01, 0.05, 0.1)
-AUTO_CONFIDENCES = (0.1, 0.3, 0.5, 0.7, 0.9)
+# The automatic mode tries no confidence below this.
+AUTO_CONFIDENCE = 0.1
 
 
 @dataclass(frozen=True)
@@ -203,8 +196,8 @@ def class_baskets(dataset: Dataset, task: MiningTask, rules: DataFrame) -> DataF
 def mine_auto(dataset: Dataset, task: MiningTask) -> tuple[MiningResult, Thresholds | None]:
     """Rules of the threshold combination that classifies the data best.
 
-    The data are mined once at the lowest thresholds; every combination is then
-    scored on those rules.
+    The data are mined once at the lowest thresholds; then every support, confidence and length that
+    occurs among those rules is compared.
     """
     task.check()
     if task.antecedent is None:
@@ -213,19 +206,13 @@ def mine_auto(dataset: Dataset, task: MiningTask) -> tuple[MiningResult, Thresho
         task = replace(task, consequent=AllOf(attribute))
     bound = longest_rule(dataset, task)
     lowest = min(1.0, max(MIN_MEASURE, task.auto_min_rows / max(dataset.size, 1)))
-    supports = sorted({max(lowest, s) for s in AUTO_SUPPORTS})
-    grid = [
-        Thresholds(s, c, length)
-        for s in supports
-        for c in AUTO_CONFIDENCES
-        for length in range(1, bound + 1)
-    ]
     search = open_search(dataset, task, lowest)
     for search in grow(search, bound):
         pass
-    ranked = rank_rules(association_rules(search, min(AUTO_CONFIDENCES), 1, bound))
+    ranked = rank_rules(association_rules(search, AUTO_CONFIDENCE, 1, bound))
     baskets = class_baskets(dataset, task, ranked)
-    chosen = best_thresholds(score_thresholds(baskets, ranked, grid))
+    best = best_occurring(baskets, ranked, bound)
+    chosen = best.thresholds if best else None
     if chosen is None:
         return MiningResult(ranked.drop("rank").limit(0), ()), None
     rules = ranked.drop("rank").where(

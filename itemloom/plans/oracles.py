@@ -196,19 +196,20 @@ CLASS_PRUNING = f"""{levels(ORDER_KEYS, 3)}, {rule_rows(3, right=STATUS_RIGHT)},
 AUTO_THRESHOLDS = f"""{levels(ORDER_KEYS, 3, support=0.001)}, {rule_rows(3, right=STATUS_RIGHT, confidence=0.1)},
     {CLASS_BASKETS},
     placed AS (SELECT *, row_number() OVER ({ORDERED}) AS place FROM rules),
-    grid AS (
-        SELECT s, c, l FROM (VALUES (0.001::DOUBLE), (0.005::DOUBLE), (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) AS x(s),
-            (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) AS y(c), (VALUES (1), (2), (3)) AS z(l)),
-    member AS (SELECT s, c, l, p.* FROM grid JOIN placed p ON p.support >= s AND p.confidence >= c AND p.length <= l),
+    limits AS (SELECT DISTINCT support AS s, l FROM rules, (VALUES (1), (2), (3)) AS z(l)),
+    grid AS (SELECT s, c, l FROM limits, (SELECT DISTINCT confidence AS c FROM rules)),
+    member AS (SELECT s, c, l FROM grid JOIN placed p ON p.support >= s AND p.confidence >= c AND p.length <= l),
+    matches AS (SELECT i, label, w, p.* FROM placed p JOIN b ON list_has_all(keys, left_keys)),
     first AS (
-        SELECT s, c, l, i, any_value(label) AS label, any_value(w) AS w, min_by(right_key, place) AS right_key
-        FROM member JOIN b ON list_has_all(keys, left_keys) GROUP BY s, c, l, i),
-    decided AS (SELECT s, c, l, sum(w) FILTER (label = right_key) AS good FROM first GROUP BY s, c, l),
+        SELECT s, l, i, any_value(label) AS label, any_value(w) AS w, min_by(right_key, place) AS right_key,
+            min_by(confidence, place) AS confidence
+        FROM limits JOIN matches m ON m.support >= s AND m.length <= l GROUP BY s, l, i),
+    decided AS (
+        SELECT s, c, l, sum(w) FILTER (label = right_key) AS good FROM grid JOIN first USING (s, l) WHERE confidence >= c GROUP BY s, c, l),
     undecided AS (
         SELECT s, c, l, max(w) AS good FROM (
-            SELECT s, c, l, b.label, sum(b.w) AS w FROM grid, b
-            WHERE NOT EXISTS (FROM first f WHERE f.s = grid.s AND f.c = grid.c AND f.l = grid.l AND f.i = b.i)
-            GROUP BY s, c, l, b.label) GROUP BY s, c, l),
+            SELECT s, c, l, b.label, sum(b.w) AS w FROM grid CROSS JOIN b LEFT JOIN first f USING (s, l, i)
+            WHERE f.confidence IS NULL OR f.confidence < c GROUP BY s, c, l, b.label) GROUP BY s, c, l),
     best AS (
         SELECT s, c, l FROM (SELECT s, c, l, count(*) AS n_rules FROM member GROUP BY s, c, l)
         LEFT JOIN decided USING (s, c, l) LEFT JOIN undecided USING (s, c, l)
@@ -413,6 +414,8 @@ ORACLES: dict[str, str] = {
         FROM ({DOC_CELLS}) GROUP BY field""",
     "field_cardinality": f"""SELECT field, count(DISTINCT value_nominal) AS distinct_nominal,
         count(DISTINCT value_numeric) AS distinct_numeric FROM ({ORDER_CELLS}) GROUP BY field""",
+    "field_sketches": f"""SELECT field, count(DISTINCT value_nominal) AS distinct_nominal,
+        count(DISTINCT value_numeric) AS distinct_numeric, TRUE AS near FROM ({ORDER_CELLS}) GROUP BY field""",
     "field_stats": f"""SELECT field, min(value_numeric) AS "min", max(value_numeric) AS "max",
         round(avg(value_numeric), 6) AS "avg" FROM ({ORDER_CELLS}) GROUP BY field
         HAVING min(value_numeric) IS NOT NULL""",

@@ -379,6 +379,18 @@ def field_cardinality(spark, sf_dir):
     return profile.field_cardinality(orders_source(spark, sf_dir).values)
 
 
+@query
+def field_sketches(spark, sf_dir):
+    """Exact distinct counts, and whether sketches of two loads of the orders come within 5 per cent."""
+    wide = tables.orders_wide(spark, sf_dir)
+    loads = [narrow.to_instances(wide.where(F.col("id") % 2 == half), "id", tables.ORDER_FIELDS) for half in (0, 1)]
+    stored = materialize(union_all([profile.field_sketches(load) for load in loads]), "sketches")
+    guessed = profile.sketched_cardinality(stored).selectExpr("field", "distinct_nominal AS texts", "distinct_numeric AS numbers")
+    exact = profile.field_cardinality(orders_source(spark, sf_dir).values)
+    near = [F.abs(F.col(g) - F.col(e)) <= 0.05 * F.col(e) for g, e in (("texts", "distinct_nominal"), ("numbers", "distinct_numeric"))]
+    return exact.join(guessed, "field").select("field", "distinct_nominal", "distinct_numeric", (near[0] & near[1]).alias("near"))
+
+
 @query
 def field_stats(spark, sf_dir):
     cells = narrow.to_instances(tables.orders_wide(spark, sf_dir), "id", tables.ORDER_FIELDS)

@@ -1,15 +1,21 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from itemloom.model import AllOf, Field, FieldType, MiningTask, Simple
 from itemloom.operators import attributes as attr
-from itemloom.operators import classify
+from itemloom.operators import classify, thresholds
+from itemloom.operators.itemsets import grow
+from itemloom.operators.rules import association_rules
 from itemloom.plans import mining
 from itemloom.sources.tables import data_source
 
 BASKETS = "items array<bigint>, labels array<bigint>, weight bigint"
+RANKED = "rank bigint, antecedent array<bigint>, consequent array<bigint>, support double, confidence double, length int"
 
 
 def sequential(baskets, rules):
@@ -137,3 +143,86 @@ def test_scores_equal_direct_classification(spark):
                     right += w
             assert row["cell"] == cell and row["rules"] == len(usable)
             assert row["accuracy"] == pytest.approx((right + max(rest.values(), default=0)) / n)
+
+
+def classified(baskets, rows, least_support, least_confidence, longest):
+    """(weight classified rightly, rules within the thresholds), by direct classification."""
+    usable = [r for r in rows if r[3] >= least_support and r[4] >= least_confidence and r[5] <= longest]
+    right, rest = 0, Counter()
+    for items, labels, weight in baskets:
+        first = next((r for r in usable if set(r[1]) <= set(items)), None)
+        if first is None:
+            for label in labels:
+                rest[label] += weight
+        elif first[2][0] in labels:
+            right += weight
+    return right + max(rest.values(), default=0), len(usable)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_best_occurring_thresholds_equal_all_of_them(spark, parts):
+    for seed in range(3):
+        baskets, rules = random_case(200 + seed)
+        rng = random.Random(seed)
+        measures = sorted(((rng.randint(1, 6) / 8, rng.randint(1, 9) / 16) for _ in rules), reverse=True)
+        rows = [
+            (rank, list(left), [right], support, confidence, len(left) + 1)
+            for rank, ((left, right), (confidence, support)) in enumerate(zip(rules, measures), 1)
+        ]
+        ranked = spark.createDataFrame(rows, RANKED)
+        longest = rng.randint(2, 4)
+        found = thresholds.best_occurring(spark.createDataFrame(baskets, BASKETS), ranked, longest, parts)
+        usable = [r for r in rows if r[5] <= longest]
+        expected = []
+        for s in {r[3] for r in usable}:
+            for c in {r[4] for r in usable}:
+                for n in range(1, longest + 1):
+                    right, count = classified(baskets, rows, s, c, n)
+                    if count:
+                        expected.append((-right, count, -c, -s, n))
+        if not expected:
+            assert found is None
+            continue
+        right, count, c, s, n = min(expected)
+        assert found == thresholds.Best(classify.Thresholds(-s, -c, n), -right, count)
+
+
+def test_no_rules_have_no_thresholds(spark):
+    frame = spark.createDataFrame([([1], [9], 2)], BASKETS)
+    assert thresholds.best_occurring(frame, spark.createDataFrame([], RANKED), 3) is None
+
+
+def test_thresholds_are_as_good_as_any_grid(dataset):
+    """The optimum over what occurs against the scores of a fixed grid."""
+    task = MiningTask(limit=50, auto=True, consequent=AllOf(3))
+    search = mining.open_search(dataset, task, 0.001)
+    for search in grow(search, 3):
+        pass
+    ranked = classify.rank_rules(association_rules(search, 0.1, 1, 3))
+    baskets = mining.class_baskets(dataset, task, ranked)
+    grid = [classify.Thresholds(s, c, n) for s in (0.001, 0.01, 0.1) for c in (0.1, 0.5, 0.7, 0.9) for n in (1, 2, 3)]
+    scores = [r["accuracy"] for r in classify.score_thresholds(baskets, ranked, grid).collect()]
+    found = thresholds.best_occurring(baskets, ranked, 3)
+    assert found.right / dataset.size >= max(scores)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(-1, 2), st.integers(0, 9), st.integers(0, 9), st.integers(0, 2)), min_size=1, max_size=30))
+def test_split_tree_equals_trying_every_split(changes):
+    tree, totals = thresholds.SplitTree(7, 3), np.array([40, 90, 60])
+    right, rules, covered, top = np.zeros(7, int), np.zeros(7, int), np.zeros((3, 7), int), 0
+    for change in changes:
+        leaf, label, good, weight, count = change
+        tree.add(*(np.array([x]) for x in change))
+        right[leaf] += good
+        rules[leaf] += count
+        if label >= 0:
+            covered[label, leaf] += weight
+        if count:
+            top = max(top, leaf + 1)
+        splits = [(right[k:].sum() + (totals - covered[:, k:].sum(axis=1)).max(), k, rules[k:].sum()) for k in range(top)]
+        expected = max(splits)[:3] if splits else None
+        found = tree.split(totals)
+        assert (found is None) == (expected is None)
+        if found:
+            assert found == (expected[0], expected[2], expected[1])
