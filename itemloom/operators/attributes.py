@@ -31,9 +31,13 @@ from itemloom.operators.cuts import (
     running_counts_table,
 )
 from itemloom.operators.profile import value_frequencies
-from itemloom.runtime import materialize, number_rows, union_all
+from itemloom.runtime import join_spread, materialize, number_rows, union_all
 from itemloom.sources.narrow import cell, to_instances
 
+VALUE = ["attribute", "value"]
+SMALL_DICTIONARY = 100_000  # entries that are left to the optimizer to send
+HEAVY = 1_000  # an entry that owns more than 1 / HEAVY of the rows is heavy, so there are fewer than HEAVY
+
 BIN_SCHEMA = "attribute int, bin int, `from` double, `to` double, frequency long"
 BORDER_SCHEMA = (
     "attribute int, bin int, `from` double, `to` double, "
@@ -199,12 +203,25 @@ def labelled_items(source: DataSource, specs: Sequence[AttributeSpec], start: in
     return assign_item_ids(counted, start)
 
 
-def labelled_instances(source: DataSource, specs: Sequence[AttributeSpec], items: DataFrame) -> DataFrame:
-    """Instances joined to their items; the optimizer knows the written dictionary's size."""
+def labelled_instances(source: DataSource, specs: Sequence[AttributeSpec], items: DataFrame, size: int = 0) -> DataFrame:
+    """Instances joined to their items.
+
+    A small dictionary is sent whole by the optimizer, which knows the written table's size.  Of a
+    larger one, of ``size`` entries, only the values that own much of the cells are sent.
+    """
     cells = labelled(source.cells(_fields_of(specs)), source, specs)
-    return cells.join(items.select("attribute", "value", "item"), ["attribute", "value"]).select(
-        "id", "attribute", "item"
-    )
+    entries = items.select("attribute", "value", "item")
+    if size <= SMALL_DICTIONARY:
+        found = cells.join(entries, VALUE)
+    else:
+        found = join_spread(cells, entries, VALUE, heavy_entries(items, F.col("frequency")).select(entries.columns))
+    return found.select("id", "attribute", "item")
+
+
+def heavy_entries(entries: DataFrame, rows: Column) -> DataFrame:
+    """The fewer than HEAVY entries that own more than 1 / HEAVY of all rows each."""
+    total = entries.agg(F.sum(rows)).scalar()
+    return entries.where(rows * HEAVY > total)
 
 
 # --------------------------------------------------------------------------
@@ -437,9 +454,10 @@ def build_attributes(source: DataSource, specs: Sequence[AttributeSpec], start:
     values, instances, built, items = [], [], [], None
     if with_labels:
         items = materialize(labelled_items(source, with_labels, start), "items")
-        start += items.count()
+        size = items.count()
+        start += size
         values.append(items.select("item", "attribute", "value", "frequency"))
-        instances.append(labelled_instances(source, with_labels, items))
+        instances.append(labelled_instances(source, with_labels, items, size))
         built += with_labels
     evenly = [s for s in specs if isinstance(s, Equidistant)]
     by_count = [s for s in specs if isinstance(s, (Equifrequent, Equisized))]
@@ -466,11 +484,24 @@ def extend(dataset: Dataset, specs: Sequence[AttributeSpec]) -> Dataset:
     )
 
 
-def lookup_items(pairs: DataFrame, item_values: DataFrame) -> DataFrame:
-    """Item ids of (attribute, value) texts; null where there is none."""
-    return pairs.join(item_values.select("attribute", "value", "item"), ["attribute", "value"], "left")
+def _looked_up(pairs: DataFrame, entries: DataFrame, keys: list[str], spread: bool) -> DataFrame:
+    if not spread:
+        return pairs.join(entries, keys, "left")
+    counted = pairs.groupBy(keys).agg(F.count(F.lit(1)).alias("_rows"))
+    # also those that are not in the dictionary
+    heavy = materialize(heavy_entries(counted, F.col("_rows")), "heavy").join(entries, keys, "left").drop("_rows")
+    return join_spread(pairs, entries, keys, heavy, "left")
+
+
+def lookup_items(pairs: DataFrame, item_values: DataFrame, spread: bool = False) -> DataFrame:
+    """Item ids of (attribute, value) texts; null where there is none.
+
+    ``spread`` is for dictionaries too large to send: pairs that own much of the table are then counted
+    first, and their entries sent.
+    """
+    return _looked_up(pairs, item_values.select("attribute", "value", "item"), VALUE, spread)
 
 
-def lookup_values(pairs: DataFrame, item_values: DataFrame) -> DataFrame:
+def lookup_values(pairs: DataFrame, item_values: DataFrame, spread: bool = False) -> DataFrame:
     """Texts of (attribute, item) ids; null where there is none."""
-    return pairs.join(item_values.select("attribute", "item", "value"), ["attribute", "item"], "left")
+    return _looked_up(pairs, item_values.select("attribute", "item", "value"), ["attribute", "item"], spread)

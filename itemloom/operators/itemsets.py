@@ -24,6 +24,9 @@ SLICE = 256
 
 ROOT = -1  # id of the empty itemset
 
+# Counters that pairs of items are hashed to before they are counted one by one.
+PAIR_COUNTERS = 1 << 22
+
 
 def transactions(item_instances: DataFrame, distinct: bool = False) -> DataFrame:
     """The set of items of each id, sorted; ids without items do not occur.
@@ -159,6 +162,46 @@ def _advanced(state: DataFrame, level: DataFrame) -> DataFrame:
     )
 
 
+def occurrences(search: Itemsets) -> DataFrame:
+    """``set_id, tail, item, weight``: each known itemset of a transaction with each item that may follow."""
+    return search.state.selectExpr("set_id", "tail", "weight", "explode(rest) AS item")
+
+
+def _counter() -> Column:
+    return F.pmod(F.xxhash64("set_id", "item"), F.lit(PAIR_COUNTERS))
+
+
+def pair_filter(search: Itemsets) -> DataFrame:
+    """One row with a bitmap of the counters that reach the least count.
+
+    Pairs are hashed to a fixed number of counters, whose sums are at least those of any pair
+    in them.  A task holds no more than the counters, and the bitmap has one bit for each, so both
+    are of one size whatever the number of pairs that occur.
+    """
+    sums = occurrences(search).groupBy(_counter().alias("at")).agg(F.sum("weight").alias("count"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    words = sums.where(f"count >= {search.least}").groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(bit).alias("word"))
+    every = search.state.sparkSession.range(PAIR_COUNTERS // 64).join(words, "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word"))))
+    return materialize(every.agg(F.transform(listed, lambda w: w["word"]).alias("bits")), "pair-filter")
+
+
+def candidates(search: Itemsets) -> DataFrame:
+    """Occurrences that the next level has to count.
+
+    Of pairs, those in a counter below the least count are left out before they are moved.  With as
+    many counters as there are possible pairs or more, the counters would be the counts themselves.
+    """
+    found = occurrences(search)
+    if len(search.levels) > 1:
+        return found
+    singles = search.levels[0].count()
+    if singles * (singles - 1) // 2 <= PAIR_COUNTERS:
+        return found
+    word = F.get(pair_filter(search).scalar(), F.shiftright(_counter(), 6).cast("int"))
+    return found.where(F.getbit(word, (_counter() % 64).cast("int")) == 1)
+
+
 def next_level(search: Itemsets) -> DataFrame:
     """Frequent itemsets one item larger than the largest known ones.
 
@@ -168,8 +211,7 @@ def next_level(search: Itemsets) -> DataFrame:
     last, singles = search.levels[-1], search.levels[0]
     tails = last.selectExpr("prefix AS tail", "item", "set_id AS _tail")
     # counted first, so that only sums meet the table of itemsets
-    candidates = search.state.selectExpr("set_id", "tail", "weight", "explode(rest) AS item")
-    counted = candidates.groupBy("set_id", "item", "tail").agg(F.sum("weight").alias("count"))
+    counted = candidates(search).groupBy("set_id", "item", "tail").agg(F.sum("weight").alias("count"))
     counted = counted.where(f"count >= {search.least}").join(tails, ["tail", "item"])
     prefixes = last.selectExpr("set_id", "items", "right_only AS _before")
     added = singles.selectExpr("item", "right_only AS _added")

@@ -8,6 +8,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 from pathlib import Path
 from typing import TypeVar
 
@@ -124,6 +125,25 @@ def number_rows(df: DataFrame, order_by: list[str | Column], name: str, start: i
     )
 
 
+def join_spread(rows: DataFrame, table: DataFrame, keys: Sequence[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table that has each key at most once, though few keys own most rows.
+
+    ``heavy`` is the bounded part of the table for the keys that own many rows.  It is sent to the
+    tasks, so those rows stay where they are.  Rows with a null key are not moved either; all others
+    meet their entry by key.  ``how`` is ``inner`` or ``left``.
+    """
+    keys = list(keys)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    near = rows.join(F.broadcast(heavy), keys)
+    others = rows.where(known).join(F.broadcast(heavy.select(keys)), keys, "left_anti")
+    light = table.join(F.broadcast(heavy.select(keys)), keys, "left_anti")
+    found = near.unionByName(others.join(light, keys, how))
+    if how == "left":
+        added = {c: F.lit(None).cast(table.schema[c].dataType) for c in table.columns if c not in keys}
+        found = found.unionByName(rows.where(~known).withColumns(added))
+    return found
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     result = frames[0]
     for frame in frames[1:]:

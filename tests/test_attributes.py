@@ -339,3 +339,66 @@ def test_one_field_reads_one_column(spark, tmp_path):
     source = data_source(spark.read.parquet(str(tmp_path / "wide")), fields)
     plans = [f._jdf.queryExecution().executedPlan().toString() for f in (source.cells([2]), source.frequencies([2]))]
     assert all("ReadSchema" in p and "a:string" not in p and "c:string" not in p for p in plans)
+
+
+# -- large dictionaries with frequent values ------------------------------------
+
+
+@pytest.fixture
+def nothing_sent(spark, monkeypatch):
+    """No dictionary is small enough for the optimizer to send it; small partitions stay apart."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in changed}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    monkeypatch.setattr(attr, "SMALL_DICTIONARY", 10)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def largest_share(frame):
+    """The largest share of the joined rows in one partition."""
+    sizes = [r["n"] for r in frame.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_a_value_on_a_third_of_the_rows(spark, nothing_sent):
+    """Rows of the frequent value stay where they are; items are those of the plain join."""
+    cells = spark.range(0, 60_000, 1, 8).select(
+        "id",
+        F.lit(1).alias("field"),
+        F.when(F.col("id") % 3 == 0, "often").otherwise(F.concat(F.lit("v"), F.col("id") % 20_000)).alias("value_nominal"),
+        F.lit(None).cast("double").alias("value_numeric"),
+    )
+    source = attr.DataSource([Field(1, "f", NOMINAL)], cells, profile.value_frequencies(cells))
+    spec = [Simple(1, "f", 1)]
+    made = attr.build_attributes(source, spec)
+    names = {r["item"]: r["value"] for r in made.item_values.collect()}
+    found = made.item_instances.select("id", "item")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    rows = {r["id"]: names[r["item"]] for r in found.collect()}
+    assert rows == {i: "often" if i % 3 == 0 else f"v{i % 20_000}" for i in range(60_000)}
+    assert found.count() == 60_000 and largest_share(found) < 0.2
+    heavy = attr.heavy_entries(made.item_values, F.col("frequency")).collect()
+    assert [r["value"] for r in heavy] == ["often"]
+
+
+def test_lookups_with_frequent_unknown_and_null_keys(spark, nothing_sent):
+    entries = spark.range(1, 5_001).select(
+        F.lit(1).alias("attribute"), F.concat(F.lit("v"), "id").alias("value"), F.col("id").alias("item"), F.lit(1).alias("frequency")
+    )
+    value = (
+        F.when(F.col("id") % 4 == 0, "v7").when(F.col("id") % 4 == 1, "unknown").when(F.col("id") % 4 == 2, F.lit(None)).otherwise(F.concat(F.lit("v"), F.col("id")))
+    )
+    pairs = spark.range(0, 8_000, 1, 4).select("id", F.lit(1).alias("attribute"), value.alias("value"))
+    plain = attr.lookup_items(pairs, entries).select("id", "item")
+    spread = attr.lookup_items(pairs, entries, spread=True).select("id", "item")
+    assert spread.exceptAll(plain).count() == plain.exceptAll(spread).count() == 0 and spread.count() == 8_000
+    assert largest_share(spread) < 0.3
+    ids = spread.withColumn("attribute", F.lit(1)).select("id", "attribute", "item")
+    texts = attr.lookup_values(ids, entries, spread=True).select("id", "value")
+    expected = attr.lookup_values(ids, entries).select("id", "value")
+    assert texts.exceptAll(expected).count() == expected.exceptAll(texts).count() == 0
+    assert attr.lookup_items(pairs.limit(0), entries, spread=True).collect() == []

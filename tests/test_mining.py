@@ -46,6 +46,23 @@ def test_itemsets_equal_enumeration(spark, seed, support, longest):
     assert found_itemsets(itemsets.frequent_itemsets(tx, support, longest)) == expected
 
 
+def test_pairs_are_filtered_before_they_are_counted(spark, monkeypatch):
+    """More possible pairs than counters: the same itemsets from a part of the pairs that occur together."""
+    rng = random.Random(8)
+    data = [sorted(rng.sample(range(1, 121), 14)) for _ in range(500)] + [[1, 2, 3, 4]] * 60 + [[5, 6, 7]] * 50
+    tx = as_instances(spark, data)
+    search = itemsets.start_search(tx, 0.05)
+    occurring = itemsets.occurrences(search).select("set_id", "item").distinct().count()
+    assert itemsets.candidates(search).select("set_id", "item").distinct().count() == occurring
+    monkeypatch.setattr(itemsets, "PAIR_COUNTERS", 4096)
+    counted = itemsets.candidates(search).select("set_id", "item").distinct().count()
+    assert 0 < counted < 0.2 * occurring
+    _, expected = brute_itemsets(data, 0.05, 4)
+    assert found_itemsets(itemsets.frequent_itemsets(tx, 0.05, 4)) == expected
+    # the bitmap has one bit for each counter
+    assert len(itemsets.pair_filter(search).first()["bits"]) == 4096 // 64
+
+
 def test_duplicate_rows_count_once(spark):
     instances = as_instances(spark, [[1, 2], [1]])
     doubled = instances.union(instances)
