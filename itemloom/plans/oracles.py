@@ -461,6 +461,14 @@ ORACLES: dict[str, str] = {
     "drop_attribute": f"""SELECT field AS attribute, CASE field WHEN 1 THEN 'status' ELSE 'segment' END AS name,
             count(*) AS instances, count(DISTINCT value_nominal) AS unique_values
         FROM ({ORDER_ITEMS}) WHERE field <> 2 GROUP BY field""",
+    "stored_source": f"""SELECT field, CASE field WHEN 1 THEN 'brand' WHEN 2 THEN 'type' ELSE 'retailprice' END AS name,
+            count(*) AS support_nominal, count(DISTINCT value_nominal) AS distinct_nominal
+        FROM ({PART_CELLS}) WHERE field <> 3 GROUP BY field""",
+    "stored_dataset": f"""
+        WITH c AS (SELECT field, value_nominal AS value, count(*) AS n FROM ({ORDER_ITEMS}) GROUP BY ALL),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY field, value) AS i, count(*) FILTER (field < 3) OVER () AS first_build,
+            count(*) FILTER (field <> 2) OVER () AS others, count(*) OVER () AS everything, count(*) FILTER (field = 1) OVER () AS before FROM c)
+        SELECT field AS attribute, CASE field WHEN 2 THEN everything + i - before ELSE i END AS item, value, n AS instances FROM numbered""",
     # attributes
     "simple_attribute": f"""SELECT item, CAST(attribute AS INTEGER) AS attribute, value, frequency
         FROM ({dictionary(cells(PART, (1, 'brand', False), (2, 'size', True)))})""",

@@ -6,6 +6,7 @@ engines can be compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ from itemloom.operators import cedents, classify, cuts, itemsets, profile, rules
 from itemloom.plans import mining
 from itemloom.runtime import materialize, scratch_path, union_all
 from itemloom.sources import delimited, export, narrow, streams, tables, triples
+from itemloom.sources.stored import StoredDataset, StoredSource
 from itemloom.streaming.support import final_support
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,6 +521,32 @@ def drop_attribute(spark, sf_dir):
     return names.join(counted, "attribute").join(profile.attribute_cardinality(values), "attribute")
 
 
+@query
+def stored_source(spark, sf_dir):
+    """A stored source without its third field: supports and distinct values of the others."""
+    kept = StoredSource.create(f"source_{uuid.uuid4().hex}", part_source(spark, sf_dir), scratch_path(spark, "stored"))
+    kept.drop_field(3)
+    left = kept.load()
+    counted = profile.field_support(left.instances).select("field", "support_nominal")
+    distinct = profile.field_cardinality(left.values).select("field", "distinct_nominal")
+    return narrow.fields_frame(spark, left.fields).select("field", "name").join(counted, "field").join(distinct, "field")
+
+
+@query
+def stored_dataset(spark, sf_dir):
+    """Attributes of two builds, one of them dropped and built again: ids go on, rows per item."""
+    source = tables.data_source(
+        tables.orders_wide(spark, sf_dir).select("id", "status", "priority", "segment"), tables.ORDER_FIELDS[:3]
+    )
+    kept = StoredDataset.create(spark, f"dataset_{uuid.uuid4().hex}", folder=scratch_path(spark, "stored"))
+    kept.add(source, ORDER_SPECS[:2])
+    kept.add(source, ORDER_SPECS[2:])
+    kept.drop_attribute(PRIORITY)
+    kept.add(source, [ORDER_SPECS[1]])
+    counted = kept.item_instances().groupBy("item").agg(F.count(F.lit(1)).alias("instances"))
+    return kept.item_values().join(counted, "item").select("attribute", "item", "value", "instances")
+
+
 # -- attributes --------------------------------------------------------------
 
 
