@@ -5,15 +5,19 @@ After Liu, Hsu, Ma: Integrating Classification and Association Rule Mining (KDD
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from itemloom.operators.rules import rule_order
-from itemloom.runtime import materialize, number_rows
+from itemloom.runtime import materialize, number_rows, share_package
+
+PARTS = 16  # ranges of ranks that are walked side by side
+NEVER_TAKEN = 1 << 62
 
 
 def labelled_baskets(item_instances: DataFrame, class_attribute: int) -> DataFrame:
@@ -52,11 +56,10 @@ def rank_rules(rules: DataFrame) -> DataFrame:
     return materialize(number_rows(rules, rule_order(), "rank"), "ranked")
 
 
-def covering(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Every basket paired with each rule whose left side it holds, and whether the rule is right.
+def held_pairs(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Every basket paired with each rule whose left side has items and is held, and whether the rule is right.
 
-    A rule is looked up by the rarest item of its left side and then checked in full.  Rules
-    with an empty left side, at most one for each right side, go to all baskets as one row.
+    A rule is looked up by the rarest item of its left side and then checked in full.
     """
     right = F.element_at("consequent", 1).alias("right")
     entries = baskets.withColumn("anchor", F.explode("items"))
@@ -70,14 +73,25 @@ def covering(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
     anchored = materialize(ranked.join(rarest, "rank").select("rank", "antecedent", right, "anchor"), "anchored")
     held = F.forall("antecedent", lambda item: F.array_contains("items", item))
     named = entries.join(anchored, "anchor").where(held).drop("anchor", "antecedent")
-    open_rules = ranked.where(F.size("antecedent") == 0).agg(F.collect_list(F.struct("rank", right)).alias("_rules"))
+    return named.withColumn("correct", F.array_contains("labels", F.col("right"))).drop("right")
+
+
+def open_rules(ranked: DataFrame) -> DataFrame:
+    """``rank, right`` of the rules that hold for every basket; at most one for each right side."""
+    return ranked.where(F.size("antecedent") == 0).select("rank", F.element_at("consequent", 1).alias("right"))
+
+
+def covering(baskets: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The same for all rules; those with an empty left side go to all baskets as one row."""
+    listed = open_rules(ranked).agg(F.collect_list(F.struct("rank", "right")).alias("_rules"))
     always = (
         baskets.withColumn("_one", F.lit(1))
-        .join(F.broadcast(open_rules.withColumn("_one", F.lit(1))), "_one")
+        .join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one")
         .select(*baskets.columns, F.inline("_rules"))
+        .withColumn("correct", F.array_contains("labels", F.col("right")))
+        .drop("right")
     )
-    pairs = named.unionByName(always)
-    return pairs.withColumn("correct", F.array_contains("labels", F.col("right"))).drop("right")
+    return held_pairs(baskets, ranked).unionByName(always)
 
 
 @dataclass(frozen=True)
@@ -99,15 +113,18 @@ def cover(baskets: DataFrame, ranked: DataFrame) -> Coverage:
     rule that is named by a transaction it classifies correctly is selected, the
     transactions that name a selected rule are taken, and a rule without any
     correct remaining transaction is dropped.  All state is in written tables.
+
+    Rules with an empty left side take part only at the end: the first of them that has a
+    correct transaction left takes all that is left, so no rule after it is selected.
     """
     keyed = keyed_baskets(baskets, ranked)
-    live = materialize(covering(keyed.select("key", "items", "labels"), ranked).select("key", "rank", "correct"), "pairs")
+    live = materialize(held_pairs(keyed.select("key", "items", "labels"), ranked).select("key", "rank", "correct"), "pairs")
     selected, owned = live.select("rank").limit(0), live.limit(0)
     while True:
         best = live.groupBy("key").agg(F.min(F.struct("rank", "correct")).alias("best"))
         heads = materialize(best.select("key", "best.rank", "best.correct"), "heads")
         if heads.isEmpty():
-            return Coverage(keyed, selected, owned)
+            return _closed(Coverage(keyed, selected, owned), ranked)
         chosen = heads.where("correct").select("rank")
         selected = materialize(selected.union(chosen).distinct(), "selected")
         taken = heads.join(selected, "rank", "left_semi").select("key", "rank", "correct")
@@ -117,6 +134,29 @@ def cover(baskets: DataFrame, ranked: DataFrame) -> Coverage:
         live = materialize(rest.join(alive, "rank", "left_semi").select("key", "rank", "correct"), "live")
 
 
+def _closed(coverage: Coverage, ranked: DataFrame) -> Coverage:
+    """Coverage with the rules that hold for every basket.
+
+    Of each label the transaction taken last, or never, tells which of these rules still finds one.
+    """
+    owners = coverage.baskets.select("key", "labels").join(coverage.owned.withColumnRenamed("rank", "owner"), "key", "left")
+    last = owners.select(F.explode("labels").alias("right"), F.coalesce("owner", F.lit(NEVER_TAKEN)).alias("until"))
+    last = last.groupBy("right").agg(F.max("until").alias("until"))
+    end = open_rules(ranked).join(last, "right").where("until > rank").orderBy("rank").first()
+    if end is None:
+        return coverage
+    rank, right = F.lit(end["rank"]).cast("long"), end["right"]
+    later = F.col("owner").isNull() | (F.col("owner") > rank)
+    taken = owners.select(
+        "key",
+        F.when(later, rank).otherwise(F.col("owner")).alias("rank"),
+        F.when(later, F.array_contains("labels", right)).otherwise(F.col("correct")).alias("correct"),
+    )
+    before = coverage.selected.where(F.col("rank") < rank)
+    last_rule = coverage.selected.sparkSession.range(1).select(rank.alias("rank"))
+    return Coverage(coverage.baskets, materialize(before.union(last_rule), "selected"), materialize(taken, "owned"))
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Table of the kept ranks, the label for uncovered transactions, and training errors."""
@@ -126,53 +166,90 @@ class Classifier:
     errors: int
 
 
-def error_curve(coverage: Coverage) -> DataFrame:
+def error_curve(coverage: Coverage, parts: int = PARTS) -> DataFrame:
     """Training errors after each selected rule: ``rank, default_label, errors``.
 
     Rank 0 stands for no rule at all.  Each transaction belongs to its first
-    selected rule; what is left gets the most frequent remaining label.
+    selected rule; what is left gets the most frequent remaining label.  Ranges of ranks are walked
+    side by side, each from the sums of those before it, and a rank changes only the
+    labels of the transactions it takes.
     """
     baskets = coverage.baskets.select("key", "labels", "weight").join(coverage.owned, "key", "left")
     owned = materialize(
         baskets.groupBy("rank", "correct", "labels").agg(F.sum("weight").alias("weight")), "owned-weights"
     )
-    ranks = coverage.selected.union(coverage.selected.sparkSession.range(1).select(F.col("id").alias("rank")))
     by_label = owned.select("rank", F.explode("labels").alias("label"), "weight")
-    totals = by_label.groupBy("label").agg(F.sum("weight").alias("total"))
-    taken = by_label.where(F.col("rank").isNotNull()).groupBy("label", "rank").agg(F.sum("weight").alias("taken"))
-    in_label = Window.partitionBy("label").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    # one row with the labels of the class, for each rank
-    labels = totals.agg(F.collect_list(F.struct("label", "total")).alias("_labels")).withColumn("_one", F.lit(1))
-    remaining = (
-        ranks.withColumn("_one", F.lit(1))
-        .join(F.broadcast(labels), "_one")
-        .select("rank", F.inline("_labels"))
-        .join(taken, ["label", "rank"], "left")
-        .select(
-            "rank",
-            "label",
-            (F.col("total") - F.sum(F.coalesce("taken", F.lit(0))).over(in_label)).alias("rest"),
-        )
-    )
-    defaults = remaining.groupBy("rank").agg(F.max(F.struct("rest", (-F.col("label")).alias("minus"))).alias("best"))
-    everything = owned.groupBy().agg(F.sum("weight").alias("n")).first()["n"]
-    by_rank = (
-        owned.where(F.col("rank").isNotNull())
-        .groupBy("rank")
-        .agg(
-            F.sum("weight").alias("covered"),
-            F.sum(F.when(~F.col("correct"), F.col("weight")).otherwise(0)).alias("wrong"),
+    # one row for each label of the class
+    totals = {r["label"]: r["n"] for r in by_label.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
+    everything = owned.agg(F.sum("weight").alias("n")).first()["n"]
+    taken = owned.where(F.col("rank").isNotNull())
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    wrong = F.when(~F.col("correct"), F.col("weight")).otherwise(0)
+    ranks = coverage.selected.union(coverage.selected.sparkSession.range(1).select(F.col("id").alias("rank")))
+    changes = (
+        taken.select("rank", none.alias("label"), F.col("weight").alias("covered"), wrong.alias("wrong"))
+        .unionByName(ranks.select("rank", none.alias("label"), zero.alias("covered"), zero.alias("wrong")))
+        .unionByName(
+            by_label.where(F.col("rank").isNotNull()).select("rank", "label", F.col("weight").alias("covered"), zero.alias("wrong"))
         )
     )
-    # one row per selected rule, so a single ordered window is small
-    so_far = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    joined = defaults.join(by_rank, "rank", "left").fillna(0, subset=["covered", "wrong"])
-    uncovered = F.lit(everything) - F.sum("covered").over(so_far)
-    return joined.select(
-        "rank",
-        (-F.col("best.minus")).alias("default_label"),
-        (F.sum("wrong").over(so_far) + uncovered - F.col("best.rest")).cast("long").alias("errors"),
-    )
+    sums = [F.sum(c).alias(c) for c in ("covered", "wrong")]
+    changes = changes.groupBy("rank", "label").agg(*sums)
+    wide = coverage.selected.agg(F.floor(F.coalesce(F.max("rank"), F.lit(0)) / parts) + 1).scalar()
+    placed = changes.withColumn("part", F.floor(F.col("rank") / wide).cast("int"))
+    later = F.explode(F.sequence(F.col("part") + 1, F.lit(parts - 1))).alias("part")
+    before = placed.where(F.col("part") < parts - 1).groupBy("part", "label").agg(*sums).select(later, "label", "covered", "wrong")
+    before = before.groupBy("part", "label").agg(*sums).withColumn("rank", none)
+    names = ["part", "rank", "label", "covered", "wrong"]
+    dealt = placed.select(names).unionByName(before.select(names)).repartition("part")
+    ordered = dealt.sortWithinPartitions("part", F.col("rank").asc_nulls_first())
+    share_package(ordered.sparkSession)
+    return ordered.mapInArrow(_walk(totals, everything), "rank long, default_label long, errors long")
+
+
+def _walk(totals: dict[int, int], everything: int) -> Callable:
+    schema = pa.schema([(name, pa.int64()) for name in ("rank", "default_label", "errors")])
+
+    class Rest:
+        """The weight that is left of each label, and in all; the most frequent label is on top of a heap."""
+
+        def __init__(self):
+            self.of = dict(totals)
+            self.heap = sorted((-n, label) for label, n in totals.items())
+            self.covered = self.wrong = 0
+
+        def take(self, label: int | None, covered: int, wrong: int) -> None:
+            if label is None:
+                self.covered, self.wrong = self.covered + covered, self.wrong + wrong
+            else:
+                self.of[label] -= covered
+
+        def row(self, rank: int) -> tuple[int, int, int]:
+            # what was taken since it was put on the heap makes an entry too good
+            while self.of[self.heap[0][1]] != -self.heap[0][0]:
+                label = self.heap[0][1]
+                heapq.heapreplace(self.heap, (-self.of[label], label))
+            rest, label = self.heap[0]
+            return rank, label, self.wrong + everything - self.covered + rest
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rank, state = None, None, None
+        for batch in batches:
+            found = []
+            columns = [batch.column(n).to_pylist() for n in ("part", "rank", "label", "covered", "wrong")]
+            for part, here, *change in zip(*columns):
+                if totals and (part, here) != (at, rank) and rank is not None:
+                    found.append(state.row(rank))
+                if part != at:
+                    state = Rest()
+                at, rank = part, here
+                state.take(*change)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+        if rank is not None and totals:
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in state.row(rank)], schema=schema)
+
+    return run
 
 
 def build_classifier(baskets: DataFrame, ranked: DataFrame) -> Classifier:

@@ -226,3 +226,34 @@ def test_split_tree_equals_trying_every_split(changes):
         assert (found is None) == (expected is None)
         if found:
             assert found == (expected[0], expected[2], expected[1])
+
+
+def many_labels(labels):
+    """A basket per label, a rule for every tenth, and rules without a left side."""
+    baskets = [([i], [100_000 + i], 1 + i % 3) for i in range(labels)]
+    rules = [((i,), 100_000 + i) for i in range(0, labels, 10)] + [((), 100_000 + labels + 5), ((), 100_001), ((), 100_002)]
+    return baskets, rules
+
+
+@pytest.mark.parametrize("labels", [60, 10_000])
+def test_coverage_with_many_labels(spark, labels):
+    """Work follows the transactions a rule takes, not ranks times labels; an open rule ends the walk."""
+    baskets, rules = many_labels(labels)
+    ranked = spark.createDataFrame(
+        [(r, list(left), [right]) for r, (left, right) in enumerate(rules, 1)],
+        "rank bigint, antecedent array<bigint>, consequent array<bigint>",
+    )
+    coverage = classify.cover(spark.createDataFrame(baskets, BASKETS), ranked)
+    chosen = sorted(r["rank"] for r in coverage.selected.collect())
+    # the first open rule has no transaction of its label, the second takes all the rest
+    count = labels // 10
+    assert chosen == [*range(1, count + 1), count + 2]
+    found = {r["rank"]: (r["default_label"], r["errors"]) for r in classify.error_curve(coverage).collect()}
+    left = {right: w for _, (right,), w in baskets}
+    total = sum(left.values())
+    for rank in [0, 1, 2, 3, count // 2, count]:
+        rest = {k: w for k, w in left.items() if (k - 100_000) % 10 or k - 100_000 >= 10 * rank}
+        best = max(rest.values())
+        assert found[rank] == (min(k for k, w in rest.items() if w == best), sum(rest.values()) - best)
+    taken = sum(w for k, w in left.items() if (k - 100_000) % 10)
+    assert found[count + 2][1] == taken - left[100_001] and len(found) == count + 2 and total > taken
