@@ -14,6 +14,7 @@ segments, and memory is one segment.
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -53,6 +54,26 @@ class Rule:
         return [m.span() for m in compiled.finditer(text) if m.end(group) - m.start(group) >= least]
 
 
+class Login(Rule):
+    """A name and a password in an address, of any length; the scheme before it is read backwards."""
+
+    def spans(self, text: str, compiled: re.Pattern) -> list[tuple[int, int]]:
+        found, last = [], 0
+        for m in compiled.finditer(text):
+            start = m.start()
+            while start > last and text[start - 1] in SCHEME:
+                start -= 1
+            while start < m.start() and text[start] not in string.ascii_letters:
+                start += 1
+            if start < m.start():
+                found.append((start, m.end()))
+                last = m.end()
+        return found
+
+
+#: The signs of a scheme, which starts with a letter.
+SCHEME = frozenset(string.ascii_letters + string.digits + "+.-")
+
 #: The base kinds.
 BASE_RULES = (
     Rule(
@@ -70,7 +91,7 @@ MORE_RULES = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{30,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("login", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@"),
+    Login("login", r"://[^\s/:@]+:[^\s/:@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 

@@ -1,6 +1,7 @@
 """The same results, computed plainly in one process."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -9,9 +10,6 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from itemloom.llm.fingerprints import fingerprint, likeness
-from itemloom.llm.line_templates import agree, parsed
-
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -47,6 +45,37 @@ def piece_ids(texts):
     return [(i, library.decode(i)) for i in ids]
 
 
+def bucket_counts(data):
+    """Three triplets of each window of four bytes, hashed into 128 buckets."""
+    counts, whole = [0] * 128, 0xFFFFFFFF
+    for i in range(len(data) - 3):
+        for kind, places in enumerate([(0, 1, 2), (0, 1, 3), (0, 2, 3)]):
+            a, b, c = (data[i + p] for p in places)
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 & whole) ^ (c * 0xC2B2AE3D + 0x27D4EB2F * kind & whole)
+            h = (h ^ h >> 15) * 0x2C1B3C6D & whole
+            counts[h >> 25] += 1
+    return counts
+
+
+def quartiles(counts):
+    ordered = sorted(counts)
+    return [sum(n > ordered[border] for border in (31, 63, 95)) for n in counts]
+
+
+def length_step(size):
+    return min(255, round(math.log(size + 1) / math.log(1.25)))
+
+
+def fingerprint(data):
+    bits = "".join(f"{q:02b}" for q in quartiles(bucket_counts(data)))
+    return f"{length_step(len(data)):02x}{int(bits, 2):064x}"
+
+
+def likeness(a, b):
+    apart = sum(abs((int(a[2:], 16) >> 2 * k & 3) - (int(b[2:], 16) >> 2 * k & 3)) for k in range(128))
+    return 1.0 - (apart + min(24, abs(int(a[:2], 16) - int(b[:2], 16)))) / (128 * 3 + 24)
+
+
 def fingerprints(rows):
     """Rows of (id, text), ids unique: edited texts, digests and likenesses by id."""
     rows = sorted(rows, reverse=True)
@@ -90,38 +119,53 @@ def similar_components(rows):
     return {key: (len(s), find(key)) for key, s in sets.items()}
 
 
+FIELD = "<*>"
+
+
+def tells(constant, size):
+    """Whether a template with so many constant words stands for its lines."""
+    return constant >= 8 and 2 * constant >= size
+
+
+def form_of(line):
+    """The words by which a line repeats others, and whether its fields are left out."""
+    words = WORD.findall(line)
+    masked = tuple(FIELD if re.search("[0-9]", w) else w for w in words)
+    if tells(sum(w != FIELD for w in masked), len(masked)):
+        return masked, True
+    return tuple(words), False
+
+
+def one_template(a, b):
+    same = [x for x, y in zip(a, b) if x == y]
+    return 10 * len(same) >= 8 * len(a) and tells(sum(x != FIELD for x in same), len(a))
+
+
 def kept_lines(rows):
     """Rows of (key, text): n_lines, n_dropped and the text that is left, by key."""
-    forms, leaves = defaultdict(set), defaultdict(set)
+    holders, leaves = defaultdict(set), defaultdict(set)
     for key, text in rows:
         for line in text.split("\n"):
-            words = parsed(line.encode())
-            if words:
-                forms[b" ".join(words)].add(key)
-                leaves[(len(words), *words[:3])].add(b" ".join(words))
+            form, of_template = form_of(line)
+            if form:
+                holders[form].add(key)
+                if of_template:
+                    leaves[(len(form), *form[:3])].add(form)
     seed_of = {}
-    for lines in leaves.values():
+    for forms in leaves.values():
         seeds = []
-        for form in sorted(lines, key=xxhash.xxh3_128_digest):
-            words = form.split(b" ")
-            seed = next((s for s, its in seeds if agree(words, its)), None)
-            if seed is None:
-                seeds.append((form, words))
-            seed_of[form] = form if seed is None else seed
+        for form in sorted(forms, key=lambda f: xxhash.xxh3_128_digest(" ".join(f).encode())):
+            seed_of[form] = next((s for s in seeds if one_template(form, s)), form)
+            if seed_of[form] == form:
+                seeds.append(form)
     documents = defaultdict(set)
-    for form, keys in forms.items():
-        documents[seed_of[form]] |= keys
+    for form, keys in holders.items():
+        documents[seed_of.get(form, form)] |= keys
     found = {}
     for key, text in rows:
-        kept, n = [], 0
-        for line in text.split("\n"):
-            words = parsed(line.encode())
-            n += bool(words)
-            if words:
-                holders = documents[seed_of[b" ".join(words)]]
-                if len(holders) > 1 and key != min(holders):
-                    continue
-            kept.append(line)
-        full = sum(bool(parsed(x.encode())) for x in kept)
-        found[key] = (n, n - full, "\n".join(kept))
+        lines = text.split("\n")
+        forms = [form_of(line)[0] for line in lines]
+        dropped = [bool(f) and key != min(documents[seed_of.get(f, f)]) for f in forms]
+        left = "\n".join(line for line, gone in zip(lines, dropped) if not gone)
+        found[key] = (sum(map(bool, forms)), sum(dropped), left)
     return found

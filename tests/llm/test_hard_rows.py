@@ -77,6 +77,23 @@ def test_secrets(hard, empty, spark):
     assert [s for s in found[1] if s[0] in ("assign", "access", "hex")] == brute.base_spans(value)
 
 
+@pytest.mark.parametrize("size", [1, 100, 101, 5_000])
+def test_logins_of_any_length(spark, size):
+    """No part of an address has a longest length; a scheme needs a letter, and parts of one match are not used again."""
+    word = "p" * size
+    texts = [
+        f"see {'s' * size}://{word}:{word}@host",
+        f"1+{word}://{word}:{word}@a://{word}:{word}@b",
+        f"://{word}:{word}@host 7://{word}:{word}@host",
+        f"{'x' * 50 * size} a://b:c @ http://{word}:@host http://:{word}@host",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "login"] for r in find_secrets(docs).collect()}
+    first = 4 + size + 3 + 2 * size + 2
+    one = 2 + size + 3 + 2 * size + 2
+    assert found == {0: [(4, first)], 1: [(2, one), (one, one + 1 + 3 + 2 * size + 2)], 2: [], 3: []}
+
+
 @pytest.mark.parametrize("rule", RULES, ids=lambda r: r.kind)
 def test_every_match_is_a_candidate(rule):
     import pyarrow as pa
