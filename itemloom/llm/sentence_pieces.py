@@ -8,7 +8,8 @@ read backwards from the end.  Work is linear in the length of the text.
 
 No merge crosses two neighbouring signs that no piece holds side by side, so the table can
 start anew between them; a space after another sign is such a place.  Words, and the runs
-they fall into, repeat a lot and are kept in bounded caches of each worker.
+they fall into, repeat a lot and are kept in bounded caches of a task, which are dropped at its end:
+a worker goes on to other kinds of tasks.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemloom.llm.texts import TwoGenerations, map_texts, text_of
+from itemloom.llm.texts import TwoGenerations, give_back, map_texts, text_of
 
 SPACE = "▁"  # fixed: the sign that stands for a space in pieces
-CACHED = 200_000  # young entries of each of a worker's two caches
+CACHED = 100_000  # young entries of each of a task's two caches
 LONGEST = 40  # signs of what is kept in a cache
-PAIRS = 1 << 20  # remembered pair tests
+PAIRS = 1 << 18  # remembered pair tests
 
 
 class Pieces:
@@ -154,9 +155,6 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-_CACHES: dict[str, tuple[TwoGenerations, TwoGenerations]] = {}
-
-
 def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ``ids`` in decimals joined by commas, decoded.
 
@@ -176,7 +174,7 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
 
     def encoder() -> Callable:
         library = pieces_of(model)
-        words, runs = _CACHES.setdefault(model, (TwoGenerations(CACHED), TwoGenerations(CACHED)))
+        words, runs = TwoGenerations(CACHED), TwoGenerations(CACHED)
 
         def run(value: str) -> tuple[str, str]:
             made = runs.get(value)
@@ -221,6 +219,13 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
                 "decoded": pa.array(texts, pa.string()),
             }
 
+        def close() -> None:
+            for cached in (words, runs):
+                cached.young, cached.old = {}, {}
+            library.pairs.clear()
+            give_back()
+
+        encode.close = close
         return encode
 
     return map_texts(docs, [F.col(doc_id).alias("doc_id"), text_of(text).alias("text")], encoder, schema)

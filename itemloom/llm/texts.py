@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -58,21 +60,32 @@ def map_texts(
     """Apply a function to pieces of the selected columns inside the tasks.
 
     ``by_piece`` is called once per task and returns the function; that maps a piece to
-    the output columns by name.  Only one piece is worked on at a time.
+    the output columns by name.  Only one piece is worked on at a time.  A function's ``close``
+    is called when the task ends.
     """
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = by_piece()
-        for batch in batches:
-            for piece in pieces(batch, text, most):
-                made = function(piece)
-                if made is not None:
-                    yield pa.RecordBatch.from_arrays([_array(made[n]) for n in names], names)
+        try:
+            for batch in batches:
+                for piece in pieces(batch, text, most):
+                    made = function(piece)
+                    if made is not None:
+                        yield pa.RecordBatch.from_arrays([_array(made[n]) for n in names], names)
+        finally:
+            getattr(function, "close", lambda: None)()
 
     return in_tasks(docs.select(*columns), run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system; other kinds of tasks will run in it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _array(values) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         return values.combine_chunks()
