@@ -521,10 +521,17 @@ def drop_attribute(spark, sf_dir):
     return names.join(counted, "attribute").join(profile.attribute_cardinality(values), "attribute")
 
 
+def _database(spark) -> str:
+    """A database of its own in the scratch folder."""
+    name = f"stored_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_path(spark, 'stored')}'")
+    return name
+
+
 @query
 def stored_source(spark, sf_dir):
     """A stored source without its third field: supports and distinct values of the others."""
-    kept = StoredSource.create(f"source_{uuid.uuid4().hex}", part_source(spark, sf_dir), scratch_path(spark, "stored"))
+    kept = StoredSource.create(f"{_database(spark)}.part", part_source(spark, sf_dir))
     kept.drop_field(3)
     left = kept.load()
     counted = profile.field_support(left.instances).select("field", "support_nominal")
@@ -538,7 +545,7 @@ def stored_dataset(spark, sf_dir):
     source = tables.data_source(
         tables.orders_wide(spark, sf_dir).select("id", "status", "priority", "segment"), tables.ORDER_FIELDS[:3]
     )
-    kept = StoredDataset.create(spark, f"dataset_{uuid.uuid4().hex}", folder=scratch_path(spark, "stored"))
+    kept = StoredDataset.create(spark, f"{_database(spark)}.orders")
     kept.add(source, ORDER_SPECS[:2])
     kept.add(source, ORDER_SPECS[2:])
     kept.drop_attribute(PRIORITY)

@@ -4,7 +4,9 @@ A field or an attribute is a partition of each of its tables, so it is read alon
 the others, and removed by dropping partitions, for which no data file is read.  Item ids go on from a
 maximum that is committed in the catalog before any row is written, so builds never share ids.
 
-The tables belong to the session's catalog; with a persistent one they outlive the session.
+The tables are managed ones of the session's catalog, so a dropped partition is gone with its files, and its
+number may be used again.  A name can be qualified by a database, whose location then holds the files.
+With a persistent catalog the tables outlive the session.
 """
 
 from __future__ import annotations
@@ -24,15 +26,13 @@ _CELL = "value_nominal STRING, value_numeric DOUBLE"
 NEXT_ITEM = "itemloom.next_item"
 
 
-def _create(spark: SparkSession, table: str, columns: str, by: str, folder: str | None) -> None:
-    place = f" LOCATION '{folder}/{table}'" if folder else ""
-    spark.sql(f"CREATE TABLE {table} ({columns}, {by} INT) USING parquet PARTITIONED BY ({by}){place}")
+def _create(spark: SparkSession, table: str, columns: str, by: str) -> None:
+    spark.sql(f"CREATE TABLE {table} ({columns}, {by} INT) USING parquet PARTITIONED BY ({by})")
 
 
 def _insert(rows: DataFrame, table: str, by: str) -> None:
-    columns = [c for c in rows.sparkSession.table(table).columns]
     # a partition is written by as many tasks as its rows ask for, not by one
-    rows.select(columns).sortWithinPartitions(by).write.insertInto(table)
+    rows.select(rows.sparkSession.table(table).columns).sortWithinPartitions(by).write.insertInto(table)
 
 
 def _numbers(spark: SparkSession, table: str, by: str) -> list[int]:
@@ -57,14 +57,14 @@ class StoredSource:
         return [f"{self.name}_{part}" for part in ("fields", "instances", "values")]
 
     @classmethod
-    def create(cls, name: str, source: DataSource, folder: str | None = None) -> StoredSource:
+    def create(cls, name: str, source: DataSource) -> StoredSource:
         """Write a source; fails when there already is one of that name."""
         spark = source.instances.sparkSession
         stored = cls(spark, name)
         id_type = source.instances.schema["id"].dataType.simpleString()
         columns = ["name STRING, type STRING", f"id {id_type}, {_CELL}", f"{_CELL}, frequency BIGINT"]
         for table, own in zip(stored.tables, columns):
-            _create(spark, table, own, "field", folder)
+            _create(spark, table, own, "field")
         frames = [fields_frame(spark, source.fields), source.instances, source.values]
         # the fields come last: a source that was not written whole has none
         for table, frame in list(zip(stored.tables, frames))[::-1]:
@@ -95,12 +95,12 @@ class StoredDataset:
         return [f"{self.name}_{part}" for part in ("attributes", "item_values", "item_instances")]
 
     @classmethod
-    def create(cls, spark: SparkSession, name: str, id_type: str = "bigint", folder: str | None = None) -> StoredDataset:
+    def create(cls, spark: SparkSession, name: str, id_type: str = "bigint") -> StoredDataset:
         """An empty dataset; fails when there already is one of that name."""
         stored = cls(spark, name)
         columns = ["name STRING", "item BIGINT, value STRING, frequency BIGINT", f"id {id_type}, item BIGINT"]
         for table, own in zip(stored.tables, columns):
-            _create(spark, table, own, "attribute", folder)
+            _create(spark, table, own, "attribute")
         spark.sql(f"ALTER TABLE {stored.tables[0]} SET TBLPROPERTIES ('{NEXT_ITEM}' = '1')")
         return stored
 

@@ -20,8 +20,13 @@ def source(spark):
     return data_source(spark.createDataFrame(rows, "id long, a string, b string, n double"), FIELDS)
 
 
-def fresh():
-    return f"t_{uuid.uuid4().hex}"
+@pytest.fixture
+def fresh(spark, tmp_path):
+    """A name in a database whose files lie in the test's folder."""
+    database = f"d_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{tmp_path}'")
+    yield f"{database}.t"
+    spark.sql(f"DROP DATABASE {database} CASCADE")
 
 
 def spoil(folder, pattern):
@@ -37,13 +42,13 @@ def rows(frame):
     return sorted((tuple(r) for r in frame.collect()), key=repr)
 
 
-def test_a_dropped_field_is_not_read(spark, source, tmp_path):
-    kept = StoredSource.create(fresh(), source, str(tmp_path))
+def test_a_dropped_field_is_not_read(spark, source, tmp_path, fresh):
+    kept = StoredSource.create(fresh, source)
     loaded = kept.load()
     assert loaded.fields == tuple(FIELDS)
     assert rows(loaded.instances.select("id", "field", "value_nominal")) == rows(source.instances.select("id", "field", "value_nominal"))
     for table in kept.tables:
-        spoil(tmp_path, f"{table}/field=2")
+        spoil(tmp_path, f"{table.split('.')[1]}/field=2")
     kept.drop_field(2)
     after = kept.load()
     assert [f.field for f in after.fields] == [1, 3]
@@ -58,16 +63,16 @@ def test_a_dropped_field_is_not_read(spark, source, tmp_path):
         kept.drop_field(2)
 
 
-def test_builds_never_share_ids(spark, source, tmp_path):
-    dataset = StoredDataset.create(spark, fresh(), folder=str(tmp_path))
+def test_builds_never_share_ids(spark, source, tmp_path, fresh):
+    dataset = StoredDataset.create(spark, fresh)
     assert dataset.add(source, [Simple(1, "a", 1), Equidistant(3, "n", 3, bins=4)]) == (1, 7)
     assert dataset.add(source, [Simple(2, "b", 2)]) == (8, 9)
     for table in dataset.tables:
-        spoil(tmp_path, f"{table}/attribute=2")
+        spoil(tmp_path, f"{table.split('.')[1]}/attribute=2")
     dataset.drop_attribute(2)
     assert dataset.attributes() == [1, 3] and rows(dataset.names()) == [(1, "a"), (3, "n")]
-    # ids of a dropped attribute are not given again
-    assert dataset.add(source, [Simple(4, "again", 2)]) == (10, 11)
+    # ids of a dropped attribute are not given again, and nothing of it comes back with its number
+    assert dataset.add(source, [Simple(2, "again", 2)]) == (10, 11)
     values = dataset.item_values()
     assert values.select("item").distinct().count() == values.count() == 9
     counted = dataset.item_instances().groupBy("item").agg(F.count(F.lit(1)).alias("n"))
@@ -75,11 +80,11 @@ def test_builds_never_share_ids(spark, source, tmp_path):
     with pytest.raises(ValueError):
         dataset.add(source, [Simple(1, "a", 1)])
     with pytest.raises(ValueError):
-        dataset.drop_attribute(2)
+        dataset.drop_attribute(9)
 
 
-def test_a_build_that_fails_leaves_a_gap_only(spark, source, tmp_path, monkeypatch):
-    dataset = StoredDataset.create(spark, fresh(), folder=str(tmp_path))
+def test_a_build_that_fails_leaves_a_gap_only(spark, source, monkeypatch, fresh):
+    dataset = StoredDataset.create(spark, fresh)
     real = stored._insert
 
     def failing(frame, table, by):
