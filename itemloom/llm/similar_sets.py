@@ -6,12 +6,16 @@ common to all; elements that tasks saw often come last in that order, so shared
 rarely are among the first.  Classes that share such an element and are of nearby size meet in
 a tile, which holds one band of sizes and the band below; large tiles are cut into pairs of
 blocks.  In a tile, hashed bitmaps of the sets bound the overlap from above by counting
-bits, and pairs that pass are decided by intersecting the sorted arrays.
+bits.
 
-Only components are wanted, so pairs inside one are not repeated: first each class is
-paired with the most promising leader of two groups it falls into, which joins most copies;
-then tiles compare what still lies in different components, and nothing else is left out.
-Texts are fetched for classes in such pairs only.
+Only components are wanted, so no step hands over all pairs.  First, pairs that the bitmaps
+allow join classes to clusters: each class is paired with the most promising leader of two
+groups it falls into; then tiles compare what still lies in different clusters, and hand over a
+spanning set of pairs, fewer than a tile has classes.  So every link lies inside one cluster.
+Then each cluster gets the sorted arrays of its classes once, and intersecting them decides; what
+is found is again a spanning set, of links.  Large clusters are cut into blocks: links inside
+blocks come first, then those of one class per component, then what is left between blocks.
+Texts are fetched for classes of clusters only.
 
 Elements are 64-bit hashes of n-grams, and classes 63-bit hashes of sorted sets; two sets that
 collide are noticed and refused.
@@ -82,9 +86,9 @@ def class_of(elements: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(elements.tobytes()) >> 1
 
 
-def signature(elements: np.ndarray) -> np.ndarray:
-    """A bitmap of as many bits as there are elements, up to the next power of two."""
-    bits = max(FIRST_BITS, 1 << int(len(elements) - 1).bit_length())
+def signature(elements: np.ndarray, bits: int = 0) -> np.ndarray:
+    """A bitmap of ``bits`` bits, or as many as there are elements, up to the next power of two."""
+    bits = bits or max(FIRST_BITS, 1 << int(len(elements) - 1).bit_length())
     place = elements & np.uint64(bits - 1)
     words = np.zeros(bits // 64, np.uint64)
     np.bitwise_or.at(words, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
@@ -148,17 +152,11 @@ def similar_components(
         raise RuntimeError("two different sets have one class number")
     marks = sketches.where("bits is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     tiles = materialize(_tiles(rows, _frequent(sketches), similar, gram), "set-tiles")
-    labels = None
-    for nearest in (None, True, False):
-        if nearest is None:
-            pairs = _leader_pairs(tiles, marks, similar)
-        else:
-            pairs = _tile_pairs(tiles, marks, labels, nearest, similar)
-        pairs = materialize(pairs, "set-pairs")
-        if nearest is not None and pairs.isEmpty():
-            break  # no two components have a pair left that could link
-        edges = materialize(_verified(pairs, _sets_of(pairs, rows, classes, gram), similar), "set-edges")
-        labels = materialize(components(edges) if labels is None else _merged(labels, edges), "set-labels")
+    led = materialize(components(_leader_pairs(tiles, marks, similar)), "set-led")
+    pairs = materialize(_tile_pairs(tiles, marks, led, similar), "set-pairs")
+    clusters = materialize(_merged(led, pairs), "set-clusters")
+    sets = _sets_of(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")), rows, classes, gram)
+    labels = _links(sets, clusters, similar)
     by_class = classes.join(labels, classes["cls"] == labels["node"], "left").select(
         "cls", "first_id", "rows", F.coalesce("component", "cls").alias("component")
     )
@@ -424,11 +422,8 @@ def _leader_pairs(tiles: DataFrame, marks: DataFrame, similar: int) -> DataFrame
     return in_tasks(dealt, run, "a long, b long").distinct()
 
 
-def _tile_pairs(tiles: DataFrame, marks: DataFrame, labels: DataFrame, nearest: bool, similar: int) -> DataFrame:
-    """Pairs of classes in different components whose bitmaps allow a link.
-
-    ``nearest`` keeps, of the pairs of two components in a tile, only the most promising one.
-    """
+def _tile_pairs(tiles: DataFrame, marks: DataFrame, labels: DataFrame, similar: int) -> DataFrame:
+    """Pairs that join the components of ``labels`` wherever the bitmaps of two classes allow a link."""
     sized = marks.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "n", "bits", F.coalesce("component", "cls").alias("component")
     )
@@ -449,23 +444,65 @@ def _tile_pairs(tiles: DataFrame, marks: DataFrame, labels: DataFrame, nearest:
         "tile", "band", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "home", "cls", "n", "component", "bits"
     )
     key = ["tile", "band", "x", "y"]
-    found = in_tasks(dealt.repartition(*key).sortWithinPartitions(*key, "n", "cls"), _compare(nearest, similar), "a long, b long")
+    found = in_tasks(dealt.repartition(*key).sortWithinPartitions(*key, "n", "cls"), _spanning(similar), "a long, b long")
     return found.distinct()
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, sized: str) -> Iterator[list[tuple]]:
+    """Neighbouring rows that agree in the first columns, if there are two at least; without the first column."""
+    at, rows = None, []
+    for piece in (p for batch in batches for p in pieces(batch, sized)):
+        columns = [piece.column(c).to_pylist() for c in piece.schema.names]
+        for row in zip(*columns):
+            if at != row[:keys]:
+                if len(rows) > 1:
+                    yield rows
+                at, rows = row[:keys], []
+            rows.append(row[1:])
+    if len(rows) > 1:
+        yield rows
+
+
+def _spanning(similar: int) -> Callable:
+    """Pairs that may link and join all components of a tile that such pairs join; fewer than its rows."""
+
+    def joined(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        band, x, y = rows[0][:3]
+        block, home, cls, n, component = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6, 7))
+        part = np.unique(component, return_inverse=True)[1]
+        size = min(len(r[8]) for r in rows) // 8
+        bits = None
+        step = max(1, CELLS // size)
+        for i in np.flatnonzero(home == band).tolist():
+            # sorted by size: smaller ones of this band and the band below, so no pair comes twice
+            other = (part[:i] != part[i]) & (100 * n[:i] >= similar * n[i])
+            if x != y:
+                other &= block[:i] != block[i]
+            other = np.flatnonzero(other)
+            if len(other) and bits is None:
+                bits = np.stack([folded(np.frombuffer(r[8], np.uint64), size) for r in rows])
+            for some in (other[k : k + step] for k in range(0, len(other), step)):
+                some = some[part[some] != part[i]]
+                some = some[may_link(int(n[i]), bits[i], n[some], bits[some], similar)]
+                first = np.unique(part[some], return_index=True)[1]
+                for j in some[first].tolist():
+                    part[part == part[j]] = part[i]
+                    yield int(cls[i]), int(cls[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for rows in _groups(batches, 4, "bits"):
+            found += joined(rows)
+            if len(found) > HELD:
+                yield _pair_batch(found)
+                found = []
+        yield _pair_batch(found)
+
+    return run
+
+
 def _compare(nearest: bool, similar: int) -> Callable:
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        at, rows = None, []
-        for piece in (p for batch in batches for p in pieces(batch, "bits")):
-            columns = [piece.column(c).to_pylist() for c in piece.schema.names]
-            for tile, band, x, y, *row in zip(*columns):
-                if at != (tile, band, x, y):
-                    if len(rows) > 1:
-                        yield rows
-                    at, rows = (tile, band, x, y), []
-                rows.append((band, x, y, *row))
-        if len(rows) > 1:
-            yield rows
+    """All pairs of a tile that may link, in bounded batches; the components need only ``_spanning``."""
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For one row after the other: its place, the places it may link with, and how far those are."""
@@ -496,7 +533,7 @@ def _compare(nearest: bool, similar: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs in bounded batches; with ``nearest`` one per two components, as far as is remembered."""
-        for rows in groups(batches):
+        for rows in _groups(batches, 4, "bits"):
             held: dict[tuple, tuple[int, int, int]] = {}
             for i, others, apart in pairs(rows):
                 cls, own = rows[i][5], rows[i][7]
@@ -520,28 +557,88 @@ def _pair_batch(pairs) -> pa.RecordBatch:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs that are links, by their sets: each ``a`` is read once, then what it is paired with."""
-    part = F.pmod(F.xxhash64("b"), F.lit(4))
-    parted = pairs.withColumn("part", part)
-    heads = parted.select("a", "part").distinct().join(sets, F.col("a") == F.col("cls"))
-    tails = parted.join(sets, F.col("b") == F.col("cls"))
-    both = heads.select("a", "part", F.lit(None).cast("long").alias("b"), "elements").unionByName(tails.select("a", "part", "b", "elements"))
-    dealt = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+def _links(sets: DataFrame, clusters: DataFrame, similar: int) -> DataFrame:
+    """``node, component`` of the classes that links join; all links lie inside ``clusters``."""
+    held = sets.join(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "cls")
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.octet_length("elements")) / BLOCK_BYTES))
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        # a cut cluster has more than TILE classes or BLOCK_BYTES, so there are few
+        cut = rows.groupBy("cluster").agg(needed.cast("int").alias("blocks")).where("blocks > 1")
+        cut = materialize(cut, "set-cuts")
+        found = rows.join(F.broadcast(cut), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        return found.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+    def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        own = rows.drop("component").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        return own.withColumn("component", F.coalesce("component", "cls"))
+
+    def still_apart(rows: DataFrame) -> DataFrame:
+        ends = rows.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        return materialize(ends.where("low <> high").select("cluster"), "set-apart")
+
+    placed = materialize(blocked(held), "set-blocks")
+    inside = placed.withColumn("component", F.col("cls")).withColumns({"x": F.col("block"), "y": F.col("block")})
+    labels = materialize(components(_decided(inside, similar)), "set-labels")
+    large = placed.where("blocks > 1")
+    if large.isEmpty():
+        return labels
+    large = materialize(named(large, labels), "set-large")
+    speakers = large.groupBy("component").agg(F.min("cls").alias("cls")).select("cls")
+    spoken = blocked(large.drop("blocks", "block").join(speakers, "cls", "left_semi"))
+    edges = _decided(spoken.withColumns({"x": F.col("block"), "y": F.col("block")}), similar)
+    labels = materialize(_merged(labels, materialize(edges, "set-edges")), "set-labels")
+    large = named(large, labels)
+    rest = large.join(F.broadcast(still_apart(large)), "cluster")
+    between = rest.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).where("with <> block")
+    between = between.withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
+    return materialize(_merged(labels, materialize(_decided(between, similar), "set-edges")), "set-labels")
+
+
+def _decided(rows: DataFrame, similar: int) -> DataFrame:
+    """Links that join all components of a block, or of two, that links join; fewer than its rows."""
+    key = ["cluster", "x", "y"]
+    size = F.octet_length("elements")
+    dealt = rows.select(*key, "block", "cls", "component", "elements").repartition(*key)
+
+    def joined(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        x, y = rows[0][:2]
+        block, cls, component = (np.array([r[k] for r in rows]) for k in (2, 3, 4))
+        part = np.unique(component, return_inverse=True)[1]
+        if not part.any():
+            return
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        n = np.array([len(s) for s in sets])
+        # several bits an element, as far as all bitmaps together stay small
+        room = max(FIRST_BITS, 8 * BLOCK_BYTES // len(rows))
+        size = min(1 << int(4 * n.max() - 1).bit_length(), 1 << (room.bit_length() - 1))
+        size = max(FIRST_BITS, size)
+        bits = np.stack([signature(s, size) for s in sets])
+        step = max(1, CELLS // (size // 64))
+        for i in range(1, len(rows)):
+            other = (part[:i] != part[i]) & (100 * n[:i] >= similar * n[i])
+            if x != y:
+                other &= block[:i] != block[i]
+            other = np.flatnonzero(other)
+            for some in (other[k : k + step] for k in range(0, len(other), step)):
+                some = some[part[some] != part[i]]
+                some = some[may_link(int(n[i]), bits[i], n[some], bits[some], similar)]
+                apart = np.bitwise_count(bits[i] ^ bits[some]).sum(axis=1, dtype=np.int64)
+                for j in some[np.argsort(apart, kind="stable")].tolist():
+                    if part[j] != part[i] and linked(sets[i], sets[j], similar):
+                        part[part == part[j]] = part[i]
+                        yield int(cls[i]), int(cls[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None
-        for batch in batches:
-            found = []
-            for a, b, raw in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("elements")):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
-                if b is None:
-                    head = own.copy()  # it outlives the batch
-                elif linked(head, own, similar):
-                    found.append((a, b))
-            yield _pair_batch(found)
-
-    return in_tasks(dealt, run, "a long, b long")
+        found = []
+        for rows in _groups(batches, 3, "elements"):
+            found += joined(rows)
+            if len(found) > HELD:
+                yield _pair_batch(found)
+                found = []
+        yield _pair_batch(found)
+
+    return in_tasks(dealt.sortWithinPartitions(*key, size, "cls"), run, "a long, b long")
 
 
 def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -69,3 +69,26 @@ def test_sets_of_pairs_come_back_whole(spark):
     classes = spark.createDataFrame([(ids[0], 0), (ids[1], 1)], "cls long, first_id long")
     found = {r.cls: np.frombuffer(bytes(r.elements), np.uint64) for r in similar_sets._sets_of(pairs, rows, classes, 5).collect()}
     assert set(found) == set(ids) and all((found[c] == s).all() for c, s in zip(ids, sets))
+
+
+def test_a_tile_hands_over_fewer_pairs_than_classes():
+    """A full block of near copies is joined by 2,047 pairs, not by all 2,096,128 that may link."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = MEASURED.replace('s._compare(sys.argv[1] == "nearest", 75)', "s._spanning(75)")
+    shown = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": home})
+    pairs, megabytes = map(int, shown.stdout.split())
+    assert pairs == similar_sets.TILE - 1 and megabytes < 300
+
+
+def test_links_of_a_cut_cluster_are_exact(spark, monkeypatch):
+    """A cluster in many blocks: links of a chain, and pairs just below the limit that are not links."""
+    own = [list(range(i * 5, i * 5 + 40)) for i in range(60)]  # neighbours share 35 of 45 elements, the next but one 30 of 50
+    own += [[*range(10_000, 10_030), *range(11_000 + 100 * i, 11_010 + 100 * i)] for i in range(20)]  # 30 of 50
+    sets = [np.array(s, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in own]
+    sets = [np.sort(s) for s in sets]
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cls long, elements binary").repartition(3)
+    clusters = spark.createDataFrame([(i, 0) for i in range(len(sets))], "node long, component long")
+    for tile in (2_048, 7):
+        monkeypatch.setattr(similar_sets, "TILE", tile)
+        found = {r.node: r.component for r in similar_sets._links(rows, clusters, 75).collect()}
+        assert found == {i: 0 for i in range(60)}
