@@ -16,9 +16,12 @@ def _check_page(offset: int, limit: int) -> None:
 
 
 def typed_instances(instances: DataFrame, fields: DataFrame) -> DataFrame:
-    """Cells as their field's type shows them: text, or text with a number."""
+    """Cells as their field's type shows them: text, or text with a number.
+
+    There are few fields, so they are sent to the cells; by key, all cells of a field would meet in a task.
+    """
     numeric = F.col("type") == "NUMERIC"
-    shown = instances.join(fields.select("field", "type"), "field").where(
+    shown = instances.join(F.broadcast(fields.select("field", "type")), "field").where(
         ~numeric | F.col("value_numeric").isNotNull()
     )
     return shown.select(
@@ -65,7 +68,7 @@ def values_page(values: DataFrame, fields: DataFrame, field: int, offset: int, l
     """A page of a field's values by number, then text; numeric fields show numbers only."""
     _check_page(offset, limit)
     shown = values.where(F.col("field") == field).join(
-        fields.where(F.col("field") == field).select("field", "type"), "field"
+        F.broadcast(fields.where(F.col("field") == field).select("field", "type")), "field"
     )
     shown = shown.where((F.col("type") == "NOMINAL") | F.col("value_numeric").isNotNull())
     return (
