@@ -8,7 +8,8 @@ read backwards from the end.  Work is linear in the length of the text.
 
 No merge crosses two neighbouring signs that no piece holds side by side, so the table can
 start anew between them; a space after another sign is such a place.  Words, and the runs
-they fall into, repeat a lot and are kept in bounded caches of each worker.
+they fall into, repeat a lot and are kept in bounded caches of each worker until it gets a
+task of another operator.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemloom.llm.texts import TwoGenerations, map_texts, text_of
+from itemloom.llm.texts import TwoGenerations, keep, map_texts, text_of
 
 SPACE = "▁"  # fixed: the sign that stands for a space in pieces
-CACHED = 200_000  # young entries of each of a worker's two caches
+CACHED = 60_000  # young entries of each of a worker's two caches
+PIECE = 1 << 21  # bytes of text that are encoded at once
 LONGEST = 40  # signs of what is kept in a cache
-PAIRS = 1 << 20  # remembered pair tests
+PAIRS = 1 << 18  # remembered pair tests
 
 
 class Pieces:
@@ -154,7 +156,16 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-_CACHES: dict[str, tuple[TwoGenerations, TwoGenerations]] = {}
+@cache
+def caches_of(path: str) -> tuple[TwoGenerations, TwoGenerations]:
+    """The caches of this worker for words and runs; tasks reach them by this name, as closures get copies."""
+    keep(__name__, drop_caches)
+    return TwoGenerations(CACHED), TwoGenerations(CACHED)
+
+
+def drop_caches() -> None:
+    caches_of.cache_clear()
+    pieces_of.cache_clear()
 
 
 def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,15 +187,20 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
 
     def encoder() -> Callable:
         library = pieces_of(model)
-        words, runs = _CACHES.setdefault(model, (TwoGenerations(CACHED), TwoGenerations(CACHED)))
+        words, runs = caches_of(model)
+
+        def plain_run(value: str) -> tuple[str, str]:
+            ids = library.ids(library.split(value))
+            return ",".join(map(str, ids)), library.decoded(ids)
 
         def run(value: str) -> tuple[str, str]:
-            made = runs.get(value)
+            # a run that begins with a space is what a word of its own is made of, and kept once
+            kept, key = (words, value[1:]) if value[0] == SPACE and len(value) > 1 else (runs, value)
+            made = kept.get(key)
             if made is None:
-                ids = library.ids(library.split(value))
-                made = (",".join(map(str, ids)), library.decoded(ids))
+                made = plain_run(value)
                 if len(value) <= LONGEST:
-                    runs.put(value, made)
+                    kept.put(key, made)
             return made
 
         def word(value: str) -> tuple[str, str]:
@@ -197,7 +213,10 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
             return made
 
         def segment(value: str) -> tuple[str, str]:
-            parts = [run(r) for r in library.runs(value)]
+            cut = library.runs(value)
+            if len(cut) == 1 and value[0] == SPACE:
+                return plain_run(value)  # kept as a word
+            parts = [run(r) for r in cut]
             return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
 
         def encode(piece: pa.RecordBatch) -> dict:
@@ -205,7 +224,7 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
             for value in piece.column("text").to_pylist():
                 plain = value.replace("\n", " \n")
                 if SPACE in value or "  " in plain or plain[:1] in ("", " ") or plain[-1] == " ":
-                    parts = [segment(s) for s in library.segmented(value)]
+                    parts = [run(s) if len(s) <= LONGEST and s[0] == SPACE else segment(s) for s in library.segmented(value)]
                 else:
                     known = words.young.get
                     parts = [known(w) or word(w) for w in plain.split(" ")]
@@ -223,4 +242,4 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
 
         return encode
 
-    return map_texts(docs, [F.col(doc_id).alias("doc_id"), text_of(text).alias("text")], encoder, schema)
+    return map_texts(docs, [F.col(doc_id).alias("doc_id"), text_of(text).alias("text")], encoder, schema, most=PIECE)

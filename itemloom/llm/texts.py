@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -38,13 +40,38 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         start = stop
 
 
-def in_tasks(df: DataFrame, function: Callable, schema) -> DataFrame:
+def in_tasks(df: DataFrame, function: Callable, schema, operator: str = "") -> DataFrame:
     """``mapInArrow`` for functions of this package, which the workers have to find as well."""
     paths = df.sparkSession.sparkContext.environment
     home = str(Path(__file__).parents[2])
     if home not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [paths.get("PYTHONPATH"), home]))
-    return df.mapInArrow(function, schema)
+    operator = operator or function.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(operator)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+_DROPS: dict[str, Callable[[], None]] = {}
+
+
+def keep(operator: str, drop: Callable[[], None]) -> None:
+    """Say how the caches that tasks of an operator leave in this worker are dropped."""
+    _DROPS[operator] = drop
+
+
+def begin(operator: str) -> None:
+    """Drop what tasks of other operators left in this worker, and give the memory back."""
+    others = [o for o in _DROPS if o != operator]
+    for o in others:
+        _DROPS.pop(o)()
+    if others:
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_texts(
@@ -70,7 +97,7 @@ def map_texts(
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([_array(made[n]) for n in names], names)
 
-    return in_tasks(docs.select(*columns), run, schema)
+    return in_tasks(docs.select(*columns), run, schema, by_piece.__module__)
 
 
 def _array(values) -> pa.Array:
