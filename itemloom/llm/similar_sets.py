@@ -346,42 +346,30 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 def _sets_of(pairs: DataFrame, rows: DataFrame, classes: DataFrame, gram: int) -> DataFrame:
     """``cls, elements`` of each class in the pairs: its sorted set, made from one of its documents.
 
-    Most documents are in none.  A filter of fixed size keeps their texts from being shuffled;
-    what it lets through by chance the join drops.
+    Most documents are in none.  A filter of fixed size keeps them from being read into sets, and no
+    text is shuffled; what the filter lets through by chance the join by class drops.  Filter and
+    sets are one step, so that a task needs one worker.
     """
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    ids = materialize(classes.join(wanted, "cls").select("first_id").distinct(), "set-wanted")
+    ids = materialize(classes.join(wanted, "cls").select("cls", "first_id"), "set-wanted")
     bitmap = rows.sparkSession.sparkContext.broadcast(_filter_of(ids.select(F.xxhash64("first_id").alias("hash"))))
 
-    def sieve() -> Callable:
+    def marker() -> Callable:
         bits = bitmap.value
 
-        def keep(piece: pa.RecordBatch) -> dict:
+        def mark(piece: pa.RecordBatch) -> dict:
             place = piece.column("hash").to_numpy() % FILTER_BITS
             mask = pa.array((bits[place >> 6] >> (place & 63) & 1).astype(bool))
-            return {"doc_id": piece.column("doc_id").filter(mask), "text": piece.column("text").filter(mask)}
-
-        return keep
-
-    def marker() -> Callable:
-        def mark(piece: pa.RecordBatch) -> dict:
-            sets = [s for s in gram_sets(piece.column("text"), gram) if len(s)]
+            sets = [s for s in gram_sets(piece.column("text").filter(mask), gram) if len(s)]
             return {"cls": pa.array(map(class_of, sets), pa.int64()), "elements": pa.array((s.tobytes() for s in sets), pa.binary())}
 
         return mark
 
-    text = T.StructField("text", T.StringType())
-    kept = map_texts(
-        rows,
-        [F.col("doc_id"), F.col("text"), F.xxhash64("doc_id").alias("hash")],
-        sieve,
-        T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), text]),
-    )
-    own = kept.join(ids, kept["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
     schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("elements", T.BinaryType())])
-    marked = map_texts(own, [F.col("text")], marker, schema, most=PIECE)
+    marked = map_texts(rows, [F.col("text"), F.xxhash64("doc_id").alias("hash")], marker, schema, most=PIECE)
+    own = marked.join(ids.select("cls"), "cls", "left_semi")
     # several rows may share the id that stands for a class
-    return materialize(marked.groupBy("cls").agg(F.first("elements").alias("elements")), "set-elements")
+    return materialize(own.groupBy("cls").agg(F.first("elements").alias("elements")), "set-elements")
 
 
 def _leader_pairs(tiles: DataFrame, marks: DataFrame, similar: int) -> DataFrame:

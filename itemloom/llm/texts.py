@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import sys
 from collections.abc import Callable, Iterator
@@ -50,7 +51,10 @@ def in_tasks(df: DataFrame, function: Callable, schema, operator: str = "") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin(operator)
-        yield from function(batches)
+        try:
+            yield from function(batches)
+        finally:  # the worker may wait for its next task while others need the memory
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -69,9 +73,15 @@ def begin(operator: str) -> None:
     for o in others:
         _DROPS.pop(o)()
     if others:
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        gc.collect()  # closures of dropped caches refer to each other
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that this worker holds and does not use to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_texts(
@@ -96,6 +106,9 @@ def map_texts(
                 made = function(piece)
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([_array(made[n]) for n in names], names)
+            # else two batches, and what the last one left, are held while the next is read
+            batch = piece = made = None
+            pa.default_memory_pool().release_unused()
 
     return in_tasks(docs.select(*columns), run, schema, by_piece.__module__)
 

@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 
 from itemloom.llm import similar_sets
 
@@ -92,3 +93,57 @@ def test_links_of_a_cut_cluster_are_exact(spark, monkeypatch):
         monkeypatch.setattr(similar_sets, "TILE", tile)
         found = {r.node: r.component for r in similar_sets._links(rows, clusters, 75).collect()}
         assert found == {i: 0 for i in range(60)}
+
+
+def test_sets_are_made_in_one_step_of_a_task(spark, monkeypatch):
+    """Filter and sets are one Python step, so a task keeps one worker, and texts are not joined."""
+    plans, whole = {}, similar_sets.materialize
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(df, label)
+
+    monkeypatch.setattr(similar_sets, "materialize", kept)
+    texts = ["one two three four five six seven", "a b", "c d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [similar_sets.class_of(s) for s in similar_sets.gram_sets(pa.array(texts))]
+    pairs = spark.createDataFrame([tuple(ids[:2])], "a long, b long")
+    classes = spark.createDataFrame([(c, i) for i, c in enumerate(ids)], "cls long, first_id long")
+    assert {r.cls for r in similar_sets._sets_of(pairs, rows, classes, 5).collect()} == set(ids[:2])
+    assert plans["set-elements"].count("MapInArrow") == 1
+
+
+IDLE = """
+import sys
+import numpy as np, pyarrow as pa
+from itemloom.llm import texts
+
+class Frame:
+    class sparkSession:
+        class sparkContext:
+            environment = {}
+    def mapInArrow(self, run, schema):
+        return run
+
+def held():
+    return int(open("/proc/self/statm").read().split()[1]) * 4 // 1024
+
+def task(batches):
+    for batch in batches:
+        yield batch.slice(0, 1)
+
+batch = pa.RecordBatch.from_pydict({"a": np.zeros(1 << 20)})
+before = held()
+made = texts.in_tasks(Frame(), task, "a double", "some")(pa.concat_batches([batch] * 8) for _ in range(3))
+for _ in made:
+    pass
+del _
+print(held() - before)
+"""
+
+
+def test_a_worker_gives_memory_back_after_a_task():
+    """Batches of 64 MB are not held by a worker that waits."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    shown = subprocess.run([sys.executable, "-c", IDLE], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": home})
+    assert int(shown.stdout) < 40
