@@ -412,23 +412,30 @@ def _leader_pairs(tiles: DataFrame, marks: DataFrame, similar: int) -> DataFrame
 
 def _tile_pairs(tiles: DataFrame, marks: DataFrame, labels: DataFrame, similar: int) -> DataFrame:
     """Pairs that join the components of ``labels`` wherever the bitmaps of two classes allow a link."""
-    sized = marks.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "n", "bits", F.coalesce("component", "cls").alias("component")
-    )
+    own = labels.withColumnRenamed("node", "cls")
+    sized = marks.select("cls", "n", F.octet_length("bits").alias("bytes")).join(own, "cls", "left")
+    sized = materialize(sized.withColumn("component", F.coalesce("component", "cls")), "set-sized")
     placed = tiles.join(sized.select("cls", "component"), "cls")
-    mixed = placed.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_tiles = placed.join(mixed.select("element"), "element")
-    small = open_tiles.where(F.col("members") <= SMALL).groupBy("element").agg(F.sort_array(F.collect_set("cls")).alias("all"))
-    small = small.select("all").distinct().select(F.xxhash64("all").alias("tile"), F.explode("all").alias("cls"))
-    large = open_tiles.where(F.col("members") > SMALL).select(F.col("element").alias("tile"), "cls")
+    ends = [F.min("component").alias("low"), F.max("component").alias("high")]
+    small = placed.where(F.col("members") <= SMALL).groupBy("element").agg(F.sort_array(F.collect_set("cls")).alias("all"), *ends)
+    small = small.where("low <> high").select("all").distinct()
+    small = small.select(F.xxhash64("all").alias("tile"), F.explode("all").alias("cls"))
+    large = placed.where(F.col("members") > SMALL)
+    mixed = large.groupBy("element").agg(*ends).where("low <> high").select("element")
+    large = large.join(mixed, "element").select(F.col("element").alias("tile"), "cls")
     rows = materialize(small.unionByName(large).join(sized, "cls"), "tile-rows")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / similar))) + F.lit(1e-9)).cast("int")
     banded = rows.withColumn("home", band).withColumn("band", F.explode(F.array(band, band + 1)))
-    needed = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.octet_length("bits")) / BLOCK_BYTES))
-    blocks = banded.groupBy("tile", "band").agg(needed.cast("int").alias("blocks")).where("blocks > 1")
-    cut = banded.join(blocks, ["tile", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+    # pairs come from bands that hold different components, one class of the band at least
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+    groups = banded.groupBy("tile", "band").agg(needed.cast("int").alias("blocks"), F.max("home").alias("top"), *ends)
+    groups = materialize(groups.where("top = band and low <> high").select("tile", "band", "blocks"), "tile-groups")
+    # a cut band has more than TILE classes or BLOCK_BYTES, so there are few, and their rows stay where they are
+    cut = banded.join(F.broadcast(groups.where("blocks > 1")), ["tile", "band"], "left")
+    whole = cut.where("blocks is null").drop("blocks").join(groups.where("blocks = 1"), ["tile", "band"])
+    cut = cut.where("blocks > 1").unionByName(whole).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # only now the bitmaps, which are most of the bytes
+    dealt = cut.join(marks.select("cls", "bits"), "cls").withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "tile", "band", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "home", "cls", "n", "component", "bits"
     )
     key = ["tile", "band", "x", "y"]
@@ -547,8 +554,9 @@ def _pair_batch(pairs) -> pa.RecordBatch:
 
 def _links(sets: DataFrame, clusters: DataFrame, similar: int) -> DataFrame:
     """``node, component`` of the classes that links join; all links lie inside ``clusters``."""
-    held = sets.join(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "cls")
-    needed = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum(F.octet_length("elements")) / BLOCK_BYTES))
+    sizes = sets.select("cls", F.octet_length("elements").alias("bytes"))
+    held = materialize(sizes.join(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "cls"), "set-held")
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("bytes") / BLOCK_BYTES))
 
     def blocked(rows: DataFrame) -> DataFrame:
         # a cut cluster has more than TILE classes or BLOCK_BYTES, so there are few
@@ -567,18 +575,19 @@ def _links(sets: DataFrame, clusters: DataFrame, similar: int) -> DataFrame:
 
     placed = materialize(blocked(held), "set-blocks")
     inside = placed.withColumn("component", F.col("cls")).withColumns({"x": F.col("block"), "y": F.col("block")})
-    labels = materialize(components(_decided(inside, similar)), "set-labels")
+    labels = materialize(components(_decided(inside.join(sets, "cls"), similar)), "set-labels")
     large = placed.where("blocks > 1")
     if large.isEmpty():
         return labels
     large = materialize(named(large, labels), "set-large")
     speakers = large.groupBy("component").agg(F.min("cls").alias("cls")).select("cls")
     spoken = blocked(large.drop("blocks", "block").join(speakers, "cls", "left_semi"))
-    edges = _decided(spoken.withColumns({"x": F.col("block"), "y": F.col("block")}), similar)
+    edges = _decided(spoken.withColumns({"x": F.col("block"), "y": F.col("block")}).join(sets, "cls"), similar)
     labels = materialize(_merged(labels, materialize(edges, "set-edges")), "set-labels")
     large = named(large, labels)
     rest = large.join(F.broadcast(still_apart(large)), "cluster")
-    between = rest.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).where("with <> block")
+    # each set is fetched once, and then goes to all blocks it meets
+    between = rest.join(sets, "cls").withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).where("with <> block")
     between = between.withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
     return materialize(_merged(labels, materialize(_decided(between, similar), "set-edges")), "set-labels")
 

@@ -147,3 +147,30 @@ def test_a_worker_gives_memory_back_after_a_task():
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     shown = subprocess.run([sys.executable, "-c", IDLE], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": home})
     assert int(shown.stdout) < 40
+
+
+def test_bitmaps_and_sets_are_shuffled_once_for_their_tasks(spark, monkeypatch):
+    """What decides about blocks holds no bitmaps and no sets; bands without a class of their own are not dealt."""
+    columns, dealt, whole = {}, [], similar_sets.materialize
+
+    def kept(df, label):
+        columns.setdefault(label, set()).update(df.columns)
+        return whole(df, label)
+
+    def seen(df, function, schema, operator=""):
+        if "tile" in df.columns:
+            dealt.append(whole(df.drop("bits"), "seen").collect())
+        return in_tasks(df, function, schema, operator)
+
+    in_tasks = similar_sets.in_tasks
+    monkeypatch.setattr(similar_sets, "materialize", kept)
+    monkeypatch.setattr(similar_sets, "in_tasks", seen)
+    sets = {i: np.arange(100 * i, 100 * i + 40, dtype=np.uint64) for i in (1, 2)}
+    tiles = spark.createDataFrame([(7, i, 2) for i in sets], "element long, cls long, members long")
+    marks = spark.createDataFrame([(i, 40, bytearray(similar_sets.signature(s, 64).tobytes())) for i, s in sets.items()], "cls long, n long, bits binary")
+    labels = spark.createDataFrame([], "node long, component long")
+    similar_sets._tile_pairs(tiles, marks, labels, 75).collect()
+    assert len(dealt) == 1 and len(dealt[0]) == 2
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "cls long, elements binary")
+    similar_sets._links(rows, spark.createDataFrame([(i, 1) for i in sets], "node long, component long"), 75)
+    assert not any({"bits", "elements"} & names for label, names in columns.items())
