@@ -19,7 +19,9 @@ from collections.abc import Callable
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from itemloom.llm.texts import TwoGenerations, keep, map_texts, text_of
 
 SPACE = "▁"  # fixed: the sign that stands for a space in pieces
-CACHED = 60_000  # young entries of each of a worker's two caches
+CACHED = 120_000  # young entries of each of a worker's two caches
 PIECE = 1 << 21  # bytes of text that are encoded at once
 LONGEST = 40  # signs of what is kept in a cache
 PAIRS = 1 << 18  # remembered pair tests
@@ -53,11 +55,12 @@ class Pieces:
             raise ValueError("a piece holds white space after another sign")
         self.shown = {i: p.replace(SPACE, " ") for i, p in self.piece.items()}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.pairs: dict[tuple, bool] = {}
+        self.pairs: dict[str, dict] = {p: {} for p in self.id}  # by piece and what stands before it
+        self.tested = 0
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             if len(p) > 1:  # single signs need no search
-                self.automaton.add_word(p, (len(p), p))
+                self.automaton.add_word(p, (len(p), p, self.pairs[p]))
         self.automaton.make_automaton()
         self.neighbours = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.segments = re.compile(rf"\n?[^{SPACE}\n]+|\n|{SPACE}+[^{SPACE}\n]*")
@@ -80,30 +83,33 @@ class Pieces:
 
     def compatible(self, before: str | None, piece: str) -> bool:
         """Whether merging leaves the pair as it is; for the first piece, the piece alone."""
-        known = self.pairs.get((before, piece))
-        if known is None:
+        known = self.pairs[piece]
+        if before not in known:
             pair = [piece] if before is None else [before, piece]
-            known = self.merged("".join(pair)) == pair
-            if len(self.pairs) < PAIRS:  # a memory of bounded size: others are tested again
-                self.pairs[before, piece] = known
-        return known
+            fits = self.merged("".join(pair)) == pair
+            if self.tested >= PAIRS:  # a memory of bounded size: others are tested again
+                return fits
+            known[before] = fits
+            self.tested += 1
+        return known[before]
 
     def split(self, segment: str) -> list[str]:
         """The pieces of a segment from its prefix table."""
-        last = list(segment)  # where no longer piece fits, the sign itself ends the prefix
-        pairs, test, settled = self.pairs, self.compatible, -1
-        for end, (size, piece) in self.automaton.iter(segment):  # by end, the longest first
+        last = [*segment, None]  # where no longer piece fits, the sign itself ends the prefix; at -1, what is before it
+        test, settled = self.compatible, -1
+        for end, (size, piece, known) in self.automaton.iter(segment):  # by end, the longest first
             if end == settled:
                 continue
-            pair = (last[end - size] if end >= size else None, piece)
-            known = pairs.get(pair)
-            if known if known is not None else test(*pair):
+            before = last[end - size]
+            fits = known.get(before)
+            if fits or fits is None and test(before, piece):
                 last[end] = piece
                 settled = end
         found, end = [], len(segment) - 1
         while end >= 0:
-            found.append(last[end])
-            end -= len(last[end])
+            piece = last[end]
+            found.append(piece)
+            end -= len(piece)
         return found[::-1]
 
     def runs(self, segment: str) -> list[str]:
@@ -219,25 +225,38 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text:
             parts = [run(r) for r in cut]
             return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
 
+        def odd(value: str) -> tuple[str, str]:
+            """Ids and text of a text that holds the sign for a space, or white space that is not between two words."""
+            parts = [run(s) if len(s) <= LONGEST and s[0] == SPACE else segment(s) for s in library.segmented(value)]
+            return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
+
+        def plain(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+            """Ids and text of texts whose words are divided by one space, or one line break; each word is looked up once."""
+            lists = pc.split_pattern(texts, " ")
+            coded = lists.flatten().dictionary_encode()
+            known = words.young.get
+            made = [known(w) or word(w) for w in coded.dictionary.to_pylist()]
+
+            def joined(k: int, between: str) -> pa.Array:
+                of_words = pa.array([m[k] for m in made], pa.string()).take(coded.indices)
+                return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, of_words), between)
+
+            return joined(0, ","), joined(1, "")
+
         def encode(piece: pa.RecordBatch) -> dict:
-            n_tokens, all_ids, texts = [], [], []
-            for value in piece.column("text").to_pylist():
-                plain = value.replace("\n", " \n")
-                if SPACE in value or "  " in plain or plain[:1] in ("", " ") or plain[-1] == " ":
-                    parts = [run(s) if len(s) <= LONGEST and s[0] == SPACE else segment(s) for s in library.segmented(value)]
-                else:
-                    known = words.young.get
-                    parts = [known(w) or word(w) for w in plain.split(" ")]
-                ids = ",".join([p[0] for p in parts])
-                decoded = "".join([p[1] for p in parts])
-                n_tokens.append(ids.count(",") + 1 if ids else 0)
-                all_ids.append(ids)
-                texts.append(decoded[1:] if decoded.startswith(" ") else decoded)
+            texts = piece.column("text")
+            spaced = pc.replace_substring(texts, "\n", " \n")
+            is_odd = pc.or_(pc.match_substring(texts, SPACE), pc.match_substring_regex(spaced, "^ |  | $|^$"))
+            ids, decoded = plain(spaced.filter(pc.invert(is_odd)))
+            others = [odd(t) for t in texts.filter(is_odd).to_pylist()]
+            if others:
+                place = pa.array(np.argsort(np.argsort(is_odd.to_numpy(zero_copy_only=False), kind="stable")))
+                ids, decoded = (pa.concat_arrays([a, pa.array([o[k] for o in others], pa.string())]).take(place) for k, a in enumerate((ids, decoded)))
             return {
                 "doc_id": piece.column("doc_id"),
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "ids": pa.array(all_ids, pa.string()),
-                "decoded": pa.array(texts, pa.string()),
+                "n_tokens": pc.add(pc.count_substring(ids, ","), pc.not_equal(ids, "").cast(pa.int32())).cast(pa.int64()),
+                "ids": ids,
+                "decoded": pc.replace_substring_regex(decoded, "^ ", ""),
             }
 
         return encode
